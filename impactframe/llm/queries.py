@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactframe.llm import chunking, leakage, mixing
+from impactframe.llm import chunking, encodings, leakage, mixing, validity
 from impactframe.session import stage, table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_repaired(spark, sf).select("origin", "record_key").distinct()
+
+
+def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    records = encodings.source_records(table(spark, sf, "source_file"), table(spark, sf, "content_snapshot"))
+    return encodings.garbled_records(records)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_files(spark, sf).where("verdict <> 'valid'").select("source_id").distinct()
+
+
+def p4_files(spark: SparkSession, sf: str) -> DataFrame:
+    return validity.check_sources(table(spark, sf, "source_file"))
+
+
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return validity.invalid_rates(p4_files(spark, sf))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_pieces(spark, sf).select("fchange_id").distinct()
 
@@ -35,7 +56,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p5_found, p5_pieces, p6_found, p6_report, p7_mix, p7_shares)
+    f.__name__: f for f in (p1_found, p1_repaired, p4_found, p4_files, p4_rates, p5_found, p5_pieces, p6_found, p6_report, p7_mix, p7_shares)
 }
 SQL = {
     "p5_found": "SELECT DISTINCT fchange_id FROM function_change WHERE length(diff) > 4000 OR logical_units > 120",
