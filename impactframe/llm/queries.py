@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactframe.llm import chunking, encodings, leakage, mixing, validity
+from impactframe.llm import abuse, chunking, encodings, leakage, mixing, validity
 from impactframe.session import stage, table
 
 
@@ -55,8 +55,30 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture_shares(p7_mix(spark, sf), table(spark, sf, "mix_target"))
 
 
+def p7_full(spark: SparkSession, sf: str) -> DataFrame:
+    """A mixture as large as the corpus, in which caps may keep sources below their share."""
+    sizes = stage(mixing.weighted_sizes(table(spark, sf, "documents")), "p7-sizes")
+    total = sizes.agg(F.sum("tokens")).first()[0] or 0
+    mixed = mixing.mix_sources(
+        table(spark, sf, "documents"), table(spark, sf, "mix_target"), total_tokens=float(total), sizes=sizes
+    )
+    return mixing.mixture_shares(mixed, table(spark, sf, "mix_target"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_scores(spark, sf).where("score > 0").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.score_documents(table(spark, sf, "documents"), table(spark, sf, "content_label"))
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.abuse_rates(p8_scores(spark, sf))
+
+
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_repaired, p4_found, p4_files, p4_rates, p5_found, p5_pieces, p6_found, p6_report, p7_mix, p7_shares)
+    f.__name__: f for f in (p1_found, p1_repaired, p4_found, p4_files, p4_rates, p5_found, p5_pieces, p6_found, p6_report, p7_mix, p7_shares, p7_full, p8_found, p8_scores, p8_rates)
 }
 SQL = {
     "p5_found": "SELECT DISTINCT fchange_id FROM function_change WHERE length(diff) > 4000 OR logical_units > 120",
