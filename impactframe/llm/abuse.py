@@ -411,7 +411,8 @@ def score_documents(documents: DataFrame, content_label: DataFrame, machine: Mac
     """(doc_id, source, score, passage): every document with its highest passage score and that passage.
 
     score > 0 means abusive. A null or empty text, and every text where nothing could be learned (no labelled document of
-    one class), scores null with a null passage. Repeated rows are scored each.
+    one class), scores null with a null passage. Repeated rows are scored each, rows
+    without doc_id are left out.
     """
     machine = machine or train(labelled_texts(documents, content_label))
     carried = documents.sparkSession.sparkContext.broadcast(machine)
@@ -431,7 +432,7 @@ def score_documents(documents: DataFrame, content_label: DataFrame, machine: Mac
                 worst.append(best[1])
             yield pd.DataFrame({"doc_id": frame.doc_id, "source": frame.source, "score": scores, "passage": worst})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, score double, passage string")
+    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, score double, passage string")
 
 
 def abuse_rates(scored: DataFrame) -> DataFrame:

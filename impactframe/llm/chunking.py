@@ -107,9 +107,9 @@ def _candidates(text: str, starts: np.ndarray, ranks: np.ndarray) -> tuple[np.nd
 
 
 def oversized(function_change: DataFrame, max_chars: int = MAX_CHARS, max_units: float = MAX_UNITS) -> DataFrame:
-    """Distinct (fchange_id, diff, logical_units) above either limit."""
+    """Distinct (fchange_id, diff, logical_units) above either limit; rows without fchange_id are left out."""
     over = (F.length("diff") > max_chars) | (F.col("logical_units") > max_units)
-    return function_change.where(over).select("fchange_id", "diff", "logical_units").dropDuplicates()
+    return function_change.where(over & F.col("fchange_id").isNotNull()).select("fchange_id", "diff", "logical_units").dropDuplicates()
 
 
 def split_changes(function_change: DataFrame, max_chars: int = MAX_CHARS, max_units: float = MAX_UNITS, overlap: int = OVERLAP) -> DataFrame:

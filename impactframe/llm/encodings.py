@@ -423,6 +423,7 @@ def garbled_records(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Null and empty texts and plain ASCII are never affected. A null source is a source of its own. Repeated rows are
     judged each and give repeated results; with no foreign text at all the result is empty.
     """
+    records = records.select("origin", "record_key", "source", "text")
     model, priors = fit(stage(suspects(records), "p1-words"), rounds)
     return repair(records, model, priors)
 

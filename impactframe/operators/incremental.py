@@ -68,9 +68,8 @@ def chain_positions(change_set: DataFrame, start: str = "initial") -> DataFrame:
     )
     links = cut(links)
     total = links.count()
-    for _ in range(MAX_DOUBLINGS):
-        open_rows = links.where((F.col("up") != start) & F.col("up").isNotNull()).limit(1).count() if total else 0
-        if not open_rows:
+    for k in range(MAX_DOUBLINGS):
+        if 1 << k > 2 * total or links.where(F.col("up") != start).isEmpty():  # what is open beyond that lies in a cycle
             break
         above = links.select("root_id", F.col("revision").alias("up"), F.col("up").alias("up2"), F.col("pos").alias("pos2"))
         links = links.join(above, ["root_id", "up"], "left").select(
@@ -167,8 +166,8 @@ def pending_changes(change_set: DataFrame, file_change: DataFrame, doc_run: Data
     set. Nulls: rows without change_id or landed_at are left out; a change whose root or change set is unknown is
     pending. Empty tables give no rows (no changes) or all changes (no runs). Extra columns are ignored.
     """
-    found = contents(file_change)
-    cover = covered_until(change_set, chain_positions(change_set), doc_run)
+    found = cut(contents(file_change))
+    cover = cut(covered_until(change_set, chain_positions(change_set), doc_run))
     # Oldest open transaction: everything landed up to a root's floor is closed, unless its change set was never covered.
     floor = cover.groupBy("root_id").agg(F.min("covered").alias("floor"))
     known = found.join(cover, ["root_id", "change_set_id"], "left")
