@@ -38,7 +38,7 @@ routine_body: item* 'BEGIN' statements handlers? 'END' id? ';' | 'LANGUAGE' soup
 parameters: '(' parameter (',' parameter)* ')' ;
 parameter: id 'IN'? 'OUT'? 'NOCOPY'? datatype default? ;
 default: (':=' | 'DEFAULT') expr ;
-datatype: 'REF'? qname ('@' qname)? ('%' id)? ('(' size (',' size)* ')')? ID* ('WITH' ID* )? ('TO' ID ('(' size ')')?)? ;
+datatype: 'REF'? qname ('@' qname)? ('%' ('TYPE' | id))? ('(' size (',' size)* ')')? ID* ('WITH' ID* )? ('TO' ID ('(' size ')')?)? ;
 size: ('-'? NUMBER | id) ID? | '*' ;
 trigger: 'TRIGGER' qname ('BEFORE' | 'AFTER' | 'INSTEAD' 'OF') event ('OR' event)* 'ON' qname
          (ID soup+)? ('FOR' 'EACH' 'ROW')? ('WHEN' '(' expr ')')? block ;
@@ -173,9 +173,9 @@ target: ID | NUMBER | 'NEXT' ;
 redim: postfix as? ;
 channel: '#'? expr ;
 print_list: (expr | ';' | ',')+ ;
-arguments: call_argument (',' call_argument?)* | (',' call_argument?)+ ;
+arguments: call_argument ((',' | ';') call_argument?)* | ((',' | ';') call_argument?)+ ;
 call_arguments: call_argument? (',' call_argument?)* ;
-call_argument: (id ':=')? ('BYVAL' | 'ADDRESSOF')? expr ('TO' expr)? | ';' expr? ;
+call_argument: (id ':=')? ('BYVAL' | 'ADDRESSOF')? expr ('TO' expr)? ;
 expr: operand (operator operand)* ;
 operator: '+' | '-' | '*' | '/' | '\\' | '^' | '&' | 'MOD' | '=' | '<>' | '<' | '>' | '<=' | '>=' | '=<' | '=>' | 'IS' | 'LIKE' | 'AND' | 'OR' | 'XOR' | 'EQV' | 'IMP' ;
 operand: ('-' | '+' | 'NOT')* (NUMBER | STRING | 'NOTHING' | 'NEW' id ('.' id)* | 'TYPEOF' postfix | 'ADDRESSOF' postfix | '#' NUMBER | postfix) ;
