@@ -53,34 +53,35 @@ def _is_cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿"
 
 
+_WORDS = re.compile("§|" + _TOKEN.pattern)
+
+
 def tokens(passage: str) -> list[str]:
     """Normalised words: names of code become one sign, look-alikes and letter digits fold, spaced letters join."""
-    text = unicodedata.normalize("NFKC", passage)
-    text = "".join(c for c in text if unicodedata.category(c) != "Cf")
-    text = _CODE.sub(" § ", text).casefold().translate(LOOK_ALIKE)
+    if passage.isascii():
+        pieces = _WORDS.findall(_CODE.sub(" § ", passage).lower())
+    else:
+        text = unicodedata.normalize("NFKC", passage)
+        text = "".join(c for c in text if c < "\x7f" or unicodedata.category(c) != "Cf")
+        text = _CODE.sub(" § ", text).casefold().translate(LOOK_ALIKE)
+        pieces = []
+        for w in _WORDS.findall(text):
+            if not w.isascii() and any(map(_is_cjk, w)):
+                pieces += list(w)
+            else:
+                pieces.append(w)
     out: list[str] = []
     single: list[str] = []
-    pieces = []
-    for m in re.finditer(r"§|" + _TOKEN.pattern, text):
-        w = m.group()
-        if any(map(_is_cjk, w)):
-            pieces += list(w)
-        else:
-            pieces.append(w)
-    for w in [*pieces, ""]:
+    for w in pieces:
         if len(w) == 1 and w.isalpha() and not _is_cjk(w):
             single.append(w)
             continue
-        if len(single) >= 3:
-            out.append("".join(single))
-        else:
-            out += single
-        single = []
-        if w:
-            if not w.isalpha() and any(c.isalpha() for c in w):
-                w = w.translate(LEET)
-            out.append(_RUN.sub(r"\1", w))
-    return out
+        if single:
+            out += ["".join(single)] if len(single) >= 3 else single
+            single = []
+        out.append(w if w.isalpha() or w == "§" else w.translate(LEET) if any(c.isalpha() for c in w) else w)
+    out += ["".join(single)] if len(single) >= 3 else single
+    return [_RUN.sub(r"\1", w) for w in out] if _RUN.search(" ".join(out)) else out
 
 
 class WordKernel:
