@@ -8,7 +8,7 @@ still match, and passages match by gapped common subsequences of such words, so
 Labels belong to documents and raters err, so training is by multiple instances: all passages of clean documents are
 negative; in an abusive document the passages that the machine scores highest are taken as positive, in a few rounds. It
 uses at most LABELLED documents of each class, in an order given by a hash. Scoring covers every passage of every
-document: a cheap additive form of the kernel (single words) first, then the full kernel where that leaves a doubt.
+document with the full kernel, through an index of the landmarks' subsequences.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each class that training uses at most, and landmarks of each class.
 LABELLED = 700
-#: Distinct clean passages that fit the additive form.
-PLAIN = 5_000
 LANDMARKS = 220
 #: Decay of a gap inside words and between words; words of a passage window; similarity below which words do not match.
 CHAR_DECAY, WORD_DECAY, WINDOW, LEAST = 0.65, 0.75, 48, 0.55
 ROUNDS = 5
-#: Additive score below which the full kernel is not asked, lowered further where training needs it.
-GATE = -0.6
+#: Soft matches in a passage from which the plain recursion is used, and squared matches in a batch of the index.
+CROWDED, BATCH = 250, 300_000
+#: Documents scored together.
+TOGETHER = 128
 #: Distance above the machine's boundary from which a passage counts as abusive; subtracted from every score.
 MARGIN = 0.35
 
@@ -84,6 +84,37 @@ def tokens(passage: str) -> list[str]:
     return [_RUN.sub(r"\1", w) for w in out] if _RUN.search(" ".join(out)) else out
 
 
+class Postings:
+    """Index from integer keys to (row, weight) entries."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray, weights: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.rows, self.weights = rows[order], weights[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.ends = np.append(first, len(keys))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the keys are there, their places in the index)."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.searchsorted(self.keys, keys).clip(0, len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == keys)
+        return hit, at[hit]
+
+    def add(self, at: np.ndarray, owner: np.ndarray, value: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        """Sums of value times weight by (owner, row) over all entries of the places."""
+        item, entry = _spread(self.ends[at], self.ends[at + 1])
+        cells = owner[item] * shape[1] + self.rows[entry]
+        return np.bincount(cells, value[item] * self.weights[entry], shape[0] * shape[1]).reshape(shape)
+
+
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, position) of every position in the ranges [begin, end) of the items."""
+    size = end - begin
+    item = np.repeat(np.arange(len(size)), size)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size) + begin[item]
+
+
 class WordKernel:
     """Soft matches between any word and a fixed vocabulary, by gapped character subsequences of up to three letters."""
 
@@ -186,6 +217,50 @@ class PassageKernel:
         ).astype(np.float32)
         self.row = np.zeros(len(vocabulary) + 1, np.float32)
         self.own = np.stack([self._kernels(w)[:, i] for i, w in enumerate(landmarks)], axis=1) if landmarks else np.zeros((3, 0))
+        self._index()
+
+    def _index(self) -> None:
+        """Postings of the landmarks' subsequences of one, two and three words, weighted by their gaps."""
+        size = len(self.words.vocabulary)
+        parts: list[list[tuple]] = [[], [], []]
+        for row, words in enumerate(self.landmarks):
+            ids = self.places[row, : len(words)]
+            places = np.arange(len(ids))
+            a, b = np.triu_indices(len(ids), 1)
+            x, c = _spread(b + 1, np.full(len(b), len(ids)))
+            parts[0].append((ids, np.full(len(ids), row), np.ones(len(ids))))
+            parts[1].append((ids[a] * size + ids[b], np.full(len(a), row), WORD_DECAY ** (b - a - 1.0)))
+            parts[2].append(((ids[a[x]] * size + ids[b[x]], ids[places[c]]), np.full(len(x), row), WORD_DECAY ** (c - a[x] - 2.0)))
+        join = lambda arrays, kind: np.concatenate([np.zeros(0, kind), *arrays]).astype(kind)
+        self.ones, self.twos = (Postings(join([k for k, _, _ in p], np.int64), join([r for _, r, _ in p], np.int64), join([w for _, _, w in p], np.float64)) for p in parts[:2])
+        pair = np.searchsorted(self.twos.keys, join([k[0] for k, _, _ in parts[2]], np.int64))
+        last = join([k[1] for k, _, _ in parts[2]], np.int64)
+        self.threes = Postings(pair * size + last, join([r for _, r, _ in parts[2]], np.int64), join([w for _, _, w in parts[2]], np.float64))
+
+    def _cross(self, batch: list[list[str]]) -> np.ndarray:
+        """The same as _kernels for many passages, (3, passages, landmarks), by the index."""
+        shape = (len(batch), len(self.landmarks))
+        found = [self.words.matches(w) for words in batch for w in words]
+        counts = np.array([len(at) for at, _ in found], np.int64)
+        word = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in found)])
+        sim = np.concatenate([np.zeros(0), *(s for _, s in found)])
+        lengths = np.array([len(words) for words in batch], np.int64)
+        place = np.repeat(_spread(np.zeros_like(lengths), lengths)[1], counts)
+        owner = np.repeat(np.repeat(np.arange(len(batch)), lengths), counts)
+        hit, at = self.ones.find(word)
+        one = self.ones.add(at, owner[hit], sim[hit], shape)
+        ends = np.searchsorted(owner, owner, "right")
+        x, y = _spread(np.arange(len(word)) + 1, ends)
+        later = place[x] < place[y]
+        x, y = x[later], y[later]
+        hit, pair = self.twos.find(word[x] * len(self.words.vocabulary) + word[y])
+        x, y = x[hit], y[hit]  # x never falls, so the pairs that go on from y are a range
+        two = self.twos.add(pair, owner[x], sim[x] * sim[y] * WORD_DECAY ** (place[y] - place[x] - 1.0), shape)
+        former, latter = _spread(np.searchsorted(x, y), np.searchsorted(x, y, "right"))
+        hit, at = self.threes.find(pair[former] * len(self.words.vocabulary) + word[y[latter]])
+        a, b, c = x[former[hit]], y[former[hit]], y[latter[hit]]
+        three = self.threes.add(at, owner[a], sim[a] * sim[b] * sim[c] * WORD_DECAY ** (place[c] - place[a] - 2.0), shape)
+        return np.stack([one, two, three])
 
     def _kernels(self, words: list[str]) -> np.ndarray:
         n = len(self.landmarks)
@@ -215,33 +290,50 @@ class PassageKernel:
             touched = True
         return total
 
-    def self_norm(self, words: list[str]) -> np.ndarray:
-        """Kernels of a passage with itself, words matching exactly."""
-        n = len(words)
-        same = np.array([[a == b for b in words] for a in words], np.float32).reshape(n, n)
-        steps = np.arange(n)
-        scan = np.where(steps[:, None] <= steps[None, :], WORD_DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0.0)
-        total, first, second = np.zeros(3), np.zeros(n), np.zeros(n)
-        for match in same:
-            before1, before2 = np.concatenate([[0], first[:-1]]), np.concatenate([[0], second[:-1]])
-            total += [match.sum(), (match * before1).sum(), (match * before2).sum()]
-            first = WORD_DECAY * first + match @ scan
-            second = WORD_DECAY * second + (match * before1) @ scan
-        return total
+    def self_norms(self, batch: list[list[str]]) -> np.ndarray:
+        """Kernels of passages with themselves, (3, passages), words matching exactly."""
+        out = np.zeros((3, len(batch)))
+        groups: dict[int, list[int]] = {}
+        for k, words in enumerate(batch):
+            groups.setdefault(len(words), []).append(k)
+        for n, at in groups.items():
+            ids: dict[str, int] = {}
+            codes = np.array([[ids.setdefault(w, len(ids)) for w in batch[k]] for k in at]).reshape(len(at), n)
+            steps = np.arange(n)
+            scan = np.where(steps[:, None] <= steps[None, :], WORD_DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0.0)
+            first, second = np.zeros((len(at), n)), np.zeros((len(at), n))
+            for i in range(n):
+                match = (codes == codes[:, i : i + 1]).astype(float)
+                step1, step2 = np.zeros_like(match), np.zeros_like(match)
+                step1[:, 1:] = match[:, 1:] * first[:, :-1]
+                step2[:, 1:] = match[:, 1:] * second[:, :-1]
+                out[:, at] += [match.sum(1), step1.sum(1), step2.sum(1)]
+                first = WORD_DECAY * first + match @ scan
+                second = WORD_DECAY * second + step1 @ scan
+        return out
 
-    def features(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel with every landmark, in [0, 1]: the mean of the orders."""
-        cross, mine = self._kernels(words), self.self_norm(words)
-        norm = np.sqrt(np.maximum(self.own * mine[:, None], 1e-9))
-        return (np.where(self.own * mine[:, None] > 1e-9, cross / norm, 0.0)).mean(0).clip(0, 1)
+    def features(self, batch: list[list[str]]) -> np.ndarray:
+        """Normalised kernel of every passage with every landmark, in [0, 1]: the mean of the orders."""
+        out = np.zeros((len(batch), len(self.landmarks)), np.float32)
+        part: list[int] = []
+        work = 0
+        for k, words in enumerate(batch):
+            size = sum(len(self.words.matches(w)[0]) for w in words)
+            if size > CROWDED:
+                out[k] = self._normal(self._kernels(words)[:, None], self.self_norms([words]))[0]
+                continue
+            part.append(k)
+            work += size * size
+            if work > BATCH or len(part) == 1_000:
+                out[part] = self._normal(self._cross([batch[i] for i in part]), self.self_norms([batch[i] for i in part]))
+                part, work = [], 0
+        if part:
+            out[part] = self._normal(self._cross([batch[i] for i in part]), self.self_norms([batch[i] for i in part]))
+        return out
 
-    def additive(self, words: list[str]) -> np.ndarray:
-        """Order-1 features over the vocabulary, a sum over the words."""
-        x = np.zeros(len(self.words.vocabulary))
-        for w in words:
-            at, sim = self.words.matches(w)
-            x[at] += sim
-        return x / max(1, len(words)) ** 0.5
+    def _normal(self, cross: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        norm = self.own[:, None, :] * mine[:, :, None]
+        return np.where(norm > 1e-9, cross / np.sqrt(np.maximum(norm, 1e-9)), 0.0).mean(0).clip(0, 1)
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -262,52 +354,37 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tup
 
 
 class Machine:
-    """The trained scorer: additive weights per vocabulary word, then a kernel machine over the landmarks."""
+    """The trained scorer: a kernel machine over the landmarks."""
 
-    def __init__(self, landmarks: list[list[str]], quick: tuple[np.ndarray, float], gate: float, root: np.ndarray, full: tuple[np.ndarray, float]):
-        self.landmarks, self.quick, self.gate, self.root, self.full = landmarks, quick, gate, root, full
+    def __init__(self, landmarks: list[list[str]], weights: np.ndarray, bias: float):
+        self.landmarks, self.weights, self.bias = landmarks, weights, bias
         self.kernel: PassageKernel | None = None
         self.memo: dict[tuple, float] = {}
-        self.word_weights: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"kernel": None, "memo": {}, "word_weights": {}}
+        return self.__dict__ | {"kernel": None, "memo": {}}
 
     def score(self, passage: str) -> float:
         """Distance from the machine's boundary less MARGIN: above 0 is abusive. Long passages are scored in overlapping windows."""
-        words = tokens(passage)
-        if not words:
-            return -1.0 - MARGIN
-        if len(words) > WINDOW:
-            starts = range(0, len(words) - WINDOW // 2, WINDOW // 2)
-            return max(self._window(tuple(words[i : i + WINDOW])) for i in starts) - MARGIN
-        return self._window(tuple(words)) - MARGIN
-
-    def _window(self, words: tuple[str, ...]) -> float:
-        known = self.memo.get(words)
-        if known is not None:
-            return known
-        if self.kernel is None:
-            self.kernel = PassageKernel(self.landmarks)
-        weights = self.word_weights
-        total = 0.0
-        for w in words:
-            value = weights.get(w)
-            if value is None:
-                at, sim = self.kernel.words.matches(w)
-                value = weights[w] = float(self.quick[0][at] @ sim)
-            total += value
-        guess = total / len(words) ** 0.5 + self.quick[1]
-        if guess < self.gate:
-            out = min(guess, 0.0) - 0.5
-        else:
-            out = float(self.kernel.features(list(words)) @ self.root @ self.full[0] + self.full[1])
+        return self.scores([passage])[0]
+
+    def scores(self, several: list[str]) -> list[float]:
+        """The score of each passage; every window is asked of the full kernel."""
+        cut = [windows(tokens(p)) for p in several]
         if len(self.memo) > 200_000:
             self.memo.clear()
-        if len(weights) > 500_000:
-            weights.clear()
-        self.memo[words] = out
-        return out
+        new = [w for w in dict.fromkeys(w for ws in cut for w in ws) if w not in self.memo]
+        if new:
+            self.kernel = self.kernel or PassageKernel(self.landmarks)
+            self.memo.update(zip(new, (self.kernel.features(new) @ self.weights + self.bias).tolist()))
+        return [max((self.memo[w] for w in ws), default=-1.0) - MARGIN for ws in cut]
+
+
+def windows(words: list[str]) -> list[tuple[str, ...]]:
+    """The words in overlapping windows of WINDOW at most; none for no words."""
+    if len(words) <= WINDOW:
+        return [tuple(words)] if words else []
+    return [tuple(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
 
 
 def _landmarks(groups: list[list[list[str]]], most: int) -> list[list[str]]:
@@ -347,7 +424,7 @@ def train(labelled: list[tuple[str, float, int]], landmarks: int = LANDMARKS) ->
     plain = sorted(seen.values(), key=lambda p: (-strange(p), p))
     marks = _landmarks([likely, plain], landmarks)
     kernel = PassageKernel(marks)
-    gram = np.stack([kernel.features(m) for m in marks])
+    gram = kernel.features(marks).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-3 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -356,7 +433,7 @@ def train(labelled: list[tuple[str, float, int]], landmarks: int = LANDMARKS) ->
     clean_rows = sorted({where(p) for bag in clean for p in bag})
     dirty_rows = [(sorted({where(p) for p in bag}), n) for bag, n in dirty]
     parts = list(rows)
-    full_x = np.stack([kernel.features(list(p)).astype(np.float32) for p in parts]) @ root.astype(np.float32)
+    full_x = kernel.features(parts) @ root.astype(np.float32)
     unit = full_x / np.maximum(np.linalg.norm(full_x, axis=1, keepdims=True), 1e-9)
     weight = np.zeros(len(parts))
     for bag in clean:
@@ -383,13 +460,7 @@ def train(labelled: list[tuple[str, float, int]], landmarks: int = LANDMARKS) ->
         cost = np.where(positive, 2.0 + np.minimum(vote, 20), np.where(weight > 0, 1.0 + np.minimum(weight, 20) ** 0.5, 0.3))
         model = svm(full_x, y, cost)
         score = full_x @ model[0] + model[1]
-    chosen = np.concatenate([np.flatnonzero(positive), np.flatnonzero(~positive)[:: max(1, int((~positive).sum() // PLAIN))]])
-    quick_x = np.stack([kernel.additive(list(parts[i])).astype(np.float32) for i in chosen])
-    quick = svm(quick_x, y[chosen], np.where(positive, 4 * cost, cost)[chosen])
-    guess = quick_x @ quick[0] + quick[1]
-    sure = score[chosen] > 0.3
-    gate = min(GATE, float(np.quantile(guess[sure], 0.005)) - 0.2) if sure.any() else GATE
-    return Machine(marks, quick, gate, root, model)
+    return Machine(marks, root @ model[0], model[1])
 
 
 def labelled_texts(documents: DataFrame, content_label: DataFrame, most: int = LABELLED) -> list[tuple[str, float, int]]:
@@ -422,15 +493,13 @@ def score_documents(documents: DataFrame, content_label: DataFrame, machine: Mac
         model = carried.value
         for frame in frames:
             scores, worst = [], []
-            for text in frame.text:
-                best = (None, None)
-                if model is not None:
-                    for p in passages(text):
-                        s = model.score(p)
-                        if best[0] is None or s > best[0]:
-                            best = (s, p)
-                scores.append(best[0])
-                worst.append(best[1])
+            for first in range(0, len(frame), TOGETHER):
+                texts = [passages(t) if model is not None else [] for t in frame.text.iloc[first : first + TOGETHER]]
+                values = iter(model.scores([p for ps in texts for p in ps]) if model is not None else [])
+                for ps in texts:
+                    best = max(((next(values), -k) for k in range(len(ps))), default=(None, None))
+                    scores.append(best[0])
+                    worst.append(None if best[0] is None else ps[-best[1]])
             yield pd.DataFrame({"doc_id": frame.doc_id, "source": frame.source, "score": scores, "passage": worst})
 
     return documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, score double, passage string")

@@ -32,6 +32,20 @@ def test_harmless(machine, text):
     assert machine.score(text) < 0
 
 
+@pytest.mark.parametrize("text", ["Kill the orphaned child wagon first", "The wagon team saw a null quantity in LoadWagon today"])
+def test_word_order_counts_everywhere(machine, text):
+    """No passage is settled by its single words alone, however harmless they look."""
+    assert abs(machine.score(text) - machine.score(" ".join(reversed(text.split())))) > 1e-4
+
+
+def test_index_equals_recursion(machine):
+    kernel = a.PassageKernel(machine.landmarks)
+    texts = [t.format(x) for t in NASTY + PLAIN for x in ("barge", "idiot")] + ["", "xyzzy", "you stupid the you will the idiot " * 6]
+    batch = [a.tokens(t) for t in texts]
+    plain = [kernel._normal(kernel._kernels(w)[:, None], kernel.self_norms([w]))[0] for w in batch]
+    assert abs(kernel.features(batch) - plain).max() < 1e-5
+
+
 def test_tokens():
     assert a.tokens("Ｉdiot `code_x` T_CRATE a b c d 7 m0r0n!!") == ["idiot", "§", "§", "abcd", "§", "moron"]
     assert a.passages("a b. c d!! e\nf? G") == ["a b.", "c d!! e", "f?", "G"] and a.passages(None) == []
