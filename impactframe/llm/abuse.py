@@ -121,45 +121,19 @@ class WordKernel:
     def __init__(self, vocabulary: list[str]):
         self.vocabulary = vocabulary
         self.exact = {w: i for i, w in enumerate(vocabulary)}
-        longest = max((len(w) for w in vocabulary), default=1)
-        self.codes = np.zeros((len(vocabulary), longest), np.uint32)
+        self.own = np.ones((3, len(vocabulary)))
+        entries: dict[str, list[tuple[int, float]]] = {}
         for i, w in enumerate(vocabulary):
-            self.codes[i, : len(w)] = [ord(c) for c in w]
-        self.bags = np.array([self._bag(w) for w in vocabulary]) if vocabulary else np.zeros((0, 64))
-        self.sizes = np.array([len(w) for w in vocabulary])
-        steps = np.arange(longest)
-        self.scan = np.where(steps[:, None] <= steps[None, :], CHAR_DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0.0)
-        self.own = self._own(self.codes, self.sizes)
+            if len(w) >= 4:
+                found = subsequences(w)
+                self.own[:, i] = _squares(found)
+                for part, weight in found.items():
+                    entries.setdefault(part, []).append((i, weight))
+        self.index = {part: (np.array([i for i, _ in e]), np.array([x for _, x in e])) for part, e in entries.items()}
         self.memo: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    @staticmethod
-    def _bag(word: str) -> np.ndarray:
-        bag = np.zeros(64)
-        for c in word:
-            bag[ord(c) % 64] += 1
-        return bag
-
-    def _kernels(self, word: str, rows: np.ndarray) -> np.ndarray:
-        """Kernels of order 1 to 3 between the word and the vocabulary rows."""
-        codes = self.codes[rows]
-        one, two, three = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
-        first, second = np.zeros(codes.shape), np.zeros(codes.shape)
-        for c in word:
-            match = (codes == ord(c)).astype(float)
-            one += match.sum(1)
-            before1 = np.hstack([np.zeros((len(rows), 1)), first[:, :-1]])
-            before2 = np.hstack([np.zeros((len(rows), 1)), second[:, :-1]])
-            two += (match * before1).sum(1)
-            three += (match * before2).sum(1)
-            first = CHAR_DECAY * first + match @ self.scan
-            second = CHAR_DECAY * second + (match * before1) @ self.scan
-        return np.stack([one, two, three])
-
-    def _own(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return np.array([self._kernels(w, np.array([i]))[:, 0] for i, w in enumerate(self.vocabulary)]).T.reshape(3, -1)
-
     def matches(self, word: str) -> tuple[np.ndarray, np.ndarray]:
-        """(vocabulary indexes, similarity in (0, 1]) of the words that match."""
+        """(vocabulary indexes, similarity in (0, 1]) of the words that match; none is filtered out beforehand."""
         found = self.memo.get(word)
         if found is not None:
             return found
@@ -167,37 +141,59 @@ class WordKernel:
             at = self.exact.get(word)
             found = (np.array([] if at is None else [at], np.int64), np.ones(0 if at is None else 1))
         else:
-            bag = self._bag(word)
-            shared = np.minimum(self.bags, bag).sum(1)
-            rows = np.flatnonzero((shared >= 0.6 * np.maximum(self.sizes, len(word))) & (self.sizes >= 4))
-            if len(rows):
-                cross = self._kernels(word, rows)
-                mine = WordKernel._self(word)
-                norm = cross / np.sqrt(np.maximum(self.own[:, rows] * mine[:, None], 1e-12))
-                sim = np.array([0.2, 0.3, 0.5]) @ norm
-                keep = sim > LEAST
-                found = (rows[keep], ((sim[keep] - LEAST) / (1 - LEAST)).clip(0, 1))
-            else:
-                found = (np.array([], np.int64), np.array([]))
+            sim = self.similarity(word)
+            rows = np.flatnonzero(sim > LEAST)
+            found = (rows, ((sim[rows] - LEAST) / (1 - LEAST)).clip(0, 1))
         if len(self.memo) > 300_000:
             self.memo.clear()
         self.memo[word] = found
         return found
 
-    @staticmethod
-    def _self(word: str) -> np.ndarray:
-        n = len(word)
-        codes = np.array([ord(c) for c in word])
-        steps = np.arange(n)
-        scan = np.where(steps[:, None] <= steps[None, :], CHAR_DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0.0)
-        total, first, second = np.zeros(3), np.zeros(n), np.zeros(n)
-        for c in codes:
-            match = (codes == c).astype(float)
-            before1, before2 = np.concatenate([[0], first[:-1]]), np.concatenate([[0], second[:-1]])
-            total += [match.sum(), (match * before1).sum(), (match * before2).sum()]
-            first = CHAR_DECAY * first + match @ scan
-            second = CHAR_DECAY * second + (match * before1) @ scan
-        return total
+    def similarity(self, word: str) -> np.ndarray:
+        """Weighted mean of the normalised kernels with every vocabulary word; 0 with those under four letters."""
+        mine = subsequences(word)
+        own = _squares(mine)
+        rows: list[list[np.ndarray]] = [[], [], []]
+        values: list[list[np.ndarray]] = [[], [], []]
+        for part, weight in mine.items():
+            entry = self.index.get(part)
+            if entry is not None:
+                rows[len(part) - 1].append(entry[0])
+                values[len(part) - 1].append(weight * entry[1])
+        sim = np.zeros(len(self.vocabulary))
+        for k, share in enumerate((0.2, 0.3, 0.5)):
+            if rows[k]:
+                cross = np.bincount(np.concatenate(rows[k]), np.concatenate(values[k]), len(sim))
+                sim += share * cross / np.sqrt(np.maximum(self.own[k] * own[k], 1e-12))
+        return sim
+
+
+def subsequences(word: str) -> dict[str, float]:
+    """Weights of the subsequences of one to three letters: each occurrence counts by its gaps.
+
+    One pass over the word, so long ones cost no more for each letter; what gaps bring below 1e-12 is dropped.
+    """
+    out: dict[str, float] = {}
+    one: dict[str, float] = {}
+    two: dict[str, float] = {}
+    for c in word:
+        for part, weight in two.items():
+            out[part + c] = out.get(part + c, 0.0) + weight
+        two = {part: weight * CHAR_DECAY for part, weight in two.items() if weight > 1e-12}
+        for part, weight in one.items():
+            out[part + c] = out.get(part + c, 0.0) + weight
+            two[part + c] = two.get(part + c, 0.0) + weight
+        one = {part: weight * CHAR_DECAY for part, weight in one.items() if weight > 1e-12}
+        out[c] = out.get(c, 0.0) + 1.0
+        one[c] = one.get(c, 0.0) + 1.0
+    return out
+
+
+def _squares(found: dict[str, float]) -> np.ndarray:
+    total = np.zeros(3)
+    for part, weight in found.items():
+        total[len(part) - 1] += weight * weight
+    return total
 
 
 class PassageKernel:

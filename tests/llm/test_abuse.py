@@ -1,6 +1,7 @@
 """Abuse: disguised spellings, and accuracy on labelled documents that training did not see."""
 
 import os
+from itertools import combinations
 
 import pytest
 
@@ -38,6 +39,24 @@ def test_word_order_counts_everywhere(machine, text):
     assert abs(machine.score(text) - machine.score(" ".join(reversed(text.split())))) > 1e-4
 
 
+@pytest.mark.parametrize("word, inside", [("arschlochgesicht", "arschloch"), ("schweinehund", "schwein"), ("motherfucker", "fucker"), ("fucker", "motherfucker")])
+def test_compounds_match(word, inside):
+    at, sim = a.WordKernel([inside, "ledger"]).matches(word)
+    assert list(at) == [0] and sim[0] > 0.15
+
+
+def test_word_similarity_against_brute_force():
+    def kernel(v, w, k):
+        gaps = lambda c: c[-1] - c[0] + 1 - k
+        return sum(a.CHAR_DECAY ** (gaps(x) + gaps(y)) for x in combinations(range(len(v)), k) for y in combinations(range(len(w)), k) if all(v[i] == w[j] for i, j in zip(x, y)))
+
+    words = ["idiot", "idiotic", "ledger", "motherf", "banana", "moron"]
+    for w in ["idioot", "xidiotx", "bananas", "gredle"]:
+        want = [sum(s * kernel(v, w, k) / (kernel(v, v, k) * kernel(w, w, k)) ** 0.5 for k, s in ((1, 0.2), (2, 0.3), (3, 0.5))) for v in words]
+        assert abs(a.WordKernel(words).similarity(w) - want).max() < 1e-9
+    assert len(a.WordKernel(words).matches("idiot" * 500)[0]) >= 0
+
+
 def test_index_equals_recursion(machine):
     kernel = a.PassageKernel(machine.landmarks)
     texts = [t.format(x) for t in NASTY + PLAIN for x in ("barge", "idiot")] + ["", "xyzzy", "you stupid the you will the idiot " * 6]
