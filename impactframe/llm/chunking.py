@@ -2,8 +2,9 @@
 
 Content-defined chunking: a rolling hash over the last characters marks landmarks, each landmark snaps to the nearest
 natural boundary (line starts; hunk headers, blank lines and subprogram heads rank higher), and a piece ends at the
-strongest snapped landmark between its minimum and maximum size. Where a piece ends depends on nearby text alone, so
-an edit alters only neighbouring pieces.
+strongest snapped landmark between its minimum and maximum size. Where no line starts there, the landmarks snap to
+sentence and statement ends, then to commas, then to blanks; then any earlier boundary past the overlap serves, then a
+bare landmark, and only a stretch without any is cut at the maximum. Where a piece ends depends on nearby text alone, so an edit alters only neighbouring pieces.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ WINDOW = 32
 SPACING = 64
 
 _LINE = re.compile(r"\r\n|\n|\r")
+#: Boundaries inside lines, best first: ends of sentences and statements, commas, blanks. A position is after the match.
+_INNER = (re.compile(r"[;{}。！？；]|[.!?](?=\s)"), re.compile(r"[,，、]"), re.compile(r"[^\S\r\n]+"))
 _HUNK = re.compile(r"@@|diff |--- |\+\+\+ ")
 _HEAD = re.compile(r"[ +-]?\s*(?:(?:public|private|friend|static)\s+)?(?:procedure|function|sub|def|class|async\s+def|create)\b", re.I)
 
@@ -74,7 +77,9 @@ def split(text: str, units: float | None = None, max_chars: int = MAX_CHARS, max
     shared = min(overlap, most // 4)
     least = max(shared + 1, most // 3)
     starts, ranks = natural_boundaries(text)
-    marks, strength = _candidates(text, starts, ranks)
+    hashes = rolling_hash(text)
+    marks, strength = _candidates(hashes, starts, ranks)
+    inner: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     pieces, start = [], 0
     while n - start > most:
         lo, hi = start + least, start + most
@@ -83,19 +88,26 @@ def split(text: str, units: float | None = None, max_chars: int = MAX_CHARS, max
             end = int(marks[i + int(np.argmax(strength[i:j]))])
         else:
             k = np.searchsorted(starts, hi, "right") - 1
-            end = int(starts[k]) if k >= 0 and starts[k] >= lo else _unsplit(text, hi)
+            if k >= 0 and starts[k] >= lo:
+                end = int(starts[k])
+            else:
+                inner = inner or _inner(text, hashes)
+                end = _inside(inner[:-1], lo, hi) or _early(starts, inner, start + shared, lo) or _inside(inner[-1:], lo, hi) or _unsplit(text, hi)
         end = end if end > start else hi
         pieces.append((start, end))
         k = np.searchsorted(starts, end - shared)
-        back = int(starts[k]) if k < len(starts) and starts[k] < end else _unsplit(text, end - shared)
+        if k < len(starts) and starts[k] < end:
+            back = int(starts[k])
+        else:
+            inner = inner or _inner(text, hashes)
+            back = _first(inner, end - shared, end) or _unsplit(text, end - shared)
         start = back if start < back <= end else end
     pieces.append((start, n))
     return pieces
 
 
-def _candidates(text: str, starts: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(hashes: np.ndarray, starts: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Landmarks of the rolling hash snapped to the nearest natural boundary, with the strength of each."""
-    hashes = rolling_hash(text)
     at = np.flatnonzero(hashes % np.uint64(SPACING) == 0)
     if not len(starts) or not len(at):
         return np.array([], np.int64), np.array([], np.float64)
@@ -103,7 +115,52 @@ def _candidates(text: str, starts: np.ndarray, ranks: np.ndarray) -> tuple[np.nd
     left = np.clip(right - 1, 0, None)
     near = np.where(np.abs(starts[right] - at) < np.abs(starts[left] - at), right, left)
     near = np.unique(near)
-    return starts[near], ranks[near] + (hashes[starts[near]] % np.uint64(1 << 20)).astype(np.float64) / (1 << 20)
+    return starts[near], ranks[near] + _drawn(hashes, starts[near])
+
+
+def _drawn(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (hashes[at] % np.uint64(1 << 20)).astype(np.float64) / (1 << 20)
+
+
+def _inner(text: str, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(boundaries, landmarks snapped to them, their strength) of each rank inside lines, then of bare landmarks."""
+    out = []
+    for pattern in _INNER:
+        ends = np.array([m.end() for m in pattern.finditer(text) if m.end() < len(text)], np.int64)
+        out.append((ends, *_candidates(hashes, ends, np.zeros(len(ends)))))
+    bare = np.flatnonzero(hashes % np.uint64(SPACING) == 0)
+    bare = np.array([x for x in bare if 0 < x < len(text) and text[x - 1 : x + 1] != "\r\n"], np.int64)
+    return [*out, (np.zeros(0, np.int64), bare, _drawn(hashes, bare))]
+
+
+def _inside(inner: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lo: int, hi: int) -> int | None:
+    """The strongest snapped landmark of the best rank within [lo, hi], else that rank's last boundary."""
+    for ends, marks, strength in inner:
+        i, j = np.searchsorted(marks, lo), np.searchsorted(marks, hi, "right")
+        if i < j:
+            return int(marks[i + int(np.argmax(strength[i:j]))])
+        k = np.searchsorted(ends, hi, "right") - 1
+        if k >= 0 and ends[k] >= lo:
+            return int(ends[k])
+    return None
+
+
+def _early(starts: np.ndarray, inner: list[tuple[np.ndarray, np.ndarray, np.ndarray]], over: int, lo: int) -> int | None:
+    """The last boundary of the best rank in (over, lo), for want of a later one."""
+    for ends in (starts, *(e for e, _, _ in inner)):
+        k = np.searchsorted(ends, lo) - 1
+        if k >= 0 and ends[k] > over:
+            return int(ends[k])
+    return None
+
+
+def _first(inner: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lo: int, hi: int) -> int | None:
+    """Where the overlap begins: the first boundary of the best rank within [lo, hi), else the first bare landmark."""
+    for ends in (*(e for e, _, _ in inner[:-1]), inner[-1][1]):
+        k = np.searchsorted(ends, lo)
+        if k < len(ends) and ends[k] < hi:
+            return int(ends[k])
+    return None
 
 
 def oversized(function_change: DataFrame, max_chars: int = MAX_CHARS, max_units: float = MAX_UNITS) -> DataFrame:

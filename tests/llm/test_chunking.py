@@ -49,6 +49,31 @@ def test_an_edit_alters_only_neighbours():
     assert sum(p not in old for p in new) <= 4
 
 
+def literals(n, seed=2):
+    rng = random.Random(seed)
+    return ", ".join(f"'item{rng.randint(0, 10**6)}'" for _ in range(n))
+
+
+def test_long_lines_are_cut_at_their_inner_boundaries():
+    pieces = checked(literals(1500), None, 4000, 120.0, 200)
+    assert len(pieces) > 4 and all(literals(1500)[b - 1] == "," for _, b in pieces[:-1])
+    assert all(literals(1500)[a - 1] == "," for a, _ in pieces[1:])
+    prose = "这是一段没有换行的长文，里面有逗号。" * 700
+    assert all(prose[b - 1] == "。" for _, b in checked(prose, None, 4000, 120.0, 200)[:-1])
+
+
+def test_an_edit_in_a_long_line_alters_only_neighbours():
+    for text in (literals(3000), "".join(random.Random(3).choices("abcdefghij", k=40_000))):
+        old = {text[a:b] for a, b in split(text)}
+        edited = text[:9_000] + "xyz" + text[9_000:]
+        assert sum(edited[a:b] not in old for a, b in split(edited)) <= 4
+
+
+def test_an_early_line_start_is_used_where_it_is_the_only_boundary():
+    text = "a" * 900 + "\n" + "b" * 6000
+    assert checked(text, None, 4000, 120.0, 200)[0] == (0, 901)
+
+
 def test_long_line_and_carriage_returns():
     checked("x" * 20_000, None, 4000, 120.0, 200)
     text = "ab\r\n" * 3000
