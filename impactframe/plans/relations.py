@@ -6,7 +6,7 @@ calls, events for operation logs. Every query runs over whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from impactframe.functions.text import document_key, escape_cell, matches_patterns, stem, suffix, under
@@ -140,6 +140,33 @@ def joi1_compare_states(spark: SparkSession, sf: str) -> DataFrame:
     return cmp.compare(_states(spark, sf, 1), _states(spark, sf, 2), ["root_id", "path"], "sha256").select("root_id", "path", "status")
 
 
+@query("""WITH f AS (SELECT * FROM file_state WHERE root_id IS NOT NULL AND snapshot_no IS NOT NULL AND path IS NOT NULL),
+s AS (SELECT root_id, path, sha256, snapshot_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY root_id, snapshot_no, path
+  ORDER BY delivered_at DESC NULLS LAST, sha256 DESC NULLS LAST, file_exists DESC NULLS LAST) AS k FROM f) WHERE k = 1 AND file_exists),
+l AS (SELECT root_id, snapshot_no, lag(snapshot_no) OVER w AS previous_no, lead(snapshot_no) OVER w AS next_no
+  FROM (SELECT DISTINCT root_id, snapshot_no FROM f) WINDOW w AS (PARTITION BY root_id ORDER BY snapshot_no)),
+a AS (SELECT root_id, next_no AS snapshot_no, path, sha256 FROM s JOIN l USING (root_id, snapshot_no) WHERE next_no IS NOT NULL),
+b AS (SELECT root_id, snapshot_no, path, sha256 FROM s JOIN l USING (root_id, snapshot_no) WHERE previous_no IS NOT NULL)
+SELECT coalesce(a.root_id, b.root_id) AS root_id, coalesce(a.snapshot_no, b.snapshot_no) AS snapshot_no, coalesce(a.path, b.path) AS path,
+CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS status
+FROM a FULL JOIN b ON a.root_id = b.root_id AND a.snapshot_no = b.snapshot_no AND a.path = b.path
+WHERE a.path IS NULL OR b.path IS NULL OR a.sha256 IS DISTINCT FROM b.sha256""")
+def joi1_compare_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Every delivered snapshot of every root beside the one delivered before it; numbers may skip."""
+    rows = table(spark, sf, "file_state").where("root_id IS NOT NULL AND snapshot_no IS NOT NULL AND path IS NOT NULL")
+    by_no = Window.partitionBy("root_id").orderBy("snapshot_no")
+    listed = rows.select("root_id", "snapshot_no").distinct().select(
+        "root_id", "snapshot_no", F.lag("snapshot_no").over(by_no).alias("previous_no"), F.lead("snapshot_no").over(by_no).alias("next_no")
+    )
+    last = rows.groupBy("root_id", "snapshot_no", "path").agg(F.max(F.struct("delivered_at", "sha256", "file_exists")).alias("s"))
+    states = last.where("s.file_exists").select("root_id", "snapshot_no", "path", "s.sha256").join(listed, ["root_id", "snapshot_no"])
+    old = states.where("next_no IS NOT NULL").select("root_id", F.col("next_no").alias("snapshot_no"), "path", "sha256")
+    new = states.where("previous_no IS NOT NULL").select("root_id", "snapshot_no", "path", "sha256")
+    keys = ["root_id", "snapshot_no", "path"]
+    return cmp.compare(old, new, keys, "sha256").select(*keys, "status")
+
+
 def _part_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Parts by name as calls: names are few, so most are ambiguous among parts and none among customers."""
     p = table(spark, sf, "part")
