@@ -402,7 +402,7 @@ def _landmarks(groups: list[list[list[str]]], most: int) -> list[list[str]]:
 
 def train(labelled: list[tuple[str, float, int]], landmarks: int = LANDMARKS) -> Machine | None:
     """Fit a machine to (text, mean rating, raters); null where either class is missing."""
-    bags = [([t for t in map(tokens, passages(text)) if t], rating, raters) for text, rating, raters in labelled]
+    bags = [([w for p in passages(text) for w in windows(tokens(p))], rating, raters) for text, rating, raters in labelled]
     dirty = [(b, n) for b, r, n in bags if r > 0.5 and b]
     clean = [b for b, r, _ in bags if r < 0.5 and b]
     if not dirty or not clean:
@@ -425,7 +425,7 @@ def train(labelled: list[tuple[str, float, int]], landmarks: int = LANDMARKS) ->
     keep = values > 1e-3 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     rows: dict[tuple, int] = {}
-    where = lambda p: rows.setdefault(tuple(p[:WINDOW]), len(rows))
+    where = lambda p: rows.setdefault(p, len(rows))
     clean_rows = sorted({where(p) for bag in clean for p in bag})
     dirty_rows = [(sorted({where(p) for p in bag}), n) for bag, n in dirty]
     parts = list(rows)
@@ -434,7 +434,7 @@ def train(labelled: list[tuple[str, float, int]], landmarks: int = LANDMARKS) ->
     weight = np.zeros(len(parts))
     for bag in clean:
         for p in bag:
-            weight[rows[tuple(p[:WINDOW])]] += 1
+            weight[rows[p]] += 1
     negative = weight > 0
     strangeness = np.array([strange(list(p)) for p in parts])
     score = strangeness - 3.0 * negative

@@ -65,6 +65,16 @@ def test_index_equals_recursion(machine):
     assert abs(kernel.features(batch) - plain).max() < 1e-5
 
 
+def test_abuse_late_in_a_long_passage_is_learned():
+    long = lambda x: " ".join(p.format(x).strip(".") for p in PLAIN * 3)
+    clean = [(long(x), 0.0, 2) for x in THINGS]
+    dirty = [(long(x) + " you stupid worthless idiot", 1.0, 2) for x in THINGS]
+    assert len(a.tokens(clean[0][0])) > a.WINDOW + 10
+    learned = a.train(clean + dirty)
+    assert any("idiot" in words for words in learned.landmarks)
+    assert learned.score(long("barge") + " you stupid worthless idiot") > learned.score(long("barge")) + 0.1
+
+
 def test_tokens():
     assert a.tokens("Ｉdiot `code_x` T_CRATE a b c d 7 m0r0n!!") == ["idiot", "§", "§", "abcd", "§", "moron"]
     assert a.passages("a b. c d!! e\nf? G") == ["a b.", "c d!! e", "f?", "G"] and a.passages(None) == []
