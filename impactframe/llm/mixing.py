@@ -62,7 +62,7 @@ def budgets(sizes: DataFrame, mix_target: DataFrame, total_tokens: float | None
         F.count("*").alias("docs"),
     )
     joined = target.join(mass, "source", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
-    able = (F.col("mass") > 0) & (F.col("target_share") > 0) & F.col("max_repeats").isNotNull()
+    able = (F.col("mass") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     reach = F.when(able, F.col("mass") * F.col("max_repeats") / F.col("target_share"))
     if total_tokens is None:
         limit = F.min(reach).over(Window.partitionBy())  # one row per target source

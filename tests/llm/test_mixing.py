@@ -49,3 +49,9 @@ def test_edges(spark, corpus):
     assert mixing.mix_sources(corpus, target(spark, [])).count() == 0
     none = mixing.mix_sources(corpus, target(spark, [("big", 1.0, 0), (None, 0.5, 1)]))
     assert none.count() == 0
+
+
+def test_a_cap_of_zero_leaves_the_other_sources_alone(spark, corpus):
+    for cap in (0, -1):
+        mix = mixing.mix_sources(corpus, target(spark, [("big", 0.5, cap), ("small", 0.5, 2)]))
+        assert {r.source for r in mix.select("source").distinct().collect()} == {"small"}
