@@ -1,9 +1,13 @@
 """Memoised parsing with derivatives.
 
 A grammar is a set of rules over token kinds. The derivative of a grammar by a token is the grammar of what may follow
-it. Derivatives are built of hash-consed nodes and memoised by (node, token), so files of one language share nearly all
-of the work. An empty derivative marks the token at which a file ceases to be valid; an end derivative that does not
-accept the empty sequence marks a truncated file.
+it. An empty derivative marks the token at which a file ceases to be valid; an end derivative that does not accept the
+empty sequence marks a truncated file.
+
+Derivatives are kept in one form: alternatives of *cells* (an item of the rules, then whatever may follow it). Cells are
+hash-consed, and cells of one item are merged into one whose rest is the union of their rests, so there are never more
+alternatives than items, however deep a file nests and however many readings it has. Derivatives are memoised by (node,
+token), so files of one language share nearly all of the work. Nothing recurses over the input: depth costs no stack.
 
 Rules are written as `name: alternative | alternative ;` with `( )`, `?`, `*`, `+`, `'literal'` and token kinds in
 capitals. No rule may begin with itself; repetition takes the place of left recursion.
@@ -13,50 +17,56 @@ from __future__ import annotations
 
 import re
 
-EMPTY, EPS = 0, 1
+#: Nodes of derivatives: nothing but the empty sequence, and nothing at all.
+END, EMPTY = 0, 1
+#: Unions merge the rests of equal items down to this depth; below it they stay side by side, which means the same.
+MERGED = 40
 _META = re.compile(r"\s*(?:#[^\n]*\n\s*)*('(?:[^'\\]|\\.)+'|[A-Za-z_]\w*|[:;|()?*+])")
 
 
 class Grammar:
-    """Nodes of one grammar and the memo of their derivatives."""
+    """The items of one grammar, the nodes of its derivatives and their memo."""
 
     def __init__(self, rules: str, start: str, most_nodes: int = 1_500_000):
         self.most_nodes = most_nodes
-        self.text, self.start_name = rules, start
         self.kinds: dict[str, int] = {}
+        self._read(rules)
+        self.start_item = self.refs[start]
         self.reset()
 
     def reset(self) -> None:
-        """Forget every derivative; called when the memo outgrows its bound."""
-        self.kind_of = ["empty", "eps"]
-        self.left = [0, 0]
-        self.right: list = [0, 0]
-        self.nullable = [False, True]
-        self.first: list[frozenset] = [frozenset(), frozenset()]
-        self.index: dict = {}
-        self.memo: dict = {}
-        self.refs: dict[str, int] = {}
-        self.bodies: dict[int, int] = {}
-        trees = self._parse_rules()
-        for name in trees:
-            self.refs[name] = self._new("ref", name, 0, False, frozenset())
+        """Forget every derivative; called between files when the memo outgrows its bound."""
+        self.item_of: list[int] = [-1, -2]
+        self.rest_of: list = [END, ()]
+        self.ends = [True, False]
+        self.cells: dict[tuple[int, int], int] = {}
+        self.unions: dict[frozenset, int] = {}
+        self.memo: dict[tuple[int, int], int] = {}
+        self.start = self._cell(self.start_item, END)
+
+    # rules text -> trees -> items
+
+    def _read(self, rules: str) -> None:
+        self.op: list[str] = []
+        self.args: list[tuple] = []
+        self.nullable: list[bool] = []
+        self.first: list[frozenset] = []
+        self.known: dict[tuple, int] = {}
+        self.steps: dict[tuple[int, int], tuple] = {}
+        trees = self._parse_rules(rules)
+        self.refs = {name: self._item("ref", (name,), False, frozenset()) for name in trees}
         changed = True
         while changed:  # nullable and first of the rules, to their least fixed point
             changed = False
             for name, tree in trees.items():
-                null, first = self._facts(tree)
-                ref = self.refs[name]
-                if null != self.nullable[ref] or first != self.first[ref]:
-                    self.nullable[ref], self.first[ref] = null, first
+                facts, ref = self._facts(tree), self.refs[name]
+                if facts != (self.nullable[ref], self.first[ref]):
+                    self.nullable[ref], self.first[ref] = facts
                     changed = True
-        for name, tree in trees.items():
-            self.bodies[self.refs[name]] = self._build(tree)
-        self.start = self.refs[self.start_name]
-
-    # rules text -> trees
+        self.bodies = {self.refs[name]: self._build(tree) for name, tree in trees.items()}
 
-    def _parse_rules(self) -> dict:
-        tokens = _META.findall(self.text)
+    def _parse_rules(self, text: str) -> dict:
+        tokens = _META.findall(text)
         self.at, self.tokens = 0, tokens
         rules = {}
         while self.at < len(tokens):
@@ -68,7 +78,6 @@ class Grammar:
             if self.at >= len(tokens) or tokens[self.at] != ";":
                 raise ValueError(f"rule {name}: ';' expected")
             self.at += 1
-        self.rule_names = set(rules)
         return rules
 
     def _alternatives(self):
@@ -121,114 +130,131 @@ class Grammar:
 
     def _build(self, tree) -> int:
         op = tree[0]
-        if op == "tok":
-            return self._tok(self.code(tree[1]))
         if op == "ref":
             return self.refs[tree[1]]
-        if op == "alt":
-            return self._alt([self._build(x) for x in tree[1]])
-        if op == "seq":
-            node = EPS
-            for part in reversed(tree[1]):
-                node = self._seq(self._build(part), node)
-            return node
+        null, first = self._facts(tree)
+        if op == "tok":
+            return self._item("tok", (self.code(tree[1]),), null, first)
+        if op in ("alt", "seq"):
+            return self._item(op, tuple(self._build(x) for x in tree[1]), null, first)
         inner = self._build(tree[1])
         if op == "opt":
-            return self._alt([inner, EPS])
-        star = self._star(inner)
-        return star if op == "star" else self._seq(inner, star)
-
-    # hash-consed nodes
+            return self._item("opt", (inner,), null, first)
+        star = self._item("star", (inner,), True, first)
+        return star if op == "star" else self._item("seq", (inner, star), null, first)
 
     def code(self, kind: str) -> int:
         return self.kinds.setdefault(kind, len(self.kinds) + 1)
 
-    def _new(self, kind: str, left, right, nullable: bool, first: frozenset) -> int:
-        self.kind_of.append(kind)
-        self.left.append(left)
-        self.right.append(right)
-        self.nullable.append(nullable)
-        self.first.append(first)
-        return len(self.kind_of) - 1
+    def _item(self, op: str, args: tuple, nullable: bool, first: frozenset) -> int:
+        item = self.known.get((op, args))
+        if item is None:
+            item = self.known[op, args] = len(self.op)
+            self.op.append(op)
+            self.args.append(args)
+            self.nullable.append(nullable)
+            self.first.append(first)
+        return item
 
-    def _cons(self, key: tuple, nullable: bool, first: frozenset) -> int:
-        node = self.index.get(key)
-        if node is None:
-            node = self.index[key] = self._new(key[0], key[1], key[2], nullable, first)
-        return node
+    def _steps(self, item: int, code: int) -> tuple[tuple[int, ...], ...]:
+        """The derivative of an item: the sequences of items that may follow the token. As deep as the rules at most."""
+        if code not in self.first[item]:
+            return ()
+        found = self.steps.get((item, code))
+        if found is None:
+            op, args = self.op[item], self.args[item]
+            if op == "tok":
+                found = ((),)
+            elif op == "ref":
+                found = self._steps(self.bodies[item], code)
+            elif op == "star":
+                found = tuple((*s, item) for s in self._steps(args[0], code))
+            elif op == "seq":
+                out: list[tuple[int, ...]] = []
+                for k, part in enumerate(args):
+                    out += [(*s, *args[k + 1 :]) for s in self._steps(part, code)]
+                    if not self.nullable[part]:
+                        break
+                found = tuple(dict.fromkeys(out))
+            else:  # alt, opt
+                found = tuple(dict.fromkeys(s for x in args for s in self._steps(x, code)))
+            self.steps[item, code] = found
+        return found
+
+    # nodes of derivatives
 
-    def _tok(self, code: int) -> int:
-        return self._cons(("tok", code, 0), False, frozenset([code]))
-
-    def _star(self, inner: int) -> int:
-        return EPS if inner <= EPS else self._cons(("star", inner, 0), True, self.first[inner])
-
-    def _seq(self, a: int, b: int) -> int:
-        if a == EMPTY or b == EMPTY:
-            return EMPTY
-        if a == EPS:
-            return b
-        if b == EPS:
-            return a
-        if self.kind_of[a] == "seq":  # kept right-nested: a derivative touches the head alone, however deep the nesting
-            return self._seq(self.left[a], self._seq(self.right[a], b))
-        key = ("seq", a, b)
-        node = self.index.get(key)
+    def _cell(self, item: int, rest: int) -> int:
+        """The item followed by the rest."""
+        if self.op[item] == "seq":
+            for part in reversed(self.args[item]):
+                rest = self._cell(part, rest)
+            return rest
+        node = self.cells.get((item, rest))
         if node is None:
-            null = self.nullable[a]
-            first = self.first[a] | self.first[b] if null else self.first[a]
-            node = self.index[key] = self._new("seq", a, b, null and self.nullable[b], first)
+            node = self.cells[item, rest] = len(self.item_of)
+            self.item_of.append(item)
+            self.rest_of.append(rest)
+            self.ends.append(self.nullable[item] and self.ends[rest])
         return node
 
-    def _alt(self, nodes) -> int:
+    def _union(self, nodes, depth: int = 0) -> int:
+        """Any of the nodes; cells of one item become one cell."""
         flat: set[int] = set()
         for node in nodes:
-            if node == EMPTY:
-                continue
-            if self.kind_of[node] == "alt":
-                flat |= self.left[node]
+            if self.item_of[node] == -2:
+                flat.update(self.rest_of[node])
             else:
                 flat.add(node)
-        if not flat:
-            return EMPTY
-        if len(flat) == 1:
-            return next(iter(flat))
-        key = ("alt", frozenset(flat), 0)
-        node = self.index.get(key)
+        if len(flat) > 1 and depth < MERGED:
+            by_item: dict[int, list[int]] = {}
+            for node in flat:
+                by_item.setdefault(self.item_of[node], []).append(node)
+            if len(by_item) < len(flat):
+                flat = {
+                    cells[0] if len(cells) == 1 else self._cell(item, self._union([self.rest_of[c] for c in cells], depth + 1))
+                    for item, cells in by_item.items()
+                }
+        if len(flat) < 2:
+            return next(iter(flat), EMPTY)
+        key = frozenset(flat)
+        node = self.unions.get(key)
         if node is None:
-            first = frozenset().union(*(self.first[x] for x in flat))
-            node = self._cons(key, any(self.nullable[x] for x in flat), first)
+            node = self.unions[key] = len(self.item_of)
+            self.item_of.append(-2)
+            self.rest_of.append(key)
+            self.ends.append(any(self.ends[x] for x in key))
         return node
 
     def derive(self, node: int, code: int) -> int:
-        if code not in self.first[node]:
-            return EMPTY
-        key = (node, code)
-        out = self.memo.get(key)
+        out = self.memo.get((node, code))
         if out is not None:
             return out
-        kind = self.kind_of[node]
-        if kind == "tok":
-            out = EPS
-        elif kind == "seq":
-            a, b = self.left[node], self.right[node]
-            out = self._seq(self.derive(a, code), b)
-            if self.nullable[a]:
-                out = self._alt((out, self.derive(b, code)))
-        elif kind == "alt":
-            out = self._alt([self.derive(x, code) for x in self.left[node]])
-        elif kind == "star":
-            out = self._seq(self.derive(self.left[node], code), node)
-        else:
-            out = self.derive(self.bodies[node], code)
-        self.memo[key] = out
+        found: set[int] = set()
+        todo, seen = [node], {node}
+        while todo:
+            at = todo.pop()
+            item, rest = self.item_of[at], self.rest_of[at]
+            if item >= 0:
+                for step in self._steps(item, code):
+                    follow = rest
+                    for part in reversed(step):
+                        follow = self._cell(part, follow)
+                    found.add(follow)
+                more = (rest,) if self.nullable[item] else ()
+            else:
+                more = rest if item == -2 else ()
+            for x in more:
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        out = self.memo[node, code] = self._union(found)
         return out
 
     # use
 
     def parse(self, kinds: list[str]) -> tuple[str, int]:
         """('valid', n), ('token', index of the failing token) or ('truncated', n) for a sequence of token kinds."""
-        if len(self.kind_of) > self.most_nodes:
+        if len(self.item_of) > self.most_nodes:
             self.reset()
         node, memo, codes = self.start, self.memo, self.kinds
         for at, kind in enumerate(kinds):
@@ -239,4 +265,4 @@ class Grammar:
             if following == EMPTY:
                 return "token", at
             node = following
-        return ("valid" if self.nullable[node] else "truncated"), len(kinds)
+        return ("valid" if self.ends[node] else "truncated"), len(kinds)

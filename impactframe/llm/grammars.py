@@ -188,71 +188,106 @@ PYTHON = r"""
 file: ('NEWLINE' | statement)* ENDMARKER ;
 statement: simple_line | compound ;
 simple_line: small (';' small)* ';'? NEWLINE ;
-small: expression_statement | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' (expr ('from' expr)?)? | ('global' | 'nonlocal') name (',' name)*
-  | 'del' stars | 'assert' expr (',' expr)? | 'import' dotted_as (',' dotted_as)* | from_import | 'type' name type_parameters? '=' expr ;
+small: expression_statement | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' (expr ('from' expr)?)?
+  | ('global' | 'nonlocal') name (',' name)* | 'del' deleted | 'assert' expr (',' expr)? | 'import' dotted_as (',' dotted_as)*
+  | from_import | 'type' name type_parameters? '=' expr ;
 dotted: name ('.' name)* ;
 dotted_as: dotted ('as' name)? ;
 from_import: 'from' (('.' | '...')* dotted | ('.' | '...')+) 'import' ('*' | imported (',' imported)* | '(' imported (',' imported)* ','? ')') ;
 imported: name ('as' name)? ;
-expression_statement: stars (':' expr ('=' (yield | stars))? | augmented (yield | stars) | ('=' (yield | stars))*) | yield ('=' (yield | stars))* ;
+expression_statement: stars | yield | (targets '=')+ value | single augmented value
+  | (name | '(' single ')' | place) ':' expr ('=' value)? ;
+value: yield | stars ;
 augmented: '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '**=' ;
 yield: 'yield' ('from' expr | stars)? ;
-compound: if | while | for | try | with | function | class | 'async' (for | with | function_plain) | decorated | match ;
+
+# what may be assigned to: a name, an attribute or subscript of anything, tuples and lists of such
+targets: target (',' target)* ','? ;
+target: '*'? plain_target ;
+plain_target: place | name | '(' (plain_target | target ',' targets?)? ')' | '[' targets? ']' ;
+place: atom trailer* ('.' name | '[' subscripts ']') ;
+single: place | name | '(' single ')' ;
+deleted: deleted_one (',' deleted_one)* ','? ;
+deleted_one: place | name | '(' deleted? ')' | '[' deleted? ']' ;
+
+compound: if | while | for | try | with | function | class | 'async' (for | with | function) | decorated | match ;
 suite: simple_line | NEWLINE INDENT statement+ DEDENT ;
 if: 'if' named ':' suite ('elif' named ':' suite)* ('else' ':' suite)? ;
 while: 'while' named ':' suite ('else' ':' suite)? ;
-for: 'for' stars_no_in 'in' stars ':' suite ('else' ':' suite)? ;
-try: 'try' ':' suite (('except' '*'? (expr ('as' name)?)? ':' suite)+ ('else' ':' suite)? ('finally' ':' suite)? | 'finally' ':' suite) ;
+for: 'for' targets 'in' stars ':' suite ('else' ':' suite)? ;
+try: 'try' ':' suite ('finally' ':' suite | (except+ | except_group+) ('else' ':' suite)? ('finally' ':' suite)?) ;
+except: 'except' (expr ('as' name)?)? ':' suite ;
+except_group: 'except' '*' expr ('as' name)? ':' suite ;
 with: 'with' (with_item (',' with_item)* | '(' with_item (',' with_item)* ','? ')') ':' suite ;
-with_item: expr ('as' primary_star)? ;
-primary_star: '*'? operand ;
-function: function_plain ;
-function_plain: 'def' name type_parameters? '(' parameters? ')' ('->' stars)? ':' suite ;
-type_parameters: '[' type_parameter (',' type_parameter)* ','? ']' ;
-type_parameter: ('*' | '**')? name (':' expr)? ('=' expr)? ;
-parameters: parameter (',' parameter)* ','? ;
-parameter: '/' | '*' | ('*' | '**')? name (':' '*'? expr)? ('=' expr)? ;
+with_item: expr ('as' target)? ;
+function: 'def' name type_parameters? '(' parameters? ')' ('->' expr)? ':' suite ;
 class: 'class' name type_parameters? ('(' arguments? ')')? ':' suite ;
-decorated: ('@' named NEWLINE)+ (function | class | 'async' function_plain) ;
-match: 'match' stars ':' NEWLINE INDENT case+ DEDENT ;
-case: 'case' patterns ('if' named)? ':' suite ;
-patterns: pattern (',' pattern)* ','? ;
-pattern: ('*' name | or_pattern ('as' name)?) ;
-or_pattern: closed ('|' closed)* ;
-closed: '-'? NUMBER (('+' | '-') NUMBER)? | strings | 'None' | 'True' | 'False' | dotted ('(' (keyword_pattern (',' keyword_pattern)* ','?)? ')')?
-  | '(' patterns? ')' | '[' patterns? ']' | '{' (mapping (',' mapping)* ','?)? '}' ;
-keyword_pattern: (name '=')? pattern ;
-mapping: '**' name | ('-'? NUMBER | strings | dotted | 'None' | 'True' | 'False') ':' pattern ;
+decorated: ('@' named NEWLINE)+ (function | class | 'async' function) ;
+type_parameters: '[' type_parameter (',' type_parameter)* ','? ']' ;
+type_parameter: name (':' expr)? ('=' expr)? | '*' name ('=' star)? | '**' name ('=' expr)? ;
+
+# plain parameters, then those with defaults, a slash once after at least one of them, then what follows a star
+parameters: parameter (',' parameters_plain?)? | parameter '=' expr (',' parameters_default?)? | starred_parameters ;
+parameters_plain: parameter (',' parameters_plain?)? | parameter '=' expr (',' parameters_default?)? | '/' (',' slashed_plain?)? | starred_parameters ;
+parameters_default: parameter '=' expr (',' parameters_default?)? | '/' (',' slashed_default?)? | starred_parameters ;
+slashed_plain: parameter (',' slashed_plain?)? | parameter '=' expr (',' slashed_default?)? | starred_parameters ;
+slashed_default: parameter '=' expr (',' slashed_default?)? | starred_parameters ;
+starred_parameters: '*' name (':' star)? (',' keyword_parameters?)? | '*' ',' parameter ('=' expr)? (',' keyword_parameters?)? | '**' parameter ','? ;
+keyword_parameters: parameter ('=' expr)? (',' keyword_parameters?)? | '**' parameter ','? ;
+parameter: name (':' expr)? ;
+
+match: 'match' (star_named ',' star_nameds? | named) ':' NEWLINE INDENT case+ DEDENT ;
+case: 'case' (open_patterns | pattern) ('if' named)? ':' suite ;
+open_patterns: star_pattern ',' star_patterns? ;
+star_patterns: star_pattern (',' star_pattern)* ','? ;
+star_pattern: '*' name | pattern ;
+pattern: closed ('|' closed)* ('as' captured)? ;
+captured: NAME | 'match' | 'case' | 'type' ;
+closed: literal | dotted ('(' class_patterns? ')')? | '(' (open_patterns | pattern)? ')' | '[' star_patterns? ']' | '{' mappings? '}' ;
+literal: '-'? NUMBER (('+' | '-') IMAGINARY)? | '-'? IMAGINARY | strings | 'None' | 'True' | 'False' ;
+class_patterns: pattern (',' further_patterns?)? | keyword_patterns ;
+further_patterns: pattern (',' further_patterns?)? | captured '=' pattern (',' keyword_patterns?)? ;
+keyword_patterns: name '=' pattern (',' keyword_patterns?)? ;
+mappings: (literal | name ('.' name)+) ':' pattern (',' mappings?)? | '**' captured ','? ;
 
-name: NAME | 'match' | 'case' | 'type' ;
+name: NAME | 'match' | 'case' | 'type' | '_' ;
 stars: star (',' star)* ','? ;
-star: '*' flat | named ;
-stars_no_in: flat_star (',' flat_star)* ','? ;
-flat_star: '*'? arithmetic ;
-named: expr (':=' expr)? ;
+star: '*' flat | expr ;
+star_nameds: star_named (',' star_named)* ','? ;
+star_named: '*' flat | named ;
+named: name ':=' expr | expr ;
 expr: lambda | logic ('if' logic 'else' expr)? ;
-lambda: 'lambda' lambda_parameters? ':' expr ;
-lambda_parameters: lambda_parameter (',' lambda_parameter)* ','? ;
-lambda_parameter: '/' | '*' | ('*' | '**')? name ('=' expr)? ;
 logic: inversion (('and' | 'or') inversion)* ;
 inversion: 'not'* comparison ;
 comparison: flat (compare flat)* ;
 compare: '==' | '!=' | '<' | '>' | '<=' | '>=' | 'in' | 'not' 'in' | 'is' 'not'? ;
-flat: arithmetic ;
-arithmetic: operand (('+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '<<' | '>>' | '&' | '|' | '^') operand)* ;
+flat: operand (('+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '<<' | '>>' | '&' | '|' | '^') operand)* ;
 operand: ('+' | '-' | '~')* 'await'? atom trailer* ;
-trailer: '.' name | '(' arguments? ')' | '[' subscript (',' subscript)* ','? ']' ;
-subscript: expr? ':' expr? (':' expr?)? | '*' flat | named ;
-arguments: argument (',' argument)* ','? ;
-argument: ('*' | '**') expr | named comprehension? | name '=' expr ;
-comprehension: ('async'? 'for' stars_no_in 'in' logic comprehension_if*)+ ;
-comprehension_if: 'if' logic (':=' expr)? | 'if' lambda ;
-atom: name | NUMBER | strings | 'None' | 'True' | 'False' | '...' | '(' (yield | star comprehension? | star ',' | star (',' star)+ ','?)? ')'
-  | '[' (star comprehension? | star (',' star)* ','?)? ']' | '{' (dict | set)? '}' ;
-dict: (item comprehension? | item (',' item)* ','?) ;
-item: '**' flat | expr ':' expr ;
-set: star comprehension? | star (',' star)* ','? ;
-strings: (STRING | formatted)+ ;
+trailer: '.' name | '(' (named comprehension | arguments)? ')' | '[' subscripts ']' ;
+subscripts: subscript (',' subscript)* ','? ;
+subscript: expr? ':' expr? (':' expr?)? | '*' expr | named ;
+
+# positional arguments, then keywords, then what may follow two stars
+arguments: (named | '*' expr) (',' arguments?)? | name '=' expr (',' keyword_arguments?)? | '**' expr (',' last_arguments?)? ;
+keyword_arguments: (name '=' expr | '*' expr) (',' keyword_arguments?)? | '**' expr (',' last_arguments?)? ;
+last_arguments: (name '=' expr | '**' expr) (',' last_arguments?)? ;
+comprehension: ('async'? 'for' targets 'in' logic ('if' logic)*)+ ;
+atom: name | NUMBER | IMAGINARY | strings | 'None' | 'True' | 'False' | '...'
+  | '(' (yield | named comprehension? | star_named ',' star_nameds?)? ')' | '[' (named comprehension | star_nameds)? ']'
+  | '{' (pairs | expr ':' expr comprehension | star_nameds | named comprehension)? '}' ;
+pairs: pair (',' pair)* ','? ;
+pair: '**' flat | expr ':' expr ;
+
+lambda: 'lambda' lambda_parameters? ':' expr ;
+lambda_parameters: name (',' lambda_plain?)? | name '=' expr (',' lambda_default?)? | lambda_starred ;
+lambda_plain: name (',' lambda_plain?)? | name '=' expr (',' lambda_default?)? | '/' (',' lambda_slashed_plain?)? | lambda_starred ;
+lambda_default: name '=' expr (',' lambda_default?)? | '/' (',' lambda_slashed_default?)? | lambda_starred ;
+lambda_slashed_plain: name (',' lambda_slashed_plain?)? | name '=' expr (',' lambda_slashed_default?)? | lambda_starred ;
+lambda_slashed_default: name '=' expr (',' lambda_slashed_default?)? | lambda_starred ;
+lambda_starred: '*' name (',' lambda_keyword?)? | '*' ',' name ('=' expr)? (',' lambda_keyword?)? | '**' name ','? ;
+lambda_keyword: name ('=' expr)? (',' lambda_keyword?)? | '**' name ','? ;
+
+strings: (STRING | formatted)+ | BYTES+ ;
 formatted: FSTART fpart* FEND ;
-fpart: FMIDDLE | '{' (yield | stars) '='? ('!' name)? (':' fpart*)? '}' ;
+fpart: FMIDDLE | '{' value '='? ('!' CONVERSION)? (':' fpart*)? '}' ;
 """

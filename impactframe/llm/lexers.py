@@ -11,6 +11,7 @@ import keyword
 import re
 import token as pytoken
 import tokenize
+import unicodedata
 
 # Words that stand for themselves in the grammars.
 PLSQL_WORDS = frozenset(
@@ -123,30 +124,73 @@ def vba_tokens(text: str) -> list[tuple[str, int]]:
     return [*out, ("NL", line)]
 
 
-_SOFT = ("match", "case", "type")
-_PY_CLASS = {pytoken.NUMBER: "NUMBER", pytoken.STRING: "STRING", pytoken.NEWLINE: "NEWLINE", pytoken.INDENT: "INDENT"}
-_PY_CLASS |= {pytoken.DEDENT: "DEDENT", pytoken.ENDMARKER: "ENDMARKER", pytoken.FSTRING_START: "FSTART"}
-_PY_CLASS |= {pytoken.FSTRING_MIDDLE: "FMIDDLE", pytoken.FSTRING_END: "FEND"}
+_SOFT = ("match", "case", "type", "_")
+_PY_CLASS = {pytoken.NEWLINE: "NEWLINE", pytoken.INDENT: "INDENT", pytoken.DEDENT: "DEDENT", pytoken.ENDMARKER: "ENDMARKER"}
+_PY_CLASS |= {pytoken.FSTRING_START: "FSTART", pytoken.FSTRING_MIDDLE: "FMIDDLE", pytoken.FSTRING_END: "FEND"}
+_ESCAPE = re.compile(r"\\(?:(x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|N\{([^}]+)\}|[^xuUN])|.?)", re.S)
+_OCTAL = re.compile(r"0[\d_]*[1-9][\d_]*")  # no number of Python 3
+_BYTE_ESCAPE = re.compile(r"\\(?:(x[0-9a-fA-F]{2}|[^x])|.?)", re.S)
+
+
+def _literal(text: str) -> str:
+    """STRING or BYTES, or BAD where its content cannot be: foreign characters in bytes, escapes that are not complete."""
+    quote = min(i for i in (text.find("'"), text.find('"')) if i >= 0)
+    prefix = text[:quote].lower()
+    kind = "BYTES" if "b" in prefix else "STRING"
+    if kind == "BYTES" and not text.isascii():
+        return "BAD"
+    return kind if "r" in prefix or _escapes_complete(text, kind == "BYTES") else "BAD"
+
+
+def _escapes_complete(text: str, of_bytes: bool = False) -> bool:
+    if "\\" not in text:
+        return True
+    for m in (_BYTE_ESCAPE if of_bytes else _ESCAPE).finditer(text):
+        if m.group(1) is None and m.group() != "\\":  # a backslash may come last before a field of an f-string
+            return False
+        if not of_bytes and m.group(2):
+            try:
+                unicodedata.lookup(m.group(2))
+            except KeyError:
+                return False
+    return True
 
 
 def python_tokens(text: str) -> list[tuple[str, int]]:
+    """By the tokens of Python's own lexer, so its bounds hold: 200 open brackets, 100 levels of indentation."""
     out: list[tuple[str, int]] = []
+    raw: list[bool] = []  # of each open f-string
+    after: tuple[int, int] | None = None  # where the last operator ended
     try:
         for t in tokenize.generate_tokens(io.StringIO(text).readline):
             kind = t.type
             if kind == pytoken.NAME:
                 value = t.string
-                word = keyword.iskeyword(value) or value in _SOFT
-                out.append((value if word else "NAME", t.start[0]))
+                if out and out[-1][0] == "!":
+                    out.append(("CONVERSION" if value in ("s", "r", "a") and after == t.start else "BAD", t.start[0]))
+                else:
+                    word = keyword.iskeyword(value) or value in _SOFT
+                    out.append((value if word else "NAME" if value.isidentifier() else "BAD", t.start[0]))
             elif kind == pytoken.OP:
                 out.append((t.string, t.start[0]))
+                after = t.end
+            elif kind == pytoken.NUMBER:
+                kind = "BAD" if _OCTAL.fullmatch(t.string) else "IMAGINARY" if t.string[-1] in "jJ" else "NUMBER"
+                out.append((kind, t.start[0]))
+            elif kind == pytoken.STRING:
+                out.append((_literal(t.string), t.start[0]))
             elif kind in _PY_CLASS:
-                out.append((_PY_CLASS[kind], t.start[0]))
+                if kind == pytoken.FSTRING_START:
+                    raw.append("r" in t.string.lower())
+                elif kind == pytoken.FSTRING_END:
+                    raw.pop()
+                fine = kind != pytoken.FSTRING_MIDDLE or raw[-1] or _escapes_complete(t.string)
+                out.append((_PY_CLASS[kind] if fine else "BAD", t.start[0]))
             elif kind == pytoken.ERRORTOKEN:
                 return [*out, ("BAD", t.start[0])]
     except tokenize.TokenError as error:
         line = error.args[1][0] if len(error.args) > 1 and error.args[1] else 0
         return [*out, ("OPEN" if "EOF" in str(error.args[0]) or "unterminated triple" in str(error.args[0]) else "BAD", line)]
-    except (SyntaxError, ValueError, RecursionError) as error:
+    except (SyntaxError, ValueError) as error:
         return [*out, ("BAD", getattr(error, "lineno", 0) or 0)]
     return out

@@ -2,7 +2,9 @@
 
 import ast
 import itertools
+import random
 import re
+import warnings
 
 import pytest
 
@@ -169,6 +171,77 @@ def test_python_agrees_with_the_compiler():
             assert (v.verdict(text, "python")[0] == "valid") == fine, text[-80:]
 
 
+def compiles(text):
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+#: Valid statements, each beside one that only its place, order or target makes invalid.
+PAIRS = [[half.replace("\\n", "\n") + "\n" for half in line.split(" ||| ")] for line in r"""x = 1 ||| 1 = x
+f().x = 3 ||| f() = 3
+a += 1 ||| a, b += 1
+del f().x, (y, [z]) ||| del f()
+f(1, *a, k=2, *b, **c, d=3) ||| f(a=1, 2)
+def f(x, /, y=1, *a, z, w=2, **k): pass ||| def f(x=1, y): pass
+def f(x, *, y): pass ||| def f(x, *): pass
+f(*a, **k) ||| f(**k, *a)
+x = yield ||| (yield) = 1
+with open(x) as f().y, g as (a, *b): pass ||| with open(x) as f(): pass
+for x.y, *z in q: pass ||| for 1 in x: pass
+f(i for i in x) ||| f(i for i in x, 1)
+(x): int = 1 ||| x, y: int = 1
+[a, *b] = c = yield ||| [a, 1] = c
+x[1:2, *y] ||| x[1:2:3:4]
+lambda x, /, *, y=1: x ||| lambda x=1, y: x
+if (y := 1): pass ||| if y := 1 := 2: pass
+print(f"{x!r:>{w}}", "a" f"b") ||| print(f"{x!q}")
+b"a" rb"b" ||| b"a" "b"
+"\N{BULLET}\x41" ||| "\x4"
+0x1F + 1_0 + 00 ||| 012 + 1
+match x:\n  case [1, *_] | {"a": -1j, **r} | K(a, b=c.d) if x: pass ||| match x:\n  case K(b=1, a): pass
+try: pass\nexcept* A: pass ||| try: pass\nexcept A: pass\nexcept* B: pass
+type X[T: int, *U, **V] = T ||| type X[*U: int] = 1
+@a.b[0]\nclass C(A, m=B): pass ||| class C(i for i in x): pass""".split("\n")]
+
+
+@pytest.mark.parametrize("good,bad", PAIRS)
+def test_python_statements(good, bad):
+    for text, fine in ((good, True), (bad, False)):
+        assert compiles(text) == fine
+        assert (v.verdict(text, "python")[0] == "valid") == fine
+
+
+def test_python_mutations_agree_with_the_compiler():
+    """Tokens of valid statements dropped, doubled and replaced at random, judged by the compiler's parser."""
+    draw = random.Random(7)
+    good = [g for g, _ in PAIRS]
+    good += [s for s in PYTHON.split("\n") if s and compiles(s.strip())]
+    pieces = [re.findall(r"\w+|\s+|\*\*|:=|[^\w\s]", s) for s in good]
+    spare = sorted({p for ps in pieces for p in ps} | {"await", "async", "lambda", "not", "_", "1j", "b''", "..."})
+    for _ in range(6_000):
+        parts = list(draw.choice(pieces))
+        k = draw.randrange(len(parts))
+        parts[k : k + draw.randrange(2)] = draw.choice([[], [draw.choice(spare)], [" ", draw.choice(spare), " "]])
+        text = "".join(parts) + "\n"
+        assert (v.verdict(text, "python")[0] == "valid") == compiles(text), text
+
+
+@pytest.mark.parametrize("depth", [200, 400, 5_000])
+def test_deep_nesting(depth):
+    nested = "(" * depth + "1" + ")" * depth
+    assert v.verdict(f"BEGIN x := {nested}; END;\n", "plsql")[0] == "valid"
+    assert v.verdict(f"BEGIN x := {nested}); END;\n", "plsql") == ("token", 1, 2 * depth + 5)
+    assert v.verdict("BEGIN\n" + "IF a THEN\n" * depth + "NULL;\n" + "END IF;\n" * depth + "END;\n", "plsql")[0] == "valid"
+    assert v.verdict("BEGIN\n" + "IF a THEN\n" * depth + "NULL;\n" + "END IF;\n" * (depth - 1) + "END;\n", "plsql")[0] != "valid"
+    assert v.verdict(f"Sub a()\nx = {nested}\n" + "If x Then\n" * depth + "End If\n" * depth + "End Sub\n", "vba")[0] == "valid"
+    assert v.verdict("x = " + "a if b else " * depth + "lambda: " * depth + "c\n", "python")[0] == "valid"
+
+
 def test_edges():
     for language in FILES:
         assert v.verdict("", language)[0] == "valid" and v.verdict("﻿\n", language)[0] == "valid"
