@@ -1,9 +1,11 @@
 """Processing only new or changed records (problem 2).
 
 A record is a file change; its *version* is the content (change_set_id, path, status, both hashes). Each run of
-the consumer covers a stretch of a root's chain of revisions. What the next run must process is found by rereading
-from the oldest transaction (change set) still open at the last successful runs, and anti-joining the key-and-version
-pairs with the ledger of what those runs have processed.
+the consumer covers a stretch of a root's chain of revisions. A change set is a transaction: it is open beyond the start
+of the last succeeded run that covers it. What the next run must process is found in three steps. A narrow scan (keys and
+landing times alone) keeps the rows beyond that point; with the mark of an earlier call it starts at the oldest
+transaction open then, as a filter pushed to the file scan. The wide columns are reread for the change ids so found and
+no others. Their key-and-version pairs are anti-joined with the ledger of what the runs have processed.
 
 Chains are ranked by pointer doubling and stretches are matched through dyadic blocks, so a root with a third of all
 rows is never gathered in one task and no run is paired with every change set of its root.
@@ -22,19 +24,19 @@ MAX_DOUBLINGS = 40
 
 
 def version_of(*columns: str) -> Column:
-    """Hash over columns in which null differs from every text."""
+    """16-byte hash over columns in which null differs from every text."""
     parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
 
 
 def contents(file_change: DataFrame) -> DataFrame:
-    """One row per (change_id, version) with the earliest landing of that content.
+    """One row per (change_id, version) with the earliest landing of that content, null where none is known.
 
-    Rows without change_id or landed_at cannot be placed in time and are left out. Repeated rows collapse.
+    Rows without change_id are left out. Repeated rows collapse.
     """
     return (
-        file_change.where(F.col("change_id").isNotNull() & F.col("landed_at").isNotNull())
-        .withColumn("version", version_of(*CONTENT))
+        file_change.where(F.col("change_id").isNotNull())
+        .select("change_id", version_of(*CONTENT).alias("version"), "landed_at", "root_id", "change_set_id")
         .groupBy("change_id", "version")
         .agg(
             F.min("landed_at").alias("landed"),
@@ -45,7 +47,8 @@ def contents(file_change: DataFrame) -> DataFrame:
 
 
 def current_contents(found: DataFrame) -> DataFrame:
-    """Of several contents of a change the one that landed last; ties go to the larger version hash."""
+    """Of several contents of a change the one that landed last, before it those of unknown landing; ties go to the larger
+    version hash."""
     best = F.max(F.struct("landed", "version", "root_id", "change_set_id")).alias("b")
     return found.groupBy("change_id").agg(best).select("change_id", "b.*")
 
@@ -84,8 +87,7 @@ def chain_positions(change_set: DataFrame, start: str = "initial") -> DataFrame:
 
 def _blocks(lo: Column, hi: Column) -> Column:
     """Dyadic blocks (level, index) that together cover the integers lo+1 .. hi (segment-tree decomposition)."""
-    level = F.struct(F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("block"))
-    empty = F.array().cast(f"array<{level_type()}>")
+    empty = F.array().cast("array<struct<level:int,block:bigint>>")
 
     def step(acc: Column, k: Column) -> Column:
         left, right = acc["l"], acc["r"]
@@ -101,15 +103,10 @@ def _blocks(lo: Column, hi: Column) -> Column:
             F.floor(left2 / 2).cast("bigint").alias("l"), F.floor(right2 / 2).cast("bigint").alias("r"), out.alias("out")
         )
 
-    del level
     init = F.struct((lo + 1).cast("bigint").alias("l"), (hi + 1).cast("bigint").alias("r"), empty.alias("out"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(MAX_DOUBLINGS)), init, step, lambda acc: acc["out"])
 
 
-def level_type() -> str:
-    return "struct<level:int,block:bigint>"
-
-
 def covered_until(change_set: DataFrame, positions: DataFrame, runs: DataFrame) -> DataFrame:
     """(root_id, change_set_id, covered): the latest start of a succeeded run whose stretch holds the change set.
 
@@ -159,30 +156,66 @@ def covered_until(change_set: DataFrame, positions: DataFrame, runs: DataFrame)
     ).agg(F.max("covered").alias("covered"))
 
 
-def pending_changes(change_set: DataFrame, file_change: DataFrame, doc_run: DataFrame) -> DataFrame:
+def open_rows(file_change: DataFrame, cover: DataFrame, since: int | None = None) -> DataFrame:
+    """(change_id, landed_at) of the rows that no run is known to have processed: beyond the last start that covers their
+    change set, of an uncovered or unknown one, or without a landing time. Keys and times alone are read.
+
+    since (in microseconds): nothing that landed before is open; a filter on landed_at, pushed to the scan.
+    """
+    rows = file_change.where(F.col("change_id").isNotNull()).select("root_id", "change_set_id", "change_id", "landed_at")
+    if since is not None:
+        rows = rows.where((F.col("landed_at") >= F.timestamp_micros(F.lit(since).cast("bigint"))) | F.col("landed_at").isNull())
+    closed = cover.where(F.col("covered").isNotNull())
+    marked = rows.join(closed, ["root_id", "change_set_id"], "left")
+    return marked.where("covered is null or landed_at is null or landed_at > covered").select("change_id", "landed_at")
+
+
+def pending_changes(change_set: DataFrame, file_change: DataFrame, doc_run: DataFrame, mark: DataFrame | None = None) -> DataFrame:
     """(root_id, change_id, version, change_set_id, landed): every file change the next run still has to process.
 
     Done is a change whose counting content landed no later than the start of a succeeded run that covers its change
-    set. Nulls: rows without change_id or landed_at are left out; a change whose root or change set is unknown is
-    pending. Empty tables give no rows (no changes) or all changes (no runs). Extra columns are ignored.
+    set. mark: what `mark_of` gave for an earlier call, to read from the oldest transaction open then; it is dropped where
+    a run it counted on was withdrawn. Nulls: rows without change_id are left out; a change without landing time, or whose
+    root or change set is unknown, is pending. Empty tables give no rows (no changes) or all changes (no runs). Extra
+    columns are ignored.
     """
-    found = cut(contents(file_change))
     cover = cut(covered_until(change_set, chain_positions(change_set), doc_run))
-    # Oldest open transaction: everything landed up to a root's floor is closed, unless its change set was never covered.
-    floor = cover.groupBy("root_id").agg(F.min("covered").alias("floor"))
-    known = found.join(cover, ["root_id", "change_set_id"], "left")
+    since = None if mark is None else _floor(mark, doc_run)
+    ids = cut(open_rows(file_change, cover, since).select("change_id").distinct())
+    least, most = ids.agg(F.min("change_id"), F.max("change_id")).first()
+    wide = file_change.where(F.lit(False) if least is None else F.col("change_id").between(least, most))  # pushed to the scan
+    found = contents(wide.join(ids, "change_id", "left_semi"))
+    known = cut(found.join(cover, ["root_id", "change_set_id"], "left"))
     ledger = known.where(F.col("landed") <= F.col("covered")).select("change_id", "version")
-    now = (
-        current_contents(found)
-        .join(cover, ["root_id", "change_set_id"], "left")
-        .join(F.broadcast(floor) if _few(floor) else floor, "root_id", "left")
-        .where(F.col("covered").isNull() | F.col("floor").isNull() | (F.col("landed") > F.col("floor")))
-    )
-    return now.join(ledger, ["change_id", "version"], "left_anti").select(
-        "root_id", "change_id", "version", "change_set_id", "landed"
+    return current_contents(known).join(ledger, ["change_id", "version"], "left_anti").select(
+        "root_id", "change_id", F.lower(F.hex("version")).alias("version"), "change_set_id", "landed"
     )
 
 
-def _few(df: DataFrame, rows: int = 50_000) -> bool:
-    """True where df has at most `rows` rows; counted before any broadcast."""
-    return df.limit(rows + 1).count() <= rows
+_RUN = ("run_id", "root_id", "baseline_revision", "working_revision", "started_at")
+
+
+def _succeeded(doc_run: DataFrame) -> DataFrame:
+    return doc_run.where((F.col("status") == "succeeded") & F.col("started_at").isNotNull()).select(*_RUN).distinct()
+
+
+def mark_of(pending: DataFrame, file_change: DataFrame, doc_run: DataFrame) -> DataFrame:
+    """(run columns, floor): the succeeded runs that `pending` rests on and the oldest landing it left open.
+
+    To be written once the run that processes `pending` has succeeded, or at any earlier time: a mark that is too old
+    only means more reading. With nothing open the floor is the newest landing; without runs there is no mark. It holds as
+    long as change sets and changes are only added, the latter with later landing times than the floor.
+    """
+    floor = pending.agg(F.min(F.unix_micros("landed"))).first()[0]
+    if floor is None:
+        floor = file_change.agg(F.max(F.unix_micros("landed_at"))).first()[0]
+    return _succeeded(doc_run).withColumn("floor", F.timestamp_micros(F.lit(floor).cast("bigint")))
+
+
+def _floor(mark: DataFrame, doc_run: DataFrame) -> int | None:
+    """The mark's floor, null where there is none or a run it counts on has been withdrawn or altered since."""
+    on = [F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}")) for c in _RUN]
+    if not mark.alias("m").join(_succeeded(doc_run).alias("r"), on, "left_anti").isEmpty():
+        return None
+    row = mark.select(F.unix_micros("floor").alias("floor")).first()
+    return row.floor if row else None
