@@ -21,6 +21,8 @@ from impactframe.session import cut
 CONTENT = ("change_set_id", "path", "status", "baseline_sha256", "working_sha256")
 #: Chains longer than 2**MAX_DOUBLINGS are not ranked further; also the guard against cyclic chains.
 MAX_DOUBLINGS = 40
+#: Change ids (one number each) up to which the open ones are broadcast, counted first; beyond, both sides are exchanged.
+FEW_IDS = 1_000_000
 
 
 def version_of(*columns: str) -> Column:
@@ -29,15 +31,19 @@ def version_of(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
 
 
-def contents(file_change: DataFrame) -> DataFrame:
+def contents(file_change: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """One row per (change_id, version) with the earliest landing of that content, null where none is known.
 
-    Rows without change_id are left out. Repeated rows collapse.
+    Rows without change_id, and those of other change ids than `ids` where given, are left out. Repeated rows collapse.
+    Contents become versions before any exchange.
     """
+    rows = file_change.where(F.col("change_id").isNotNull()).select(
+        "change_id", version_of(*CONTENT).alias("version"), "landed_at", "root_id", "change_set_id"
+    )
+    if ids is not None:
+        rows = rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "change_id", "left_semi")
     return (
-        file_change.where(F.col("change_id").isNotNull())
-        .select("change_id", version_of(*CONTENT).alias("version"), "landed_at", "root_id", "change_set_id")
-        .groupBy("change_id", "version")
+        rows.groupBy("change_id", "version")
         .agg(
             F.min("landed_at").alias("landed"),
             F.min("root_id").alias("root_id"),
@@ -136,6 +142,7 @@ def covered_until(change_set: DataFrame, positions: DataFrame, runs: DataFrame)
         .groupBy("root_id", "b.level", "b.block")
         .agg(F.max("started").alias("started"))
     )
+    blocks = cut(blocks)
     levels = blocks.select("level").distinct().orderBy("level").limit(MAX_DOUBLINGS + 1).collect()  # at most 41 values
     wanted = [r[0] for r in levels]
     if not wanted:
@@ -184,7 +191,7 @@ def pending_changes(change_set: DataFrame, file_change: DataFrame, doc_run: Data
     ids = cut(open_rows(file_change, cover, since).select("change_id").distinct())
     least, most = ids.agg(F.min("change_id"), F.max("change_id")).first()
     wide = file_change.where(F.lit(False) if least is None else F.col("change_id").between(least, most))  # pushed to the scan
-    found = contents(wide.join(ids, "change_id", "left_semi"))
+    found = contents(wide, ids)
     known = cut(found.join(cover, ["root_id", "change_set_id"], "left"))
     ledger = known.where(F.col("landed") <= F.col("covered")).select("change_id", "version")
     return current_contents(known).join(ledger, ["change_id", "version"], "left_anti").select(
