@@ -29,9 +29,9 @@ LANDMARKS = 220
 CHAR_DECAY, WORD_DECAY, WINDOW, LEAST = 0.65, 0.75, 48, 0.55
 ROUNDS = 5
 #: Soft matches in a passage from which the plain recursion is used, and squared matches in a batch of the index.
-CROWDED, BATCH = 250, 300_000
+CROWDED, BATCH = 250, 1_000_000
 #: Documents scored together.
-TOGETHER = 128
+TOGETHER = 1_000
 #: Distance above the machine's boundary from which a passage counts as abusive; subtracted from every score.
 MARGIN = 0.35
 
@@ -45,8 +45,16 @@ _TOKEN = re.compile(r"[^\W\d_]['’]?(?:[\w@$!*'’]*[\w@$*])?|\d[\w@$!*]*[^\W\d
 _RUN = re.compile(r"(.)\1{2,}")
 
 
+_MARK = re.compile(r"[.?!]\s|[。？！]")
+
+
 def passages(text: str | None) -> list[str]:
-    return [s for s in (p.strip() for p in _END.split(text)) if s] if text else []
+    if not text:
+        return []
+    parts: list[str] = []
+    for line in text.split("\n"):
+        parts += _END.split(line) if _MARK.search(line) else (line,)
+    return [s for s in map(str.strip, parts) if s]
 
 
 def _is_cjk(c: str) -> bool:
@@ -54,34 +62,57 @@ def _is_cjk(c: str) -> bool:
 
 
 _WORDS = re.compile("§|" + _TOKEN.pattern)
+_QUOTED = re.compile(r"`[^`\n]*`")
+_chunks: dict[str, tuple[tuple[str, ...], int]] = {}
 
 
-def tokens(passage: str) -> list[str]:
-    """Normalised words: names of code become one sign, look-alikes and letter digits fold, spaced letters join."""
-    if passage.isascii():
-        pieces = _WORDS.findall(_CODE.sub(" § ", passage).lower())
+def _pieces(chunk: str) -> tuple[tuple[str, ...], int]:
+    """(normalised words of a stretch without blanks, how many of them are single letters)."""
+    if chunk.isascii():
+        found = _WORDS.findall(_CODE.sub(" § ", chunk).lower())
     else:
-        text = unicodedata.normalize("NFKC", passage)
+        text = unicodedata.normalize("NFKC", chunk)
         text = "".join(c for c in text if c < "\x7f" or unicodedata.category(c) != "Cf")
-        text = _CODE.sub(" § ", text).casefold().translate(LOOK_ALIKE)
-        pieces = []
-        for w in _WORDS.findall(text):
-            if not w.isascii() and any(map(_is_cjk, w)):
-                pieces += list(w)
-            else:
-                pieces.append(w)
+        found = []
+        for w in _WORDS.findall(_CODE.sub(" § ", text).casefold().translate(LOOK_ALIKE)):
+            found += list(w) if not w.isascii() and any(map(_is_cjk, w)) else [w]
+    words = tuple(_RUN.sub(r"\1", w if w.isalpha() or w == "§" or not any(map(str.isalpha, w)) else w.translate(LEET)) for w in found)
+    return words, sum(map(_is_single, words))
+
+
+def _is_single(w: str) -> bool:
+    return len(w) == 1 and w.isalpha() and not _is_cjk(w)
+
+
+def tokens(passage: str) -> list[str]:
+    """Normalised words: names of code become one sign, look-alikes and letter digits fold, spaced letters join."""
+    if "`" in passage:
+        passage = _QUOTED.sub(" § ", passage)
+    if len(_chunks) > 500_000:
+        _chunks.clear()
+    out: list[str] = []
+    letters = 0
+    for chunk in passage.split():
+        found = _chunks.get(chunk)
+        if found is None:
+            found = _chunks[chunk] = _pieces(chunk)
+        out += found[0]
+        letters += found[1]
+    return _joined(out) if letters > 2 else out
+
+
+def _joined(words: list[str]) -> list[str]:
+    """Three or more single letters in a row become one word."""
     out: list[str] = []
     single: list[str] = []
-    for w in pieces:
-        if len(w) == 1 and w.isalpha() and not _is_cjk(w):
+    for w in [*words, ""]:
+        if w and _is_single(w):
             single.append(w)
             continue
-        if single:
-            out += ["".join(single)] if len(single) >= 3 else single
-            single = []
-        out.append(w if w.isalpha() or w == "§" else w.translate(LEET) if any(c.isalpha() for c in w) else w)
-    out += ["".join(single)] if len(single) >= 3 else single
-    return [_RUN.sub(r"\1", w) for w in out] if _RUN.search(" ".join(out)) else out
+        out += [_RUN.sub(r"\1", "".join(single))] if len(single) >= 3 else single
+        single = []
+        out.append(w)
+    return out[:-1]
 
 
 class Postings:
@@ -92,14 +123,28 @@ class Postings:
         self.rows, self.weights = rows[order], weights[order]
         self.keys, first = np.unique(keys[order], return_index=True)
         self.ends = np.append(first, len(keys))
+        slot = self._slot(self.keys)
+        self.place = np.full(1 << 22, -1, np.int32)
+        self.place[slot] = np.arange(len(self.keys))
+        self.shared = np.zeros(1 << 22, bool)
+        self.shared[slot[self.place[slot] != np.arange(len(slot))]] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the keys are there, their places in the index)."""
-        if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.searchsorted(self.keys, keys).clip(0, len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == keys)
-        return hit, at[hit]
+        """(which of the keys are there, their places in the index): by a hash table, by search where keys share a slot."""
+        slot = self._slot(keys)
+        at = self.place[slot]
+        hit = np.flatnonzero(at >= 0)
+        at = at[hit].astype(np.int64)
+        same = self.keys[at] == keys[hit]
+        other = np.flatnonzero(~same & self.shared[slot[hit]])
+        if len(other):
+            at[other] = np.searchsorted(self.keys, keys[hit[other]]).clip(0, len(self.keys) - 1)
+            same[other] = self.keys[at[other]] == keys[hit[other]]
+        return hit[same], at[same]
 
     def add(self, at: np.ndarray, owner: np.ndarray, value: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
         """Sums of value times weight by (owner, row) over all entries of the places."""
@@ -107,6 +152,10 @@ class Postings:
         cells = owner[item] * shape[1] + self.rows[entry]
         return np.bincount(cells, value[item] * self.weights[entry], shape[0] * shape[1]).reshape(shape)
 
+    def fold(self, by_row: np.ndarray) -> np.ndarray:
+        """One number per key: the sum of its entries' weights times by_row."""
+        return np.add.reduceat(self.weights * by_row[self.rows], self.ends[:-1]) if len(self.keys) else np.zeros(0)
+
 
 def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(item, position) of every position in the ranges [begin, end) of the items."""
@@ -116,7 +165,10 @@ def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class WordKernel:
-    """Soft matches between any word and a fixed vocabulary, by gapped character subsequences of up to three letters."""
+    """Soft matches between any word and a fixed vocabulary, by gapped character subsequences of up to three letters.
+
+    A word of one or two letters has no subsequence of three and matches itself alone.
+    """
 
     def __init__(self, vocabulary: list[str]):
         self.vocabulary = vocabulary
@@ -124,33 +176,42 @@ class WordKernel:
         self.own = np.ones((3, len(vocabulary)))
         entries: dict[str, list[tuple[int, float]]] = {}
         for i, w in enumerate(vocabulary):
-            if len(w) >= 4:
+            if len(w) >= 3:
                 found = subsequences(w)
                 self.own[:, i] = _squares(found)
                 for part, weight in found.items():
                     entries.setdefault(part, []).append((i, weight))
         self.index = {part: (np.array([i for i, _ in e]), np.array([x for _, x in e])) for part, e in entries.items()}
-        self.memo: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.counts: list[int] = []  # of matches
+
+    def number(self, word: str) -> int:
+        """Place of the word's matches in `found`."""
+        no = self.known.get(word)
+        if no is None:
+            no = self.known[word] = len(self.found)
+            self.found.append(self._matches(word))
+            self.counts.append(len(self.found[-1][0]))
+        return no
 
     def matches(self, word: str) -> tuple[np.ndarray, np.ndarray]:
         """(vocabulary indexes, similarity in (0, 1]) of the words that match; none is filtered out beforehand."""
-        found = self.memo.get(word)
-        if found is not None:
-            return found
-        if len(word) < 4:
+        return self.found[self.number(word)]
+
+    def _matches(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(word) < 3:
             at = self.exact.get(word)
-            found = (np.array([] if at is None else [at], np.int64), np.ones(0 if at is None else 1))
-        else:
-            sim = self.similarity(word)
-            rows = np.flatnonzero(sim > LEAST)
-            found = (rows, ((sim[rows] - LEAST) / (1 - LEAST)).clip(0, 1))
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        self.memo[word] = found
-        return found
+            return np.array([] if at is None else [at], np.int64), np.ones(0 if at is None else 1)
+        sim = self.similarity(word)
+        rows = np.flatnonzero(sim > LEAST)
+        return rows, ((sim[rows] - LEAST) / (1 - LEAST)).clip(0, 1)
 
     def similarity(self, word: str) -> np.ndarray:
-        """Weighted mean of the normalised kernels with every vocabulary word; 0 with those under four letters."""
+        """Weighted mean of the normalised kernels with every vocabulary word; 0 with those under three letters."""
         mine = subsequences(word)
         own = _squares(mine)
         rows: list[list[np.ndarray]] = [[], [], []]
@@ -204,6 +265,8 @@ class PassageKernel:
         vocabulary = list(dict.fromkeys(w for words in landmarks for w in words))
         self.words = WordKernel(vocabulary)
         self.longest = max((len(w) for w in landmarks), default=1)
+        self.span = WINDOW + 1
+        self.norms: list[np.ndarray] = []
         self.places = np.full((len(landmarks), self.longest), len(vocabulary), np.int64)
         for i, words in enumerate(landmarks):
             self.places[i, : len(words)] = [self.words.exact[w] for w in words]
@@ -232,31 +295,38 @@ class PassageKernel:
         pair = np.searchsorted(self.twos.keys, join([k[0] for k, _, _ in parts[2]], np.int64))
         last = join([k[1] for k, _, _ in parts[2]], np.int64)
         self.threes = Postings(pair * size + last, join([r for _, r, _ in parts[2]], np.int64), join([w for _, _, w in parts[2]], np.float64))
-
-    def _cross(self, batch: list[list[str]]) -> np.ndarray:
-        """The same as _kernels for many passages, (3, passages, landmarks), by the index."""
-        shape = (len(batch), len(self.landmarks))
-        found = [self.words.matches(w) for words in batch for w in words]
-        counts = np.array([len(at) for at, _ in found], np.int64)
-        word = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in found)])
-        sim = np.concatenate([np.zeros(0), *(s for _, s in found)])
-        lengths = np.array([len(words) for words in batch], np.int64)
-        place = np.repeat(_spread(np.zeros_like(lengths), lengths)[1], counts)
-        owner = np.repeat(np.repeat(np.arange(len(batch)), lengths), counts)
-        hit, at = self.ones.find(word)
-        one = self.ones.add(at, owner[hit], sim[hit], shape)
-        ends = np.searchsorted(owner, owner, "right")
-        x, y = _spread(np.arange(len(word)) + 1, ends)
-        later = place[x] < place[y]
-        x, y = x[later], y[later]
-        hit, pair = self.twos.find(word[x] * len(self.words.vocabulary) + word[y])
+        self.index = (self.ones, self.twos, self.threes)
+
+    def _hits(self, ids: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For subsequences of one, two and three words: (place in the index, passage, value) of every soft match.
+
+        ids: the numbers of the words of all passages, lengths: how many each passage has.
+        """
+        owners = np.repeat(np.arange(len(lengths)), lengths)
+        places = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        used, which = np.unique(ids, return_inverse=True)
+        found = [self.words.found[i] for i in used]
+        ends = np.cumsum([0, *(len(at) for at, _ in found)])
+        item, entry = _spread(ends[which], ends[which + 1])
+        word = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in found)])[entry]
+        sim = np.concatenate([np.zeros(0), *(s for _, s in found)])[entry]
+        owner, place = owners[item], places[item]
+        size = len(self.words.vocabulary)
+        hit, one = self.ones.find(word)
+        out = [(one, owner[hit], sim[hit])]
+        after = np.cumsum(np.bincount(item, minlength=len(ids)))[item]  # partners at later places of the same passage
+        last = np.cumsum(np.bincount(owner, minlength=len(lengths)))[owner]
+        x, y = _spread(after, last)
+        hit, pair = self.twos.find(word[x] * size + word[y])
         x, y = x[hit], y[hit]  # x never falls, so the pairs that go on from y are a range
-        two = self.twos.add(pair, owner[x], sim[x] * sim[y] * WORD_DECAY ** (place[y] - place[x] - 1.0), shape)
-        former, latter = _spread(np.searchsorted(x, y), np.searchsorted(x, y, "right"))
-        hit, at = self.threes.find(pair[former] * len(self.words.vocabulary) + word[y[latter]])
+        decay = WORD_DECAY ** np.arange(self.span)
+        out.append((pair, owner[x], sim[x] * sim[y] * decay[place[y] - place[x] - 1]))
+        begin = np.concatenate(([0], np.cumsum(np.bincount(x, minlength=len(word)))))
+        former, latter = _spread(begin[y], begin[y + 1])
+        hit, three = self.threes.find(pair[former] * size + word[y[latter]])
         a, b, c = x[former[hit]], y[former[hit]], y[latter[hit]]
-        three = self.threes.add(at, owner[a], sim[a] * sim[b] * sim[c] * WORD_DECAY ** (place[c] - place[a] - 2.0), shape)
-        return np.stack([one, two, three])
+        out.append((three, owner[a], sim[a] * sim[b] * sim[c] * decay[place[c] - place[a] - 2]))
+        return out
 
     def _kernels(self, words: list[str]) -> np.ndarray:
         n = len(self.landmarks)
@@ -286,50 +356,92 @@ class PassageKernel:
             touched = True
         return total
 
-    def self_norms(self, batch: list[list[str]]) -> np.ndarray:
-        """Kernels of passages with themselves, (3, passages), words matching exactly."""
-        out = np.zeros((3, len(batch)))
-        groups: dict[int, list[int]] = {}
-        for k, words in enumerate(batch):
-            groups.setdefault(len(words), []).append(k)
-        for n, at in groups.items():
-            ids: dict[str, int] = {}
-            codes = np.array([[ids.setdefault(w, len(ids)) for w in batch[k]] for k in at]).reshape(len(at), n)
-            steps = np.arange(n)
-            scan = np.where(steps[:, None] <= steps[None, :], WORD_DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0.0)
-            first, second = np.zeros((len(at), n)), np.zeros((len(at), n))
-            for i in range(n):
-                match = (codes == codes[:, i : i + 1]).astype(float)
-                step1, step2 = np.zeros_like(match), np.zeros_like(match)
-                step1[:, 1:] = match[:, 1:] * first[:, :-1]
-                step2[:, 1:] = match[:, 1:] * second[:, :-1]
-                out[:, at] += [match.sum(1), step1.sum(1), step2.sum(1)]
-                first = WORD_DECAY * first + match @ scan
-                second = WORD_DECAY * second + step1 @ scan
+    def self_norms(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Kernels of passages with themselves, (3, passages), words matching exactly; of distinct words by their number."""
+        owners = np.repeat(np.arange(len(lengths)), lengths)
+        key = np.sort(owners * (len(self.words.found) + 1) + ids)
+        again = np.unique(key[1:][key[1:] == key[:-1]] // (len(self.words.found) + 1))
+        most = int(lengths.max(initial=0))
+        while len(self.norms) <= most:
+            self.norms.append(self._norms(np.arange(len(self.norms)).reshape(1, -1))[:, 0])
+        out = np.array(self.norms)[lengths].T
+        starts = np.cumsum(lengths) - lengths
+        for n in np.unique(lengths[again]):
+            at = again[lengths[again] == n]
+            out[:, at] = self._norms(ids[starts[at][:, None] + np.arange(n)])
+        return out
+
+    @staticmethod
+    def _norms(codes: np.ndarray) -> np.ndarray:
+        rows, n = codes.shape
+        out = np.zeros((3, rows))
+        steps = np.arange(n)
+        scan = np.where(steps[:, None] <= steps[None, :], WORD_DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0.0)
+        first, second = np.zeros((rows, n)), np.zeros((rows, n))
+        for i in range(n):
+            match = (codes == codes[:, i : i + 1]).astype(float)
+            step1, step2 = np.zeros_like(match), np.zeros_like(match)
+            step1[:, 1:] = match[:, 1:] * first[:, :-1]
+            step2[:, 1:] = match[:, 1:] * second[:, :-1]
+            out += [match.sum(1), step1.sum(1), step2.sum(1)]
+            first = WORD_DECAY * first + match @ scan
+            second = WORD_DECAY * second + step1 @ scan
         return out
 
+    def _batches(self, batch: list[list[str]]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+        """(whether the plain recursion is cheaper, indexes, word numbers, lengths) of groups that take bounded memory."""
+        if len(self.words.known) > 300_000:
+            self.words.forget()
+        known = self.words.known
+        for word in set().union(*batch) - known.keys():
+            self.words.number(word)
+        ids = np.array([known[w] for words in batch for w in words], np.int64)
+        lengths = np.fromiter(map(len, batch), np.int64, len(batch))
+        ends = np.cumsum(lengths)
+        counts = np.array(self.words.counts, np.int64)[ids] if len(ids) else ids
+        matched = np.concatenate(([0], np.cumsum(counts)))
+        size = matched[ends] - matched[ends - lengths]
+        plain = (size > CROWDED) | (lengths >= self.span)
+        for k in np.flatnonzero(plain):
+            yield True, np.array([k]), ids[ends[k] - lengths[k] : ends[k]], lengths[k : k + 1]
+        rest = np.flatnonzero(~plain)
+        group = np.cumsum(size[rest] ** 2) // BATCH
+        for part in np.split(rest, np.flatnonzero(np.diff(group)) + 1):
+            if len(part):
+                yield False, part, ids[_spread(ends[part] - lengths[part], ends[part])[1]], lengths[part]
+
     def features(self, batch: list[list[str]]) -> np.ndarray:
-        """Normalised kernel of every passage with every landmark, in [0, 1]: the mean of the orders."""
+        """Normalised kernel of every passage with every landmark: the mean of the orders."""
         out = np.zeros((len(batch), len(self.landmarks)), np.float32)
-        part: list[int] = []
-        work = 0
-        for k, words in enumerate(batch):
-            size = sum(len(self.words.matches(w)[0]) for w in words)
-            if size > CROWDED:
-                out[k] = self._normal(self._kernels(words)[:, None], self.self_norms([words]))[0]
-                continue
-            part.append(k)
-            work += size * size
-            if work > BATCH or len(part) == 1_000:
-                out[part] = self._normal(self._cross([batch[i] for i in part]), self.self_norms([batch[i] for i in part]))
-                part, work = [], 0
-        if part:
-            out[part] = self._normal(self._cross([batch[i] for i in part]), self.self_norms([batch[i] for i in part]))
+        for plain, part, ids, lengths in self._batches(batch):
+            if plain:
+                cross = self._kernels(batch[part[0]])[:, None]
+            else:
+                shape = (len(part), len(self.landmarks))
+                cross = np.stack([p.add(at, owner, value, shape) for p, (at, owner, value) in zip(self.index, self._hits(ids, lengths))])
+            out[part] = self._normal(cross, self.self_norms(ids, lengths))
         return out
 
     def _normal(self, cross: np.ndarray, mine: np.ndarray) -> np.ndarray:
         norm = self.own[:, None, :] * mine[:, :, None]
-        return np.where(norm > 1e-9, cross / np.sqrt(np.maximum(norm, 1e-9)), 0.0).mean(0).clip(0, 1)
+        return np.where(norm > 1e-9, cross / np.sqrt(np.maximum(norm, 1e-9)), 0.0).mean(0)
+
+    def fold(self, weights: np.ndarray) -> None:
+        """Prepare `weighted`: the weights of the landmarks are summed into the index, once for each of its keys."""
+        self.by_row = np.where(self.own > 1e-9, weights / np.sqrt(np.maximum(self.own, 1e-9)), 0.0) / 3
+        self.folded = [p.fold(r) for p, r in zip(self.index, self.by_row)]
+
+    def weighted(self, batch: list[list[str]]) -> np.ndarray:
+        """features(batch) @ weights: a machine that is linear in the kernels needs no row for each landmark."""
+        out = np.zeros(len(batch))
+        for plain, part, ids, lengths in self._batches(batch):
+            if plain:
+                cross = (self._kernels(batch[part[0]]) * self.by_row).sum(1, keepdims=True)
+            else:
+                cross = np.stack([np.bincount(owner, value * f[at], len(part)) for f, (at, owner, value) in zip(self.folded, self._hits(ids, lengths))])
+            mine = self.self_norms(ids, lengths)
+            out[part] = np.where(mine > 1e-9, cross / np.sqrt(np.maximum(mine, 1e-9)), 0.0).sum(0)
+        return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -338,14 +450,19 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tup
     w = np.zeros(z.shape[1])
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-3
-    active = np.ones(len(z), bool)
+    active = np.zeros(len(z), bool)
+    now = ~active
+    square, side = np.zeros_like(ridge), np.zeros(z.shape[1])
     for _ in range(rounds):
-        a = z[active] * cost[active, None]
-        w = np.linalg.solve(ridge + a.T @ z[active], a.T @ y[active])
+        rows = np.flatnonzero(now != active)  # the sums change by the rows that come and go
+        signed = z[rows] * np.where(now[rows], cost[rows], -cost[rows])[:, None]
+        square += signed.T @ z[rows]
+        side += signed.T @ y[rows]
+        active = now
+        w = np.linalg.solve(ridge + square, side)
         now = y * (z @ w) < 1
         if (now == active).all():
             break
-        active = now
     return w[:-1], float(w[-1])
 
 
@@ -371,8 +488,10 @@ class Machine:
             self.memo.clear()
         new = [w for w in dict.fromkeys(w for ws in cut for w in ws) if w not in self.memo]
         if new:
-            self.kernel = self.kernel or PassageKernel(self.landmarks)
-            self.memo.update(zip(new, (self.kernel.features(new) @ self.weights + self.bias).tolist()))
+            if self.kernel is None:
+                self.kernel = PassageKernel(self.landmarks)
+                self.kernel.fold(self.weights)
+            self.memo.update(zip(new, (self.kernel.weighted(new) + self.bias).tolist()))
         return [max((self.memo[w] for w in ws), default=-1.0) - MARGIN for ws in cut]
 
 
@@ -411,7 +530,8 @@ def train(labelled: list[tuple[str, float, int]], landmarks: int = LANDMARKS) ->
     for bag in clean:
         for w in {w for p in bag for w in p}:
             common[w] = common.get(w, 0) + 1
-    strange = lambda p: sum(common.get(w, 0) <= 0.004 * len(clean) for w in p) / len(p) ** 0.5
+    usual = {w for w, n in common.items() if n > 0.004 * len(clean)}
+    strange = lambda p: sum([w not in usual for w in p]) / len(p) ** 0.5
     likely = sorted((p for bag, _ in dirty for p in bag if len(p) >= 2), key=lambda p: (-strange(p), p))
     seen: dict[tuple, list[str]] = {}
     for bag in clean:
@@ -467,12 +587,11 @@ def labelled_texts(documents: DataFrame, content_label: DataFrame, most: int = L
         .agg(F.avg(F.col("abusive").cast("double")).alias("rating"), F.count("*").cast("int").alias("raters"))
         .where("rating <> 0.5")
     )
-    out = []
-    for side in (F.col("rating") > 0.5, F.col("rating") < 0.5):
-        some = rated.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        texts = documents.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(some), "doc_id")
-        out += [(r.text, r.rating, r.raters) for r in texts.orderBy("doc_id", "text").collect()]  # at most `most` documents
-    return out
+    pick = lambda side: rated.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    some = pick(F.col("rating") > 0.5).unionByName(pick(F.col("rating") < 0.5))
+    texts = documents.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = texts.orderBy(F.col("rating") < 0.5, "doc_id", "text").collect()  # at most `most` documents of each class
+    return [(r.text, r.rating, r.raters) for r in rows]
 
 
 def score_documents(documents: DataFrame, content_label: DataFrame, machine: Machine | None = None) -> DataFrame:

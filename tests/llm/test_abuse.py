@@ -3,6 +3,7 @@
 import os
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from impactframe.llm import abuse as a
@@ -61,8 +62,19 @@ def test_index_equals_recursion(machine):
     kernel = a.PassageKernel(machine.landmarks)
     texts = [t.format(x) for t in NASTY + PLAIN for x in ("barge", "idiot")] + ["", "xyzzy", "you stupid the you will the idiot " * 6]
     batch = [a.tokens(t) for t in texts]
-    plain = [kernel._normal(kernel._kernels(w)[:, None], kernel.self_norms([w]))[0] for w in batch]
+    ids = [np.array([kernel.words.number(x) for x in w], np.int64) for w in batch]
+    plain = np.array([kernel._normal(kernel._kernels(w)[:, None], kernel.self_norms(i, np.array([len(i)])))[0] for w, i in zip(batch, ids)])
     assert abs(kernel.features(batch) - plain).max() < 1e-5
+    kernel.fold(machine.weights)
+    assert abs(kernel.weighted(batch) - plain @ machine.weights).max() < 1e-4
+
+
+def test_self_norms_against_recursion():
+    words = [["a", "b", "a", "c"], ["a", "b", "c"], [], ["x"] * 7, ["q", "q", "r"]]
+    kernel = a.PassageKernel([w for w in words if w])
+    own = [kernel._kernels(w)[:, [w for w in words if w].index(w)] if w else np.zeros(3) for w in words]
+    ids = np.array([kernel.words.number(x) for w in words for x in w], np.int64)
+    assert abs(kernel.self_norms(ids, np.array([len(w) for w in words])) - np.array(own).T).max() < 1e-4
 
 
 def test_abuse_late_in_a_long_passage_is_learned():
