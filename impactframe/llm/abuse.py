@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ ROUNDS = 5
 #: Soft matches in a passage from which the plain recursion is used, and squared matches in a batch of the index.
 CROWDED, BATCH = 250, 1_000_000
 #: Documents scored together.
-TOGETHER = 1_000
+TOGETHER = 3_000
 #: Distance above the machine's boundary from which a passage counts as abusive; subtracted from every score.
 MARGIN = 0.35
 
@@ -63,11 +64,12 @@ def _is_cjk(c: str) -> bool:
 
 _WORDS = re.compile("§|" + _TOKEN.pattern)
 _QUOTED = re.compile(r"`[^`\n]*`")
-_chunks: dict[str, tuple[tuple[str, ...], int]] = {}
+_chunks: dict[str, tuple[str, ...]] = {}
+_lettered: dict[str, int] = {}  # stretches that hold single letters, and how many
 
 
-def _pieces(chunk: str) -> tuple[tuple[str, ...], int]:
-    """(normalised words of a stretch without blanks, how many of them are single letters)."""
+def _pieces(chunk: str) -> tuple[str, ...]:
+    """Normalised words of a stretch without blanks."""
     if chunk.isascii():
         found = _WORDS.findall(_CODE.sub(" § ", chunk).lower())
     else:
@@ -76,8 +78,7 @@ def _pieces(chunk: str) -> tuple[tuple[str, ...], int]:
         found = []
         for w in _WORDS.findall(_CODE.sub(" § ", text).casefold().translate(LOOK_ALIKE)):
             found += list(w) if not w.isascii() and any(map(_is_cjk, w)) else [w]
-    words = tuple(_RUN.sub(r"\1", w if w.isalpha() or w == "§" or not any(map(str.isalpha, w)) else w.translate(LEET)) for w in found)
-    return words, sum(map(_is_single, words))
+    return tuple(_RUN.sub(r"\1", w if w.isalpha() or w == "§" or not any(map(str.isalpha, w)) else w.translate(LEET)) for w in found)
 
 
 def _is_single(w: str) -> bool:
@@ -90,15 +91,23 @@ def tokens(passage: str) -> list[str]:
         passage = _QUOTED.sub(" § ", passage)
     if len(_chunks) > 500_000:
         _chunks.clear()
-    out: list[str] = []
-    letters = 0
-    for chunk in passage.split():
-        found = _chunks.get(chunk)
-        if found is None:
-            found = _chunks[chunk] = _pieces(chunk)
-        out += found[0]
-        letters += found[1]
-    return _joined(out) if letters > 2 else out
+        _lettered.clear()
+    stretches = passage.split()
+    found = [_chunks.get(c) for c in stretches]
+    if None in found:
+        found = [_learn(c) if words is None else words for c, words in zip(stretches, found)]
+    out = list(chain.from_iterable(found))
+    if _lettered.keys().isdisjoint(stretches) or sum([_lettered.get(c, 0) for c in stretches]) < 3:
+        return out
+    return _joined(out)
+
+
+def _learn(chunk: str) -> tuple[str, ...]:
+    words = _chunks[chunk] = _pieces(chunk)
+    letters = sum(map(_is_single, words))
+    if letters:
+        _lettered[chunk] = letters
+    return words
 
 
 def _joined(words: list[str]) -> list[str]:
@@ -116,34 +125,54 @@ def _joined(words: list[str]) -> list[str]:
 
 
 class Postings:
-    """Index from integer keys to (row, weight) entries."""
+    """Index from pairs of small integers to (row, weight) entries."""
+
+    BITS = 21
 
-    def __init__(self, keys: np.ndarray, rows: np.ndarray, weights: np.ndarray):
+    def __init__(self, left: np.ndarray, right: np.ndarray, rows: np.ndarray, weights: np.ndarray):
+        keys = self._key(left, right)
         order = np.argsort(keys, kind="stable")
         self.rows, self.weights = rows[order], weights[order]
         self.keys, first = np.unique(keys[order], return_index=True)
+        self.left, self.right = left[order][first].astype(np.int32), right[order][first].astype(np.int32)
         self.ends = np.append(first, len(keys))
-        slot = self._slot(self.keys)
-        self.place = np.full(1 << 22, -1, np.int32)
+        self._hash()
+
+    def _hash(self) -> None:
+        slot = self._slot(self.left, self.right)
+        self.place = np.full(1 << self.BITS, -1, np.int32)
         self.place[slot] = np.arange(len(self.keys))
-        self.shared = np.zeros(1 << 22, bool)
+        self.shared = np.zeros(1 << self.BITS, bool)
         self.shared[slot[self.place[slot] != np.arange(len(slot))]] = True
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"place": None, "shared": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._hash()
+
     @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+    def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left.astype(np.int64) << 32) + right
+
+    @classmethod
+    def _slot(cls, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        mixed = left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32) * np.uint32(0x85EBCA77)
+        return mixed >> np.uint32(32 - cls.BITS)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the keys are there, their places in the index): by a hash table, by search where keys share a slot."""
-        slot = self._slot(keys)
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the pairs are there, their places in the index): by a hash table, by search where pairs share a slot."""
+        slot = self._slot(left, right)
         at = self.place[slot]
         hit = np.flatnonzero(at >= 0)
-        at = at[hit].astype(np.int64)
-        same = self.keys[at] == keys[hit]
+        at, left, right = at[hit], left[hit], right[hit]
+        same = (self.left[at] == left) & (self.right[at] == right)
         other = np.flatnonzero(~same & self.shared[slot[hit]])
         if len(other):
-            at[other] = np.searchsorted(self.keys, keys[hit[other]]).clip(0, len(self.keys) - 1)
-            same[other] = self.keys[at[other]] == keys[hit[other]]
+            key = self._key(left[other], right[other])
+            at[other] = np.searchsorted(self.keys, key).clip(0, len(self.keys) - 1)
+            same[other] = self.keys[at[other]] == key
         return hit[same], at[same]
 
     def add(self, at: np.ndarray, owner: np.ndarray, value: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -160,8 +189,9 @@ class Postings:
 def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(item, position) of every position in the ranges [begin, end) of the items."""
     size = end - begin
-    item = np.repeat(np.arange(len(size)), size)
-    return item, np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size) + begin[item]
+    item = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    shift = (begin - np.cumsum(size) + size).astype(np.int32)
+    return item, np.arange(len(item), dtype=np.int32) + shift[item]
 
 
 class WordKernel:
@@ -184,6 +214,9 @@ class WordKernel:
         self.index = {part: (np.array([i for i, _ in e]), np.array([x for _, x in e])) for part, e in entries.items()}
         self.forget()
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}, "found": [], "counts": []}
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -205,10 +238,10 @@ class WordKernel:
     def _matches(self, word: str) -> tuple[np.ndarray, np.ndarray]:
         if len(word) < 3:
             at = self.exact.get(word)
-            return np.array([] if at is None else [at], np.int64), np.ones(0 if at is None else 1)
+            return np.array([] if at is None else [at], np.int32), np.ones(0 if at is None else 1, np.float32)
         sim = self.similarity(word)
         rows = np.flatnonzero(sim > LEAST)
-        return rows, ((sim[rows] - LEAST) / (1 - LEAST)).clip(0, 1)
+        return rows.astype(np.int32), ((sim[rows] - LEAST) / (1 - LEAST)).clip(0, 1).astype(np.float32)
 
     def similarity(self, word: str) -> np.ndarray:
         """Weighted mean of the normalised kernels with every vocabulary word; 0 with those under three letters."""
@@ -275,26 +308,34 @@ class PassageKernel:
             steps[:, None] <= steps[None, :], WORD_DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0.0
         ).astype(np.float32)
         self.row = np.zeros(len(vocabulary) + 1, np.float32)
-        self.own = np.stack([self._kernels(w)[:, i] for i, w in enumerate(landmarks)], axis=1) if landmarks else np.zeros((3, 0))
         self._index()
+        self.own = np.zeros((3, len(landmarks)))
+        for plain, part, ids, lengths in self._batches(landmarks):  # soft matches within a landmark count in its own norm
+            if plain:
+                self.own[:, part] = self._kernels(landmarks[part[0]])[:, part]
+            else:
+                for k, (p, (at, owner, value)) in enumerate(zip(self.index, self._hits(ids, lengths))):
+                    item, entry = _spread(p.ends[at], p.ends[at + 1])
+                    mine = part[owner[item]] == p.rows[entry]
+                    self.own[k, part] = np.bincount(owner[item][mine], (value[item] * p.weights[entry])[mine], len(part))
 
     def _index(self) -> None:
-        """Postings of the landmarks' subsequences of one, two and three words, weighted by their gaps."""
-        size = len(self.words.vocabulary)
+        """Postings of the landmarks' subsequences of one, two and three words, weighted by their gaps.
+
+        A subsequence of one word is keyed (word, 0), of two (word, word), of three (place of the first two, word).
+        """
         parts: list[list[tuple]] = [[], [], []]
         for row, words in enumerate(self.landmarks):
             ids = self.places[row, : len(words)]
-            places = np.arange(len(ids))
             a, b = np.triu_indices(len(ids), 1)
             x, c = _spread(b + 1, np.full(len(b), len(ids)))
-            parts[0].append((ids, np.full(len(ids), row), np.ones(len(ids))))
-            parts[1].append((ids[a] * size + ids[b], np.full(len(a), row), WORD_DECAY ** (b - a - 1.0)))
-            parts[2].append(((ids[a[x]] * size + ids[b[x]], ids[places[c]]), np.full(len(x), row), WORD_DECAY ** (c - a[x] - 2.0)))
-        join = lambda arrays, kind: np.concatenate([np.zeros(0, kind), *arrays]).astype(kind)
-        self.ones, self.twos = (Postings(join([k for k, _, _ in p], np.int64), join([r for _, r, _ in p], np.int64), join([w for _, _, w in p], np.float64)) for p in parts[:2])
-        pair = np.searchsorted(self.twos.keys, join([k[0] for k, _, _ in parts[2]], np.int64))
-        last = join([k[1] for k, _, _ in parts[2]], np.int64)
-        self.threes = Postings(pair * size + last, join([r for _, r, _ in parts[2]], np.int64), join([w for _, _, w in parts[2]], np.float64))
+            parts[0].append((ids, np.zeros_like(ids), np.full(len(ids), row), np.ones(len(ids))))
+            parts[1].append((ids[a], ids[b], np.full(len(a), row), WORD_DECAY ** (b - a - 1.0)))
+            parts[2].append((ids[a[x]], ids[b[x]], ids[c], np.full(len(x), row), WORD_DECAY ** (c - a[x] - 2.0)))
+        columns = lambda part, n: [np.concatenate([np.zeros(0, np.int64), *(p[i] for p in part)]) for i in range(n)]
+        self.ones, self.twos = (Postings(*columns(p, 4)) for p in parts[:2])
+        a, b, c, rows, weights = columns(parts[2], 5)
+        self.threes = Postings(self.twos.find(a, b)[1] if len(a) else a, c, rows, weights)
         self.index = (self.ones, self.twos, self.threes)
 
     def _hits(self, ids: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -302,28 +343,27 @@ class PassageKernel:
 
         ids: the numbers of the words of all passages, lengths: how many each passage has.
         """
-        owners = np.repeat(np.arange(len(lengths)), lengths)
-        places = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        owners, at = _spread(np.cumsum(lengths) - lengths, np.cumsum(lengths))
+        places = at - (np.cumsum(lengths) - lengths).astype(np.int32)[owners]
         used, which = np.unique(ids, return_inverse=True)
         found = [self.words.found[i] for i in used]
         ends = np.cumsum([0, *(len(at) for at, _ in found)])
         item, entry = _spread(ends[which], ends[which + 1])
-        word = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in found)])[entry]
-        sim = np.concatenate([np.zeros(0), *(s for _, s in found)])[entry]
+        word = np.concatenate([np.zeros(0, np.int32), *(at for at, _ in found)])[entry]
+        sim = np.concatenate([np.zeros(0, np.float32), *(s for _, s in found)])[entry]
         owner, place = owners[item], places[item]
-        size = len(self.words.vocabulary)
-        hit, one = self.ones.find(word)
+        hit, one = self.ones.find(word, np.zeros_like(word))
         out = [(one, owner[hit], sim[hit])]
         after = np.cumsum(np.bincount(item, minlength=len(ids)))[item]  # partners at later places of the same passage
         last = np.cumsum(np.bincount(owner, minlength=len(lengths)))[owner]
         x, y = _spread(after, last)
-        hit, pair = self.twos.find(word[x] * size + word[y])
+        hit, pair = self.twos.find(word[x], word[y])
         x, y = x[hit], y[hit]  # x never falls, so the pairs that go on from y are a range
-        decay = WORD_DECAY ** np.arange(self.span)
+        decay = (WORD_DECAY ** np.arange(self.span)).astype(np.float32)
         out.append((pair, owner[x], sim[x] * sim[y] * decay[place[y] - place[x] - 1]))
         begin = np.concatenate(([0], np.cumsum(np.bincount(x, minlength=len(word)))))
         former, latter = _spread(begin[y], begin[y + 1])
-        hit, three = self.threes.find(pair[former] * size + word[y[latter]])
+        hit, three = self.threes.find(pair[former], word[y[latter]])
         a, b, c = x[former[hit]], y[former[hit]], y[latter[hit]]
         out.append((three, owner[a], sim[a] * sim[b] * sim[c] * decay[place[c] - place[a] - 2]))
         return out
@@ -471,11 +511,16 @@ class Machine:
 
     def __init__(self, landmarks: list[list[str]], weights: np.ndarray, bias: float):
         self.landmarks, self.weights, self.bias = landmarks, weights, bias
-        self.kernel: PassageKernel | None = None
+        self.kernel = PassageKernel(landmarks)
+        self.kernel.fold(weights)
+        self.forget()
+
+    def forget(self) -> None:
         self.memo: dict[tuple, float] = {}
+        self.raw: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"kernel": None, "memo": {}}
+        return self.__dict__ | {"memo": {}, "raw": {}}
 
     def score(self, passage: str) -> float:
         """Distance from the machine's boundary less MARGIN: above 0 is abusive. Long passages are scored in overlapping windows."""
@@ -483,16 +528,15 @@ class Machine:
 
     def scores(self, several: list[str]) -> list[float]:
         """The score of each passage; every window is asked of the full kernel."""
-        cut = [windows(tokens(p)) for p in several]
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        new = [w for w in dict.fromkeys(w for ws in cut for w in ws) if w not in self.memo]
+        if len(self.memo) + len(self.raw) > 400_000:
+            self.forget()
+        unseen = [p for p in dict.fromkeys(several) if p not in self.raw]
+        cut = [windows(tokens(p)) for p in unseen]
+        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in self.memo]
         if new:
-            if self.kernel is None:
-                self.kernel = PassageKernel(self.landmarks)
-                self.kernel.fold(self.weights)
             self.memo.update(zip(new, (self.kernel.weighted(new) + self.bias).tolist()))
-        return [max((self.memo[w] for w in ws), default=-1.0) - MARGIN for ws in cut]
+        self.raw.update(zip(unseen, (max([self.memo[w] for w in ws], default=-1.0) - MARGIN for ws in cut)))
+        return [self.raw[p] for p in several]
 
 
 def windows(words: list[str]) -> list[tuple[str, ...]]:
