@@ -127,8 +127,6 @@ def _joined(words: list[str]) -> list[str]:
 class Postings:
     """Index from pairs of small integers to (row, weight) entries."""
 
-    BITS = 21
-
     def __init__(self, left: np.ndarray, right: np.ndarray, rows: np.ndarray, weights: np.ndarray):
         keys = self._key(left, right)
         order = np.argsort(keys, kind="stable")
@@ -139,10 +137,11 @@ class Postings:
         self._hash()
 
     def _hash(self) -> None:
+        self.bits = max(10, (4 * len(self.keys)).bit_length())  # small enough to stay in the processor's cache
         slot = self._slot(self.left, self.right)
-        self.place = np.full(1 << self.BITS, -1, np.int32)
+        self.place = np.full(1 << self.bits, -1, np.int32)
         self.place[slot] = np.arange(len(self.keys))
-        self.shared = np.zeros(1 << self.BITS, bool)
+        self.shared = np.zeros(1 << self.bits, bool)
         self.shared[slot[self.place[slot] != np.arange(len(slot))]] = True
 
     def __getstate__(self) -> dict:
@@ -156,10 +155,9 @@ class Postings:
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (left.astype(np.int64) << 32) + right
 
-    @classmethod
-    def _slot(cls, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def _slot(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         mixed = left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32) * np.uint32(0x85EBCA77)
-        return mixed >> np.uint32(32 - cls.BITS)
+        return mixed >> np.uint32(32 - self.bits)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the pairs are there, their places in the index): by a hash table, by search where pairs share a slot."""
@@ -310,7 +308,7 @@ class PassageKernel:
         self.row = np.zeros(len(vocabulary) + 1, np.float32)
         self._index()
         self.own = np.zeros((3, len(landmarks)))
-        for plain, part, ids, lengths in self._batches(landmarks):  # soft matches within a landmark count in its own norm
+        for plain, part, ids, lengths in self._batches(*self._numbers(landmarks)):  # soft matches within a landmark count in its own norm
             if plain:
                 self.own[:, part] = self._kernels(landmarks[part[0]])[:, part]
             else:
@@ -428,15 +426,17 @@ class PassageKernel:
             second = WORD_DECAY * second + step1 @ scan
         return out
 
-    def _batches(self, batch: list[list[str]]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
-        """(whether the plain recursion is cheaper, indexes, word numbers, lengths) of groups that take bounded memory."""
+    def _numbers(self, batch: list) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers of all passages, how many each has)."""
         if len(self.words.known) > 300_000:
             self.words.forget()
         known = self.words.known
         for word in set().union(*batch) - known.keys():
             self.words.number(word)
-        ids = np.array([known[w] for words in batch for w in words], np.int64)
-        lengths = np.fromiter(map(len, batch), np.int64, len(batch))
+        return np.array([known[w] for words in batch for w in words], np.int64), np.fromiter(map(len, batch), np.int64, len(batch))
+
+    def _batches(self, ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+        """(whether the plain recursion is cheaper, indexes, word numbers, lengths) of groups that take bounded memory."""
         ends = np.cumsum(lengths)
         counts = np.array(self.words.counts, np.int64)[ids] if len(ids) else ids
         matched = np.concatenate(([0], np.cumsum(counts)))
@@ -453,13 +453,15 @@ class PassageKernel:
     def features(self, batch: list[list[str]]) -> np.ndarray:
         """Normalised kernel of every passage with every landmark: the mean of the orders."""
         out = np.zeros((len(batch), len(self.landmarks)), np.float32)
-        for plain, part, ids, lengths in self._batches(batch):
+        numbers = self._numbers(batch)
+        mine = self.self_norms(*numbers)
+        for plain, part, ids, lengths in self._batches(*numbers):
             if plain:
                 cross = self._kernels(batch[part[0]])[:, None]
             else:
                 shape = (len(part), len(self.landmarks))
                 cross = np.stack([p.add(at, owner, value, shape) for p, (at, owner, value) in zip(self.index, self._hits(ids, lengths))])
-            out[part] = self._normal(cross, self.self_norms(ids, lengths))
+            out[part] = self._normal(cross, mine[:, part])
         return out
 
     def _normal(self, cross: np.ndarray, mine: np.ndarray) -> np.ndarray:
@@ -473,15 +475,16 @@ class PassageKernel:
 
     def weighted(self, batch: list[list[str]]) -> np.ndarray:
         """features(batch) @ weights: a machine that is linear in the kernels needs no row for each landmark."""
-        out = np.zeros(len(batch))
-        for plain, part, ids, lengths in self._batches(batch):
+        numbers = self._numbers(batch)
+        cross = np.zeros((3, len(batch)))
+        for plain, part, ids, lengths in self._batches(*numbers):
             if plain:
-                cross = (self._kernels(batch[part[0]]) * self.by_row).sum(1, keepdims=True)
+                cross[:, part] = (self._kernels(batch[part[0]]) * self.by_row).sum(1, keepdims=True)
             else:
-                cross = np.stack([np.bincount(owner, value * f[at], len(part)) for f, (at, owner, value) in zip(self.folded, self._hits(ids, lengths))])
-            mine = self.self_norms(ids, lengths)
-            out[part] = np.where(mine > 1e-9, cross / np.sqrt(np.maximum(mine, 1e-9)), 0.0).sum(0)
-        return out
+                for k, (f, (at, owner, value)) in enumerate(zip(self.folded, self._hits(ids, lengths))):
+                    cross[k, part] = np.bincount(owner, value * f[at], len(part))
+        mine = self.self_norms(*numbers)
+        return np.where(mine > 1e-9, cross / np.sqrt(np.maximum(mine, 1e-9)), 0.0).sum(0)
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
