@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,8 @@ DISCOUNT = 1.0
 EVIDENCE = 100.0
 #: Share of a garbled record's words that stay intact, and of words that follow another chain than their record's.
 INTACT, STRAY = 0.05, 1e-4
+#: Rows of priors (one number per chain each) up to which they are broadcast; copies of them in the salted join beyond.
+FEW_SOURCES, SALTS = 20_000, 16
 LOST = "�"
 
 # Encodings in which UTF-8 is misread, pairs (true, read as) of other misreadings, and UTF-16 accidents.
@@ -201,45 +205,117 @@ class CharacterModel:
         p1 = (less(self.one, k1) + BACKOFF * base) / (self.total + BACKOFF)
         back1, back2 = np.concatenate(([0], k1[:-1])), np.concatenate(([0], k2[:-1]))
         p2 = (less(self.two, k2) + BACKOFF * p1) / (self.one[back1] + BACKOFF)
-        p3 = (less(self.three, k3) + BACKOFF * p2) / (self.two[back2] + BACKOFF)
+        begun = np.where(np.concatenate(([True], codes[:-1] == 2)), self.one[back1], self.two[back2])  # a text begins without a pair
+        p3 = (less(self.three, k3) + BACKOFF * p2) / (begun + BACKOFF)
         return np.add.reduceat(np.log(np.minimum(p3, 1.0)), starts)
 
 
-def _judge(words: list[tuple[tuple[int, str], ...]], counts: list[int], score: dict, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the record's chain, and per word the probability that the record's chains garbled it.
-
-    Returns (chain posterior, matrix words x chains of the joint posterior of the word's own chain).
-    """
-    n = len(CHAINS)
-    like = np.full((len(words), n), -np.inf)
-    for i, options in enumerate(words):
-        for chain, text in options:
-            like[i, chain] = score[text] + (18.0 if chain == GONE else 0.0)  # a lost character costs little once some were lost
-    top = like.max(axis=1, keepdims=True)
-    rel = np.exp(like - top)
-    stray = STRAY * rel.sum(axis=1) / n
-    own = (1 - INTACT) * rel + INTACT * rel[:, [IDENTITY]] + stray[:, None]
-    own[:, IDENTITY] = (1 - STRAY) * rel[:, IDENTITY] + stray
-    weights = np.array(counts, float) ** 0.5  # repeats of a word in one record are not independent evidence
-    total = np.log(prior + 1e-12) + (np.log(np.maximum(own, 1e-300)) * weights[:, None]).sum(axis=0)
-    post = np.exp(total - total.max())
-    post /= post.sum()
-    # P(word chain w | record chain z): z itself, intact, or stray
-    joint = np.zeros_like(rel)
-    for z in np.flatnonzero(post > 1e-6):
-        part = STRAY * rel / n
-        if z == IDENTITY:
-            part[:, IDENTITY] += (1 - STRAY) * rel[:, IDENTITY]
-        else:
-            part[:, z] += (1 - INTACT) * rel[:, z]
-            part[:, IDENTITY] += INTACT * rel[:, IDENTITY]
-        joint += post[z] * part / np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-    return post, joint
-
-
-def _scores(model: CharacterModel, batch: list[list[tuple[tuple[int, str], ...]]]) -> dict[str, float]:
-    texts = list({text for words in batch for options in words for _, text in options})
-    return dict(zip(texts, model.score(texts))) if texts else {}
+#: Words of records that are judged together.
+CHUNK = 40_000
+
+
+class Batch:
+    """Records as arrays: their words by number, and the true forms of each distinct word."""
+
+    def __init__(self, records: list[list[str]]):
+        self.vocabulary = list(dict.fromkeys(chain.from_iterable(records)))
+        number = {w: i for i, w in enumerate(self.vocabulary)}
+        self.word = np.array([number[w] for words in records for w in words], np.int64)
+        self.sizes = np.fromiter(map(len, records), np.int64, len(records))
+        self.owner = np.repeat(np.arange(len(records)), self.sizes)
+        self.options = [candidates(w) for w in self.vocabulary]
+        sizes = [len(o) for o in self.options]
+        self.row = np.repeat(np.arange(len(sizes)), sizes)  # of each (distinct word, chain, text)
+        self.chain = np.array([c for o in self.options for c, _ in o], np.int64)
+        self.text = [t for o in self.options for _, t in o]
+
+    def table(self, values: np.ndarray, empty: float) -> np.ndarray:
+        """Values of the forms as a matrix, distinct words by chains."""
+        out = np.full((len(self.vocabulary), len(CHAINS)), empty)
+        out[self.row, self.chain] = values
+        return out
+
+    def sums(self, per_word: np.ndarray) -> np.ndarray:
+        """Sums over the words of each record."""
+        out = np.zeros((len(self.sizes), per_word.shape[1]))
+        filled = np.flatnonzero(self.sizes)
+        if len(filled):
+            starts = np.cumsum(self.sizes) - self.sizes
+            out[filled] = np.add.reduceat(per_word, starts[filled], axis=0)
+        return out
+
+    def credits(self, per_word: np.ndarray) -> dict[str, float]:
+        """Weight of every part of the true forms; per_word: each record's words by chains."""
+        total = np.zeros((len(self.vocabulary), len(CHAINS)))
+        for c in np.flatnonzero(per_word.any(axis=0)):
+            total[:, c] = np.bincount(self.word, per_word[:, c], len(self.vocabulary))
+        weights: dict[str, float] = {}
+        for k in np.flatnonzero(total[self.row, self.chain]):
+            _credit(weights, self.text[k], total[self.row[k], self.chain[k]])
+        return weights
+
+    def first_guess(self) -> np.ndarray:
+        """Posterior of each record's chain before any text is known: by the foreign characters that a chain explains away."""
+        foreign = np.array([sum(c > "\x7f" or c == "\0" for c in w) for w in self.vocabulary], float)
+        left = np.array([sum(c > "\x7f" for c in t) if c in SELF_CHECKING else 0 for c, t in zip(self.chain.tolist(), self.text)], float)
+        checks = np.isin(self.chain, list(SELF_CHECKING))
+        gain = self.sums(self.table(np.where(checks, foreign[self.row] - left, 0.0), 0.0)[self.word])
+        fits = self.sums(self.table(np.ones(len(self.row)), 0.0)[self.word])
+        odds = np.log(START) + np.log(EVIDENCE) * np.minimum(gain, 100)
+        odds[fits < 0.5 * self.sizes[:, None]] = -np.inf
+        odds[:, IDENTITY] = np.log(START[IDENTITY])
+        post = np.exp(odds - odds.max(axis=1, keepdims=True))
+        return post / post.sum(axis=1, keepdims=True)
+
+    def first_credits(self) -> dict[str, float]:
+        fits = self.table(np.ones(len(self.row)), 0.0)[self.word]
+        post = self.first_guess()[self.owner]
+        each = np.where((post > 1e-4) & (fits > 0), post, 0.0)
+        each[:, IDENTITY] = 0.0
+        each[:, IDENTITY] = 1.0 - each.sum(axis=1)
+        return self.credits(each)
+
+    def judge(self, model: CharacterModel, prior: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior of each record's chain (records x chains), and of each word's own chain (words x chains, not normed).
+
+        prior: one row per record; counts: how often its record has each word.
+        """
+        n = len(CHAINS)
+        texts = list(dict.fromkeys(self.text))
+        score = dict(zip(texts, model.score(texts))) if texts else {}
+        like = np.array([score[t] for t in self.text]) + np.where(self.chain == GONE, 18.0, 0.0)  # a lost character costs little once some were lost
+        rel = self.table(like, -np.inf)
+        rel = np.exp(rel - rel.max(axis=1, keepdims=True)) if len(rel) else rel
+        stray = STRAY * rel.sum(axis=1, keepdims=True) / n
+        own = (1 - INTACT) * rel + INTACT * rel[:, [IDENTITY]] + stray
+        own[:, [IDENTITY]] = (1 - STRAY) * rel[:, [IDENTITY]] + stray
+        own = np.maximum(own, 1e-300)
+        weights = counts.astype(float) ** 0.5  # repeats of a word in one record are not independent evidence
+        total = np.log(prior + 1e-12) + self.sums(np.log(own)[self.word] * weights[:, None])
+        post = np.exp(total - total.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        # P(word's chain w | record's chain z): z itself, intact, or stray
+        share = np.where(post > 1e-6, post, 0.0)[self.owner] / own[self.word]
+        mine = rel[self.word]
+        every = share.sum(axis=1)
+        joint = mine * ((1 - INTACT) * share + (STRAY / n * every)[:, None])
+        intact = (1 - STRAY) * share[:, IDENTITY] + INTACT * (every - share[:, IDENTITY])
+        joint[:, IDENTITY] = mine[:, IDENTITY] * (intact + STRAY / n * every)
+        return post, joint
+
+
+def _chunks(sizes: list[int]) -> Iterator[slice]:
+    """Runs of records with about CHUNK words each."""
+    begin = total = 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= CHUNK or i + 1 == len(sizes):
+            yield slice(begin, i + 1)
+            begin, total = i + 1, 0
+
+
+def _prior_rows(priors) -> np.ndarray:
+    return np.array([START if p is None else p for p in priors], float).reshape(-1, len(CHAINS))
 
 
 def suspects(records: DataFrame) -> DataFrame:
@@ -264,22 +340,6 @@ def _foreign(records: DataFrame) -> DataFrame:
     return records.where(F.col("text").rlike(r"[^\x01-\x7F]"))
 
 
-def _first_guess(words: list[tuple[tuple[int, str], ...]]) -> np.ndarray:
-    """Posterior of the record's chain before any text is known: by the foreign characters that a chain explains away."""
-    gain, fits = np.zeros(len(CHAINS)), np.zeros(len(CHAINS))
-    for options in words:
-        foreign = sum(c > "\x7f" or c == "\0" for c in options[0][1])
-        for chain, text in options:
-            if chain in SELF_CHECKING:
-                gain[chain] += foreign - sum(c > "\x7f" for c in text)
-            fits[chain] += 1
-    odds = np.log(START) + np.log(EVIDENCE) * np.minimum(gain, 100)
-    odds[fits < 0.5 * len(words)] = -np.inf
-    odds[IDENTITY] = np.log(START[IDENTITY])
-    post = np.exp(odds - odds.max())
-    return post / post.sum()
-
-
 START = np.array([0.9] + [0.1 / (len(CHAINS) - 1)] * (len(CHAINS) - 1))
 
 
@@ -306,28 +366,20 @@ def fit(found: DataFrame, rounds: int = ROUNDS) -> tuple[tuple[np.ndarray, ...],
             chains: dict[tuple, np.ndarray] = {}
             model = None if first else CharacterModel(*carried.value)
             for frame in frames:
+                words = [list(w) for w in frame.words]
                 weights: dict[str, float] = {}
-                if first:
-                    for words in frame.words:
-                        forms = [candidates(w) for w in words]
-                        post = _first_guess(forms) if forms else START
-                        for options in forms:
-                            valid = {chain: text for chain, text in options if post[chain] > 1e-4}
-                            _credit(weights, valid.get(IDENTITY, options[0][1]), 1.0 - sum(post[c] for c in valid if c != IDENTITY))
-                            for chain, text in valid.items():
-                                if chain != IDENTITY:
-                                    _credit(weights, text, post[chain])
-                else:
-                    batch = [[candidates(w) for w in words] for words in frame.words]
-                    score = _scores(model, batch)
-                    for origin, source, prior, options, counts in zip(frame.origin, frame.source, frame.prior, batch, frame.counts):
-                        post, joint = _judge(options, counts, score, np.asarray(prior) if prior is not None else START)
-                        key = (origin, source)
-                        chains[key] = chains.get(key, 0) + post
-                        for i, forms in enumerate(options):
-                            for chain, text in forms:
-                                if joint[i, chain] > 1e-4:
-                                    _credit(weights, text, joint[i, chain])
+                for part in _chunks([len(w) for w in words]):
+                    batch = Batch(words[part])
+                    if first:
+                        more = batch.first_credits()
+                    else:
+                        counts = np.concatenate([np.zeros(0, int), *frame.counts.iloc[part]])
+                        post, joint = batch.judge(model, _prior_rows(frame.prior.iloc[part]), counts)
+                        for key, one in zip(zip(frame.origin.iloc[part], frame.source.iloc[part]), post):
+                            chains[key] = chains.get(key, 0) + one
+                        more = batch.credits(np.where(joint > 1e-4, joint, 0.0))
+                    for text, weight in more.items():
+                        weights[text] = weights.get(text, 0.0) + weight
                 if weights:
                     for table, more in zip(tables, CharacterModel.counts(weights)):
                         table += more
@@ -368,8 +420,16 @@ def _priors(chains: DataFrame) -> DataFrame:
 
 
 def _with_prior(rows: DataFrame, priors: DataFrame) -> DataFrame:
+    """Adds each row's prior; `priors` (one row per origin and source) is broadcast up to FEW_SOURCES rows, counted first,
+    else the join is salted, so that a source with many rows spreads."""
     p = priors.withColumnRenamed("origin", "o").withColumnRenamed("source", "s")
-    return rows.join(p, (rows.origin == p.o) & rows.source.eqNullSafe(p.s), "left").drop("o", "s")
+    if p.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        return rows.join(F.broadcast(p), (rows.origin == p.o) & rows.source.eqNullSafe(p.s), "left").drop("o", "s")
+    own = F.xxhash64(*[c for c in ("record_key", "words") if c in rows.columns])
+    salted = rows.withColumn("salt", F.pmod(own, F.lit(SALTS)).cast("int"))
+    p = p.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (salted.origin == p.o) & salted.source.eqNullSafe(p.s) & (salted.salt == p.p_salt)
+    return salted.join(p, same, "left").drop("o", "s", "salt", "p_salt")
 
 
 def repair(records: DataFrame, model: tuple, priors: DataFrame | None) -> DataFrame:
@@ -385,30 +445,28 @@ def repair(records: DataFrame, model: tuple, priors: DataFrame | None) -> DataFr
         for frame in frames:
             spans = [words_of(t) for t in frame.text]
             distinct = [list(dict.fromkeys(t[a:b] for a, b in s)) for t, s in zip(frame.text, spans)]
-            batch = [[candidates(w) for w in words] for words in distinct]
-            score = _scores(model, batch)
             rows = []
-            for i, text in enumerate(frame.text):
-                prior, words = frame.prior.iloc[i], distinct[i]
-                if not words:
-                    continue
-                seen = [text[a:b] for a, b in spans[i]]
-                counts = [seen.count(w) for w in words] if len(seen) < 50 else list(pd.Series(seen).value_counts().reindex(words))
-                post, joint = _judge(batch[i], counts, score, np.asarray(prior) if prior is not None else START)
+            for part in _chunks([len(w) for w in distinct]):
+                batch = Batch(distinct[part])
+                counted = [Counter(t[a:b] for a, b in s) for t, s in zip(frame.text.iloc[part], spans[part])]
+                counts = np.array([c[w] for c, words in zip(counted, distinct[part]) for w in words])
+                _, joint = batch.judge(model, _prior_rows(frame.prior.iloc[part]), counts)
                 bad = joint[:, IDENTITY] < 0.5 * joint.sum(axis=1)
-                if not bad.any():
-                    continue
-                fixed = {}
-                for w, options, p, is_bad in zip(words, batch[i], joint, bad):
-                    if is_bad:
-                        fixed[w] = max((o for o in options if o[0] != IDENTITY), key=lambda o: p[o[0]])[1]
-                parts, at = [], 0
-                for a, b in spans[i]:
-                    parts += [text[at:a], fixed.get(text[a:b], text[a:b])]
-                    at = b
-                chain = int(np.argmax(np.where(np.arange(len(post)) == IDENTITY, 0, joint[bad].sum(axis=0))))
-                lost = sum(LOST in f for f in fixed.values())
-                rows.append((frame.origin.iloc[i], frame.record_key.iloc[i], frame.source.iloc[i], CHAINS[chain][0], len(fixed), lost, "".join(parts) + text[at:]))
+                ends = np.cumsum(batch.sizes)
+                for i in np.unique(batch.owner[bad]):
+                    at = np.flatnonzero(bad[ends[i] - batch.sizes[i] : ends[i]]) + ends[i] - batch.sizes[i]
+                    fixed = {}
+                    for k in at:
+                        options = batch.options[batch.word[k]]
+                        fixed[options[0][1]] = max((o for o in options if o[0] != IDENTITY), key=lambda o: joint[k, o[0]])[1]
+                    row = part.start + i
+                    text, parts, last = frame.text.iloc[row], [], 0
+                    for a, b in spans[row]:
+                        parts += [text[last:a], fixed.get(text[a:b], text[a:b])]
+                        last = b
+                    chain_no = int(np.argmax(np.where(np.arange(len(CHAINS)) == IDENTITY, 0, joint[at].sum(axis=0))))
+                    lost = sum(LOST in f for f in fixed.values())
+                    rows.append((frame.origin.iloc[row], frame.record_key.iloc[row], frame.source.iloc[row], CHAINS[chain_no][0], len(fixed), lost, "".join(parts) + text[last:]))
             yield pd.DataFrame(rows, columns=["origin", "record_key", "source", "chain", "garbled_words", "lost_words", "repaired"])
 
     schema = "origin string, record_key string, source string, chain string, garbled_words int, lost_words int, repaired string"

@@ -1,5 +1,6 @@
 """Garbled text: exact round trips of planted misreadings, and the edges."""
 
+import numpy as np
 import pytest
 
 from impactframe.llm import encodings as e
@@ -64,3 +65,23 @@ def test_words():
     plain, text = "x été, y", 'a "été b" \0x\0y z'
     assert [plain[a:b] for a, b in e.words_of(plain)] == ["été"]
     assert e.words_of("plain") == [] and len(e.words_of(text)) == 1
+
+
+def test_scores_do_not_depend_on_the_other_texts():
+    texts = ["été à", "→ Δ", "税额", "x"]
+    model = e.CharacterModel(*e.CharacterModel.counts({t: 3.0 for t in texts}))
+    alone = [model.score([t])[0] for t in texts]
+    assert list(model.score(texts)) == pytest.approx(alone) and list(model.score(texts[::-1])) == pytest.approx(alone[::-1])
+
+
+def test_records_are_judged_alike_in_any_batch():
+    records = [["été", "prÃ¼fen"], [], ["→"], ["LÃ¶sung", "税额", "é"]]
+    whole = e.Batch(records)
+    model = e.CharacterModel(*e.CharacterModel.counts(whole.first_credits()))
+    prior = lambda n: np.tile(e.START, (n, 1))
+    post, joint = whole.judge(model, prior(4), np.array([1, 4, 1, 2, 1, 1]))
+    at = 0
+    for i, (words, counts) in enumerate(zip(records, ([1, 4], [], [1], [2, 1, 1]))):
+        p, j = e.Batch([words]).judge(model, prior(1), np.array(counts))
+        assert p[0] == pytest.approx(post[i]) and j == pytest.approx(joint[at : at + len(words)])
+        at += len(words)
