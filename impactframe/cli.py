@@ -7,7 +7,7 @@ import sys
 from pathlib import Path
 
 from impactframe.functions.text import decode_export
-from impactframe.operators.forms import form_markdown
+from impactframe.operators.forms import render_forms
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -31,7 +31,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     """Exit code 0 when done, 1 when there was nothing to undo."""
     args = _parser().parse_args(argv)
     if args.command == "form":
-        text = form_markdown(decode_export(args.input.read_bytes()), args.input.stem)
+        from impactframe.session import local_session
+
+        session = spark or local_session()
+        export = session.createDataFrame([(args.input.stem, decode_export(args.input.read_bytes()))], "form string, text string")
+        found = render_forms(export).first()
+        if found.error:
+            raise SystemExit(found.error)
+        text = found.markdown
         if args.output:
             args.output.write_text(text, encoding="utf-8")
         else:

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from impactframe.functions.text import classify, decode_export, decode_lenient, is_binary, unified
-from impactframe.operators.forms import form_elements, form_markdown, parse_form, render_forms, resolve_by_form
+from impactframe.operators.forms import form_elements, render_forms, resolve_by_form
 from impactframe.operators.fragments import InvalidDocument, apply_operations, fold_operations, parse_document
 from impactframe.operators.tracker import RevisionConflict, Tracker, store_objects
 from impactframe.operators.workbench import Workbench, WorkbenchError, key_errors
@@ -100,15 +100,79 @@ End Sub
 """
 
 
+DEEP = """Begin Form
+    Caption ="A | B"
+    AllowEdits = NotDefault
+    OnLoad ="[Event Procedure]"
+    GUID = Begin
+        0x00
+    End
+    Begin Tab
+        Name ="pages"
+        StatusBarText ="Pages"
+        Begin Page
+            Begin TextBox
+                Name ="t"
+                ControlSource ="x"
+                Filter ="a"
+                Filter ="b"
+                OnExit ="=Save()"
+                Begin Section
+                    Name ="hidden"
+                End
+            End
+        End
+        Begin Label
+            Name ="l"
+        End
+        Begin Label
+        End
+    End
+    Begin ComboBox
+        Name ="c"
+        RowSource ="SELECT 1\\015\\012FROM t"
+        Begin Label
+            Name ="cl"
+            Caption ="Choose"
+        End
+    End
+End
+"""
+DEEP_MARKDOWN = """# deep
+
+## Form Metadata
+
+- **Caption:** A \\| B
+- **Behavior:** OnLoad: Form_Load; AllowEdits=non-default
+
+| Control | Caption | Binding / Events / Rules |
+| --- | --- | --- |
+| ComboBox `c` | Choose | RowSource=SELECT 1 FROM t |
+
+## Pages
+
+| Control | Caption | Binding / Events / Rules |
+| --- | --- | --- |
+| Label `l` | - | - |
+
+| Control | Caption | Binding / Events / Rules |
+| --- | --- | --- |
+| TextBox `t` | - | ControlSource=x; OnExit: =Save(); Filter=b |
+"""
+
+
 def test_forms(spark):
-    kinds = [(e["element_type"], e["parent_id"]) for e in parse_form(FORM)]
-    assert kinds == [("Form", None), ("Section", 0), ("CommandButton", 1), ("Label", 2)]
-    text = form_markdown(FORM, "Form_Orders")
+    rows = [("f", FORM), ("bad", "End"), ("none", None), ("open", "Begin Form"), ("deep", DEEP), (None, FORM), ("f", FORM)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "form string, text string, no string")
+    elements = form_elements(df).orderBy("elem_id").collect()
+    assert [(e.element_type, e.parent_id) for e in elements if e.form == "f"] == [("Form", None), ("Section", 0), ("CommandButton", 1), ("Label", 2)]
+    assert [(p.key, p.value) for p in elements[-1].props] and {e.form for e in elements if e.error} == {"bad", "open"}
+    found = {r.form: r for r in render_forms(df).collect()}
+    text = found["f"].markdown
     assert "| CommandButton `bSave` | Save it \\| now | OnClick: BSAVE_Click |" in text and "## Section `Detail`" in text
-    df = spark.createDataFrame([("f", FORM), ("bad", "End"), ("none", None)], "form string, text string")
-    assert form_elements(df).where("form = 'f'").count() == 4
-    errors = {r.form: r.error for r in render_forms(df).collect()}
-    assert errors["bad"] == "line 1: unmatched End" and errors["f"] is None and "Form block" in errors["none"]
+    assert found["bad"].error == "line 1: unmatched End" and found["f"].error is None and "Form block" in found["none"].error
+    assert found["open"].error.startswith("unterminated") and found["bad"].markdown is None
+    assert found["deep"].markdown == DEEP_MARKDOWN
 
 
 def test_form_scopes(spark):
