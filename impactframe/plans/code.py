@@ -10,7 +10,7 @@ from impactframe.operators import compare as cmp
 from impactframe.operators import fragments, graph, impact
 from impactframe.operators.facts import Facts, analyze
 from impactframe.operators.symbols import extract_symbols, symbol_changes
-from impactframe.session import table
+from impactframe.session import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -220,23 +220,41 @@ def fun3_diffs(spark: SparkSession, sf: str) -> DataFrame:
 # documents
 
 
-@query("""WITH c AS (SELECT change_id, arg_max(struct_pack(r := root_id, p := path, s := status, h := working_sha256), landed_at) AS x FROM file_change GROUP BY 1),
+_APPLIED = """WITH c AS (SELECT change_id, arg_max(struct_pack(r := root_id, p := path, s := status, h := working_sha256), landed_at) AS x FROM file_change GROUP BY 1),
 o AS (SELECT x.r::VARCHAR AS d, x.p AS f, change_id AS seq, x.s = 'deleted' AS gone, x.h AS md FROM c),
 l AS (SELECT d, f, max(seq) FILTER (gone) AS ld, max_by(gone, seq) AS dead, max_by(md, seq) AS md FROM o GROUP BY ALL),
 a AS (SELECT o.d, o.f, min(o.seq) AS since FROM o JOIN l USING (d, f) WHERE NOT o.gone AND o.seq > coalesce(l.ld, -1) GROUP BY ALL),
 b AS (SELECT d, since, '<!-- impact:fragment:start fragment_id="' || f || '" -->' || chr(10) || md || chr(10) || '<!-- impact:fragment:end fragment_id="' || f || '" -->' AS t
   FROM l JOIN a USING (d, f) WHERE NOT dead)
-SELECT d AS document_key, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY since) || chr(10), '') AS text FROM (SELECT DISTINCT d FROM o) LEFT JOIN b USING (d) GROUP BY d""")
-def frg1_apply(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents rendered from file changes as operations on empty documents."""
+SELECT d AS document_key, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY since) || chr(10), '') AS text FROM (SELECT DISTINCT d FROM o) LEFT JOIN b USING (d) GROUP BY d"""
+
+
+def _operations(spark: SparkSession, sf: str) -> DataFrame:
+    """File changes as operations: a document per root, a fragment per path."""
     latest = table(spark, sf, "file_change").groupBy("change_id").agg(F.max_by(F.struct("root_id", "path", "status", "working_sha256"), "landed_at").alias("x"))
     gone = F.col("x.status") == "deleted"
-    ops = latest.select(
+    return latest.select(
         F.col("x.root_id").cast("string").alias("document_key"), F.col("x.path").alias("fragment_id"), F.col("change_id").alias("seq"),
         F.when(gone, "delete").otherwise("upsert").alias("kind"), F.when(~gone, F.col("x.working_sha256")).alias("markdown"),
     )
+
+
+@query(_APPLIED)
+def frg1_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents rendered from file changes as operations on empty documents."""
+    empty = spark.createDataFrame([], "document_key string, text string")
+    return fragments.apply_operations(empty, _operations(spark, sf)).select("document_key", "text")
+
+
+@query(_APPLIED)
+def frg1_reapply(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents in two steps: the later operations of each document meet the marked text of the earlier ones."""
+    ops = _operations(spark, sf)
+    middle = ops.groupBy("document_key").agg(F.avg("seq").alias("middle"))
+    halves = cut(ops.join(middle, "document_key"))
     empty = spark.createDataFrame([], "document_key string, text string")
-    return fragments.apply_operations(empty, ops).select("document_key", "text")
+    first = cut(fragments.apply_operations(empty, halves.where("seq <= middle")))
+    return fragments.apply_operations(first, halves.where("seq > middle")).select("document_key", "text")
 
 
 @query("""SELECT lower(regexp_extract(document_key, '^([^/]*)', 1)) AS folder, doc_id, row_number() OVER (PARTITION BY lower(regexp_extract(document_key, '^([^/]*)', 1)) ORDER BY doc_id) AS ord

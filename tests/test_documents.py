@@ -6,7 +6,7 @@ import pytest
 
 from impactframe.functions.text import classify, decode_export, decode_lenient, is_binary, unified
 from impactframe.operators.forms import form_elements, render_forms, resolve_by_form
-from impactframe.operators.fragments import InvalidDocument, apply_operations, fold_operations, parse_document
+from impactframe.operators.fragments import apply_operations, document_errors, fold_operations, fragment_text, parse_documents
 from impactframe.operators.tracker import RevisionConflict, Tracker, store_objects
 from impactframe.operators.workbench import Workbench, WorkbenchError, key_errors
 
@@ -31,17 +31,29 @@ def test_fold_of_nothing(spark):
     assert fold_operations(spark.createDataFrame([], OPS)).count() == 0
 
 
-@pytest.mark.parametrize("text", [
-    mark("a", mark("b", "x")), mark("a", "x") + "\n" + mark("a", "y"), '<!-- impact:fragment:start fragment_id="a" -->\n', "<!-- impact:other -->",
-    mark("a", "x") + "\nloose\n" + mark("b", "y"), '<!-- impact:fragment:end fragment_id="a" -->', mark(" a", "x"),
-])
-def test_broken_documents(text):
-    with pytest.raises(InvalidDocument):
-        parse_document(text)
+BROKEN = {
+    mark("a", mark("b", "x")): "fragment 'b' starts inside 'a'", mark("a", "x") + "\n" + mark("a", "y"): "fragment 'a' is there twice",
+    '<!-- impact:fragment:start fragment_id="a" -->\n': "fragment 'a' never ends", "x\n<!-- impact:other -->": "line 2: not a marker of a fragment",
+    mark("a", "x") + "\nloose\n" + mark("b", "y"): "text stands before fragment 'b' and after another",
+    '<!-- impact:fragment:end fragment_id="a" -->': "fragment 'a' ends but never starts", mark(" a", "x"): "' a' cannot be a fragment's id",
+    mark("a", "x").replace('id="a"', 'id="b"', 1): "fragment 'b' is ended as 'a'",
+}
 
 
-def test_prefix_and_suffix_survive():
-    assert parse_document("p\n" + mark("a&amp;b", "x") + "\ns") == ("p\n", [("a&b", "x")], "s")
+def test_broken_documents(spark):
+    docs = spark.createDataFrame([(str(k), t, 0) for k, t in enumerate(BROKEN)] + [("fine", mark("a", "x"), 0), ("none", None, 0)], "document_key string, text string, no int")
+    assert {int(r.document_key): r.error for r in document_errors(docs).collect()} == dict(enumerate(BROKEN.values()))
+    with pytest.raises(Exception, match="invalid document"):
+        parse_documents(docs)[1].collect()
+    assert document_errors(docs.limit(0)).count() == 0
+
+
+def test_prefix_and_suffix_survive(spark):
+    rows = [("d", "p\r\n" + mark("a&amp;b", " x\n\ty ") + "\r\n \n" + mark("c", "") + "\u2028s"), ("plain", "only\ntext"), ("none", None)]
+    frames, fragments = parse_documents(spark.createDataFrame(rows, "document_key string, text string"))
+    assert {tuple(r) for r in frames.collect()} == {("d", "p\r\n", "s"), ("plain", "only\ntext", ""), ("none", "", "")}
+    assert {tuple(r) for r in fragments.collect()} == {("d", "a&b", 1, "x\n\ty"), ("d", "c", 2, "")}
+    assert [r.markdown for r in fragment_text(spark.createDataFrame(rows, "document_key string, text string"), "a&b").collect()] == ["x\n\ty"]
 
 
 def test_workbench_recovers_and_publishes(spark, tmp_path):
