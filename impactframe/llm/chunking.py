@@ -164,15 +164,17 @@ def _first(inner: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lo: int, hi:
 
 
 def oversized(function_change: DataFrame, max_chars: int = MAX_CHARS, max_units: float = MAX_UNITS) -> DataFrame:
-    """Distinct (fchange_id, diff, logical_units) above either limit; rows without fchange_id are left out."""
+    """Distinct (fchange_id, diff, logical_units) above either limit and the diff's hash; rows without fchange_id are left out."""
     over = (F.length("diff") > max_chars) | (F.col("logical_units") > max_units)
-    return function_change.where(over & F.col("fchange_id").isNotNull()).select("fchange_id", "diff", "logical_units").dropDuplicates()
+    rows = function_change.where(over & F.col("fchange_id").isNotNull()).select("fchange_id", "diff", "logical_units").dropDuplicates()
+    return rows.withColumn("diff_key", F.md5("diff"))
 
 
 def split_changes(function_change: DataFrame, max_chars: int = MAX_CHARS, max_units: float = MAX_UNITS, overlap: int = OVERLAP) -> DataFrame:
-    """(fchange_id, piece_no, start_char, end_char, shared_chars, units, piece): pieces of every oversized function diff.
+    """(fchange_id, diff_key, whole_units, piece_no, start_char, end_char, shared_chars, units, piece): pieces of every
+    oversized function diff.
 
-    Offsets count code points. shared_chars is the overlap with the piece before. Repeated rows are split once; rows
+    diff_key (a hash of the diff) and whole_units tell apart several diffs of one id. Offsets count code points. shared_chars is the overlap with the piece before. Repeated rows are split once; rows
     of one id with different diffs are split each. A null or empty diff above the unit limit gives one row with
     piece_no 0 and a null piece. Null units set no limit of their own. NaN units count as above any limit but bound
     nothing.
@@ -181,17 +183,18 @@ def split_changes(function_change: DataFrame, max_chars: int = MAX_CHARS, max_un
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for key, text, units in zip(frame.fchange_id, frame["diff"], frame.logical_units):
+            for key, text, units, hashed in zip(frame.fchange_id, frame["diff"], frame.logical_units, frame.diff_key):
+                whole = None if units is None or units != units else units
                 known = None if pd.isna(units) or units == float("inf") else float(units)
                 if not text:
-                    rows.append((key, 0, 0, 0, 0, known, None))
+                    rows.append((key, hashed, whole, 0, 0, 0, 0, known, None))
                     continue
                 before = 0
                 for no, (a, b) in enumerate(split(text, known, max_chars, max_units, overlap), 1):
                     share = None if known is None else known * (b - a) / len(text)
-                    rows.append((key, no, a, b, max(0, before - a), share, text[a:b]))
+                    rows.append((key, hashed, whole, no, a, b, max(0, before - a), share, text[a:b]))
                     before = b
-            yield pd.DataFrame(rows, columns=["fchange_id", "piece_no", "start_char", "end_char", "shared_chars", "units", "piece"])
+            yield pd.DataFrame(rows, columns=["fchange_id", "diff_key", "whole_units", "piece_no", "start_char", "end_char", "shared_chars", "units", "piece"])
 
-    schema = "fchange_id bigint, piece_no int, start_char int, end_char int, shared_chars int, units double, piece string"
+    schema = "fchange_id bigint, diff_key string, whole_units double, piece_no int, start_char int, end_char int, shared_chars int, units double, piece string"
     return oversized(function_change, max_chars, max_units).mapInPandas(run, schema)

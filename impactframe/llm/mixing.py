@@ -17,10 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from impactframe.session import cut
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bins of the rank histogram of a source.
 BINS = 65_536
 SALTS = 32
+#: Copies from which a text is hot, and hot texts up to which they are broadcast, counted first.
+HOT, FEW = 100_000, 100_000
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -44,12 +48,13 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     )
 
 
-def budgets(sizes: DataFrame, mix_target: DataFrame, total_tokens: float | None = None) -> DataFrame:
+def budgets(sizes: DataFrame, mix_target: DataFrame, total_tokens: float | None = None, fill: bool = False) -> DataFrame:
     """One row per target source: its available mass, cap, budget and expected copies of a text that occurs once.
 
     total_tokens null: the largest total at which every source that has text can reach its share within its cap.
     Sources are matched by name; a source without text cannot contribute and gets budget 0. Shares of repeated target
-    rows add up, of their caps the smallest counts.
+    rows add up, of their caps the smallest counts. fill: what caps leave of a given total goes to the sources with room,
+    in proportion to their shares, as far as any has room.
     """
     target = (
         mix_target.where(F.col("source").isNotNull())
@@ -72,6 +77,21 @@ def budgets(sizes: DataFrame, mix_target: DataFrame, total_tokens: float | None
         total = F.lit(float(total_tokens))
     cap = F.coalesce(F.col("max_repeats").cast("double"), F.lit(float("inf")))
     wish = F.col("target_share") * total
+    if fill and total_tokens is not None:
+        # in the order of room per share, sources fill up; what is left over the shares of the rest is the common level
+        room = F.when((F.col("mass") > 0) & (F.col("target_share") > 0) & (cap > 0), F.col("mass") * cap).otherwise(F.lit(0.0))
+        ratio = F.when(F.col("room") > 0, F.col("room") / F.col("target_share")).otherwise(F.lit(0.0))
+        joined = joined.withColumn("room", room).withColumn("ratio", ratio)
+        order = Window.partitionBy().orderBy("ratio", "source")  # one row per target source
+        full, open_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+        share = F.when(F.col("room") > 0, F.col("target_share")).otherwise(F.lit(0.0))
+        level = (F.lit(float(total_tokens)) - F.coalesce(F.sum("room").over(full), F.lit(0.0))) / F.nullif(F.sum(share).over(open_), F.lit(0.0))
+        joined = joined.withColumn("level", F.when(level <= F.col("ratio"), level))
+        first = F.min(F.when(F.col("level").isNotNull(), F.struct("ratio", "source", "level"))).over(Window.partitionBy())
+        level = F.coalesce(first["level"], F.lit(float("inf")))
+        wish = F.least(F.col("target_share") * level, F.col("room"))
+        joined = joined.withColumn("wish", wish)
+        wish = F.col("wish")
     return joined.withColumn("wished", wish).withColumn(
         "copies", F.when(F.col("mass") > 0, F.least(wish / F.col("mass"), cap)).otherwise(F.lit(0.0))
     )
@@ -85,16 +105,16 @@ def _uniform(seed: int) -> Column:
 
 def mix_sources(
     documents: DataFrame, mix_target: DataFrame, total_tokens: float | None = None, seed: int = 7, tokenizer: str = TOKENIZER,
-    sizes: DataFrame | None = None,
+    sizes: DataFrame | None = None, fill: bool = False,
 ) -> DataFrame:
-    """(doc_id, source, tokens, copies): how often each used document appears in the mixture.
+    """(doc_id, source, tokens, copies): how often each used document appears in the mixture; for the total see budgets.
 
     Documents without doc_id, without a source named in mix_target, or without tokens are not used. Copies never
     exceed the source's max_repeats (null: no cap); a max_repeats of 0 or less uses none. A source ends at most one
     document away from its budget. Repeated rows are drawn each on their own.
     """
     sized = sizes if sizes is not None else weighted_sizes(documents, tokenizer)
-    plan = budgets(sized, mix_target, total_tokens).select("source", "copies", "wished", "mass", "max_repeats")
+    plan = budgets(sized, mix_target, total_tokens, fill).select("source", "copies", "wished", "mass", "max_repeats")
     plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     expected = F.col("copies") / F.col("same")
     docs = (
@@ -143,15 +163,31 @@ def mix_sources(
 
 
 def weighted_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Token counts with `same`, how often a text occurs in its source, and `weighted` = tokens / same."""
-    sized = token_counts(documents, tokenizer)
-    again = sized.groupBy("source", "text_key").agg(F.count("*").alias("same")).where("same > 1")
-    joined = sized.join(again, ["source", "text_key"], "left").withColumn("same", F.coalesce("same", F.lit(1)))
-    return joined.withColumn("weighted", F.col("tokens") / F.col("same"))
+    """Token counts with `same`, how often a text occurs in its source, and `weighted` = tokens / same.
+
+    Counts combine on the map side. Texts that occur more than HOT times are few, at most a HOT-th of the rows: their
+    counts are broadcast once counted, so no task gets all copies of one; the rest meet their counts in a plain join.
+    """
+    sized = cut(token_counts(documents, tokenizer))
+    keys = ["source", "text_key"]
+    again = cut(sized.groupBy(*keys).agg(F.count("*").alias("same")).where("same > 1"))
+    hot = again.where(F.col("same") > HOT)
+    often = hot.withColumnRenamed("same", "often")
+    o = often.select(F.col("source").alias("o_source"), F.col("text_key").alias("o_key"), "often")
+    few = F.broadcast(o) if o.count() <= FEW else o
+    joined = sized.join(few, sized.source.eqNullSafe(F.col("o_source")) & (sized.text_key == F.col("o_key")), "left").drop("o_source", "o_key")
+    spread = F.when(F.col("often").isNull(), F.col("text_key")).otherwise(F.xxhash64("doc_id", "text_key"))  # hot rows need no partner
+    cold = again.where(F.col("same") <= HOT).select(F.coalesce("source", F.lit("\0")).alias("c_source"), F.col("text_key").alias("c_key"), "same")
+    joined = joined.withColumn("c_key", spread).withColumn("c_source", F.coalesce("source", F.lit("\0"))).join(cold, ["c_source", "c_key"], "left")
+    same = F.coalesce("often", F.when(F.col("often").isNull(), F.col("same")), F.lit(1))
+    return joined.withColumn("same", same).drop("often", "c_key", "c_source").withColumn("weighted", F.col("tokens") / F.col("same"))
 
 
 def mixture_shares(mixture: DataFrame, mix_target: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """(source, target_share, actual_share, docs_used, tokens_used, most_repeats) of a mixture, one row per target source."""
+    """(source, target_share, actual_share, docs_used, tokens_used, most_repeats) of a mixture, one row per target source.
+
+    With sizes also available_tokens, the tokens of the source, and unused_tokens, those of documents left out.
+    """
     target = (
         mix_target.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("target_share"))
     )
@@ -159,10 +195,15 @@ def mixture_shares(mixture: DataFrame, mix_target: DataFrame, sizes: DataFrame |
         F.count("*").alias("docs_used"),
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"),
         F.max("copies").alias("most_repeats"),
+        F.sum("tokens").alias("once"),
     )
-    joined = target.join(used, "source", "left").na.fill(0, ["docs_used", "tokens_used", "most_repeats"])
+    joined = target.join(used, "source", "left").na.fill(0, ["docs_used", "tokens_used", "most_repeats", "once"])
     total = F.sum("tokens_used").over(Window.partitionBy())  # one row per target source
     share = F.when(total > 0, F.col("tokens_used") / total).otherwise(F.lit(0.0))
-    return joined.withColumn("actual_share", share).select(
-        "source", "target_share", "actual_share", "docs_used", "tokens_used", "most_repeats"
-    )
+    shown = ["source", "target_share", "actual_share", "docs_used", "tokens_used", "most_repeats"]
+    if sizes is not None:
+        there = sizes.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
+        joined = joined.join(there, "source", "left").na.fill(0, ["available_tokens"])
+        joined = joined.withColumn("unused_tokens", F.col("available_tokens") - F.col("once"))
+        shown += ["available_tokens", "unused_tokens"]
+    return joined.withColumn("actual_share", share).select(*shown)

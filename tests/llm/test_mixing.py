@@ -55,3 +55,27 @@ def test_a_cap_of_zero_leaves_the_other_sources_alone(spark, corpus):
     for cap in (0, -1):
         mix = mixing.mix_sources(corpus, target(spark, [("big", 0.5, cap), ("small", 0.5, 2)]))
         assert {r.source for r in mix.select("source").distinct().collect()} == {"small"}
+
+
+def test_what_caps_leave_goes_to_sources_with_room(spark, corpus):
+    t = target(spark, [("big", 0.4, 2), ("small", 0.5, 1), ("dup", 0.05, 1), ("absent", 0.05, None)])
+    sizes = mixing.weighted_sizes(corpus)
+    mix = mixing.mix_sources(corpus, t, total_tokens=20_000, sizes=sizes, fill=True)
+    by = {r.source: r for r in mixing.mixture_shares(mix, t, sizes).collect()}
+    assert abs(sum(r.tokens_used for r in by.values()) - 20_000) < 60 and by["big"].most_repeats <= 2
+    assert by["small"].docs_used == 40 and by["small"].unused_tokens == 0 and by["absent"].available_tokens == 0
+    assert by["dup"].docs_used == 1 and by["dup"].unused_tokens == by["dup"].available_tokens - by["dup"].tokens_used
+    t2 = target(spark, [("big", 0.1, 2), ("small", 0.1, 20), ("dup", 0.8, 1)])
+    two = {r.source: r.tokens_used for r in mixing.mixture_shares(mixing.mix_sources(corpus, t2, total_tokens=4_000, sizes=sizes, fill=True), t2).collect()}
+    assert abs(two["big"] - two["small"]) < 60 and abs(sum(two.values()) - 4_000) < 60
+    more = mixing.mix_sources(corpus, t, total_tokens=10**9, sizes=sizes, fill=True)
+    assert more.groupBy("source").agg(F.max("copies").alias("m")).where("source = 'big' and m = 2").count() == 1
+
+
+@pytest.mark.parametrize("hot, few", [(1, 100), (20, 0), (100, 100)])
+def test_hot_texts_count_alike(spark, corpus, monkeypatch, hot, few):
+    want = {tuple(r) for r in mixing.weighted_sizes(corpus).select("doc_id", "source", "same").collect()}
+    monkeypatch.setattr(mixing, "HOT", hot)
+    monkeypatch.setattr(mixing, "FEW", few)
+    assert {tuple(r) for r in mixing.weighted_sizes(corpus).select("doc_id", "source", "same").collect()} == want
+    assert (20_000, "dup", 50) in want and (30_000, "big", 1) in want
