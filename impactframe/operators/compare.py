@@ -28,6 +28,13 @@ def compare(old: DataFrame, new: DataFrame, keys: list[str], value: str, carry:
     return changed.select(*keys, "status", *[f"{p}_{c}" for p in ("old", "new") for c in columns])
 
 
+def by_status(changes: DataFrame, status: str) -> DataFrame:
+    """Changes of one status: added, modified or deleted."""
+    if status not in ("added", "modified", "deleted"):
+        raise ValueError(f"status must be added, modified or deleted, not {status!r}")
+    return changes.where(F.col("status") == status)
+
+
 def status_counts(changes: DataFrame, *by: str) -> DataFrame:
     return changes.groupBy(*by, "status").agg(F.count("*").alias("n"))
 

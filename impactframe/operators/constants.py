@@ -87,7 +87,8 @@ def resolve_constants(used: DataFrame, declared: DataFrame, sources: DataFrame)
     plain = real.where("qualifier_cf is null").join(own, [*keys, "name_cf"], "left").join(_index(public, ["scope", "name_cf"], "all"), ["scope", "name_cf"], "left")
     has_own = F.col("own_n").isNotNull()
     pick = lambda c: F.when(has_own, F.col(f"own_{c}")).otherwise(F.col(f"all_{c}"))
-    plain = plain.select(*used.columns, pick("n").alias("n"), pick("blocked").alias("blocked"), pick("one").alias("one"), F.lit(1).cast("bigint").alias("named"))
+    count = lambda c: F.coalesce(pick(c), F.lit(0)).alias(c)
+    plain = plain.select(*used.columns, count("n"), count("blocked"), pick("one").alias("one"), F.lit(1).cast("bigint").alias("named"))
     in_module = _index(public, ["scope", "module_cf", "name_cf"], "all").withColumnRenamed("module_cf", "qualifier_cf")
     dotted = (
         real.where("qualifier_cf is not null")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from impactframe.functions.syntax import plsql_calls, plsql_file, stem_of, vba_calls, vba_procedures
+from impactframe.operators.ordering import global_rank
 from impactframe.session import stage
 
 # Languages, their extensions, and the suffix of event handlers.
@@ -33,6 +34,16 @@ class Facts:
     entry_points: DataFrame
     diagnostics: DataFrame
 
+    def ordered(self) -> Facts:
+        """The same facts with `ord`: functions by id, calls by place, entry points by function, diagnostics by place."""
+        none = lambda c: F.coalesce(c, F.lit(""))
+        return Facts(
+            global_rank(self.functions, F.struct("scope", "id")),
+            global_rank(self.calls, F.struct("scope", "source_id", "line", F.lower("name").alias("n"), none("target_id").alias("t"))),
+            global_rank(self.entry_points, F.struct("scope", "function_id", "kind", "source")),
+            global_rank(self.diagnostics, F.struct("scope", none("source_id").alias("s"), F.coalesce("line", F.lit(0)).alias("l"), "code", none("function_id").alias("f"))),
+        )
+
     def edges(self) -> DataFrame:
         """Distinct resolved edges between known functions (scope, src, dst); a function may call itself."""
         return call_edges(self.calls, self.functions)
@@ -108,10 +119,14 @@ def syntax_rows(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("analyzer").isNotNull()).select("scope", "source_id", "analyzer", "content").mapInPandas(_rows, ROWS)
 
 
+def symbol_index(symbols: DataFrame) -> DataFrame:
+    """(scope, name_cf, named, only): how many symbols bear a name, and the least of them."""
+    return symbols.groupBy("scope", "name_cf").agg(F.count("*").alias("named"), F.min("id").alias("only"))
+
+
 def resolve_unique(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Adds target_id where exactly one symbol of the call's scope has its name, and `named`, how many have."""
-    index = symbols.groupBy("scope", "name_cf").agg(F.count("*").alias("named"), F.min("id").alias("only"))
-    joined = calls.join(index, ["scope", "name_cf"], "left").withColumn("named", F.coalesce("named", F.lit(0)))
+    joined = calls.join(symbol_index(symbols), ["scope", "name_cf"], "left").withColumn("named", F.coalesce("named", F.lit(0)))
     return joined.withColumn("target_id", F.when(F.col("named") == 1, F.col("only"))).drop("only")
 
 
@@ -155,6 +170,12 @@ def validate_entries(entries: DataFrame, functions: DataFrame) -> tuple[DataFram
     return entries.join(ids, keys, "left_semi").distinct(), entries.join(ids, keys, "left_anti")
 
 
+def entry_kinds(entries: DataFrame) -> DataFrame:
+    """(scope, function_id, first, last): the least and the greatest (kind, source) of each function's entry points."""
+    pair = F.struct("kind", "source")
+    return entries.groupBy("scope", "function_id").agg(F.min(pair).alias("first"), F.max(pair).alias("last"))
+
+
 def missing_members(declared: DataFrame, functions: DataFrame) -> DataFrame:
     """Declared package members without an implementation in a body."""
     done = functions.where("body").select("scope", "module_cf", "name_cf").distinct()
@@ -283,6 +304,19 @@ def find_functions(functions: DataFrame, language: str | None = None, qualified_
     return out
 
 
+def need(rows: DataFrame, **key: str) -> DataFrame:
+    """The rows of a key; KeyError where there is none."""
+    found = find_functions(rows, **key)
+    if found.isEmpty():
+        raise KeyError(", ".join(f"{k}={v!r}" for k, v in key.items()))
+    return found
+
+
+def calls_to(calls: DataFrame, function_id: str) -> DataFrame:
+    """Resolved calls of the function."""
+    return calls.where(F.col("target_id") == function_id)
+
+
 def functions_at(functions: DataFrame, places: DataFrame) -> DataFrame:
     """Functions that hold each (source_id, line) of places: an equi-join on the file with a range condition."""
     return functions.join(places, "source_id").where(F.col("line").between(F.col("start_line"), F.col("end_line")))

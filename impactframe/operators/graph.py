@@ -45,6 +45,22 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, re
     return out
 
 
+def upstream(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node): the given nodes and every node from which one of them can be reached. One row a node, whatever reaches what."""
+    links = cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("before")).where("node is not null and before is not null").distinct())
+    frontier = cut(nodes.select("node").where("node is not null").distinct())
+    rounds, seen = 0, frontier
+    while True:
+        step = frontier.join(links, "node").select(F.col("before").alias("node")).distinct()
+        frontier = cut(step.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        rounds += 1
+        seen = seen.unionByName(frontier)
+        seen = cut(seen) if rounds % 8 == 0 else seen
+    return seen
+
+
 def reachable(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFrame:
     """(root, node, ord): what each root reaches, itself left out, numbered in breadth-first order."""
     found = closure(edges, roots, reverse=reverse).where("depth > 0")
@@ -104,6 +120,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """
     links = edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null and a <> b")
     links = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
+    before = mark(links)
     every = edges.select(F.explode(F.array("a", "b")).alias("node"))
     every = every.unionByName(nodes.select("node")) if nodes is not None else every
     while True:
@@ -114,10 +132,10 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         small = large.join(tops, "u")
         again = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(again.unionByName(tops.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        change = links.exceptAll(after).isEmpty() and after.exceptAll(links).isEmpty()
-        links = after
-        if change:
+        links, now = after, mark(after)  # count, sum and exclusive or of two hashes tell whether any link has changed
+        if now == before:
             break
+        before = now
     label = links.groupBy("u").agg(F.min("v").alias("component"))
     every = every.where("node is not null").distinct()
     return every.join(label, every.node == label.u, "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from impactframe.functions.text import function_diff
 from impactframe.operators.compare import compare, edge_changes, overlay
 from impactframe.operators.facts import EXTENSIONS, Facts, analyze
-from impactframe.operators.graph import closure, components
+from impactframe.operators.graph import closure, components, upstream
 from impactframe.session import cut
 
 
@@ -50,19 +50,37 @@ def find_evidence(changes: DataFrame, old_paths: DataFrame, new_paths: DataFrame
     )
 
 
+def resolved_edges(calls: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of the calls that resolved, whether or not the target is known."""
+    return calls.where(F.col("target_id").isNotNull()).select(F.col("source_fn").alias("src"), F.col("target_id").alias("dst")).distinct()
+
+
+def affected_entries(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(entry_id): entries that a change reaches on either side; old and new: (entry_id, ...)."""
+    return old.select("entry_id").union(new.select("entry_id")).distinct()
+
+
+def unassigned(changes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Function changes (function_id, ...) that reach no entry."""
+    return changes.join(evidence.select(F.col("changed_function_id").alias("function_id")), "function_id", "left_anti")
+
+
+def _paths(facts: Facts, changes: DataFrame) -> DataFrame:
+    """Closures from the entries that can reach a change, over the functions that can; no other path is walked."""
+    edges = facts.edges()
+    near = upstream(edges, changes.select(F.col("function_id").alias("node")))
+    within = lambda c: near.withColumnRenamed("node", c)
+    inner = edges.join(within("src"), "src", "left_semi").join(within("dst"), "dst", "left_semi")
+    return closure(inner, facts.entry_points.select(F.col("function_id").alias("root")).join(within("root"), "root", "left_semi"))
+
+
 def impact_of(old: Facts, new: Facts, issues: DataFrame | None = None) -> Impact:
     """Compare the facts of two snapshots (each of one scope)."""
     changes = cut(function_changes(old.functions, new.functions))
-    old_edges, new_edges = old.edges(), new.edges()
-    resolved = lambda f: f.calls.where(F.col("target_id").isNotNull()).select(F.col("source_fn").alias("src"), F.col("target_id").alias("dst"))
-    roots = lambda f: f.entry_points.select(F.col("function_id").alias("root"))
-    evidence = find_evidence(changes, closure(old_edges, roots(old)), closure(new_edges, roots(new)))
+    evidence = find_evidence(changes, _paths(old, changes), _paths(new, changes))
     evidence = cut(evidence)
-    hit = evidence.select(F.col("changed_function_id").alias("function_id")).distinct()
-    return Impact(
-        changes, edge_changes(resolved(old), resolved(new), ["src", "dst"]), evidence,
-        changes.join(hit, "function_id", "left_anti"), issues, old, new,
-    )
+    edges = edge_changes(resolved_edges(old.calls), resolved_edges(new.calls), ["src", "dst"])
+    return Impact(changes, edges, evidence, unassigned(changes, evidence), issues, old, new)
 
 
 def analyze_changes(working: DataFrame, changes: DataFrame, analyzers: dict = EXTENSIONS) -> Impact:
@@ -84,12 +102,15 @@ def batches(evidence: DataFrame) -> DataFrame:
 
 
 def entry_contexts(impact: Impact) -> dict[str, DataFrame]:
-    """Per entry with evidence: its context functions of either side, and the edge changes that touch them."""
+    """Per entry with evidence: its context functions of either side, the edge changes that touch them, and the diagnostics of
+    either side about them, each once."""
     entries = impact.evidence.select(F.col("entry_id").alias("root")).distinct()
-    ids = None
+    ids = told = None
     for facts in (impact.old, impact.new):
         there = entries.join(facts.entry_points.select(F.col("function_id").alias("root")).distinct(), "root", "left_semi")
         found = closure(facts.edges(), there).select("root", "node")
+        about = facts.diagnostics.drop("scope").join(found.withColumnRenamed("node", "function_id"), "function_id")
         ids = found if ids is None else ids.unionByName(found).distinct()
+        told = about if told is None else told.unionByName(about).distinct()
     touch = lambda c: impact.edge_changes.join(ids.withColumnRenamed("node", c), c).select("root", "src", "dst", "change_type")
-    return {"functions": ids, "edge_changes": touch("src").unionByName(touch("dst")).distinct()}
+    return {"functions": ids, "edge_changes": touch("src").unionByName(touch("dst")).distinct(), "diagnostics": told}

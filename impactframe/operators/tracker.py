@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactframe.functions.text import content_snapshot, file_diff, matches_patterns, under
-from impactframe.operators.compare import compare, has_text_diff, working_revision
+from impactframe.operators.compare import by_status, compare, has_text_diff, working_revision
 from impactframe.sources.directory import read_directory
-from impactframe.session import cut
+from impactframe.session import cut, exists
 
 STATE = "path string, file_exists boolean, size_bytes bigint, mtime double, sha256 string, content binary"
 
@@ -40,7 +40,7 @@ class Scan:
     working_revision: str
 
     def by_status(self, status: str) -> DataFrame:
-        return self.changes.where(F.col("status") == status)
+        return by_status(self.changes, status)
 
     def diffs(self) -> DataFrame:
         """(path, diff), empty where a side is neither text nor absent."""
@@ -135,12 +135,21 @@ class Tracker:
         os.replace(part, self.pointer)
 
 
+def new_objects(objects: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row per key of objects (key, ...) that is not stored yet."""
+    return objects.dropDuplicates(["key"]).join(stored.select("key"), "key", "left_anti")
+
+
+def read_objects(keys: DataFrame, stored: DataFrame) -> DataFrame:
+    """(key, content) of each wanted key, content null where it is not stored."""
+    return keys.select("key").distinct().join(stored.select("key", "content").dropDuplicates(["key"]), "key", "left")
+
+
 def store_objects(objects: DataFrame, path: str, spark: SparkSession) -> int:
     """Append contents (key, content) whose key is not stored yet; returns how many there are to add. Idempotent."""
-    fresh = objects.select("key", "content").dropDuplicates(["key"])
-    if os.path.exists(path):
-        fresh = fresh.join(spark.read.parquet(path).select("key"), "key", "left_anti")
-    fresh = cut(fresh)
+    wanted = objects.select("key", "content")
+    there = spark.read.parquet(path) if exists(spark, path) else wanted.limit(0)
+    fresh = cut(new_objects(wanted, there))
     n = fresh.count()
     if n:
         fresh.write.mode("append").parquet(path)

@@ -45,6 +45,16 @@ def key_errors(keys: DataFrame) -> DataFrame:
     return malformed.unionByName(hit)
 
 
+def with_integrity(documents: DataFrame) -> DataFrame:
+    """(document_key, text, bytes, sha256) of (document_key, text)."""
+    return documents.select("document_key", "text", F.octet_length("text").cast("bigint").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+
+
+def corrupt(stored: DataFrame) -> DataFrame:
+    """Stored documents whose text does not match its size and hash."""
+    return stored.where((F.octet_length("text") != F.col("bytes")) | (F.sha2("text", 256) != F.col("sha256")))
+
+
 class Workbench:
     """A store below `root`; reopen it to go on after a crash."""
 
@@ -128,14 +138,12 @@ class Workbench:
             raise WorkbenchError(f"{first.document_key!r}: {first.error}")
         with open(self._path("frozen"), "a", encoding="utf-8"):
             pass
-        rows = fresh.select("document_key", "text", F.octet_length("text").cast("bigint").alias("bytes"), F.sha2("text", 256).alias("sha256"))
-        self._put(rows, "done", f"{len(os.listdir(self._path('done'))):012d}-{uuid.uuid4().hex}")
+        self._put(with_integrity(fresh), "done", f"{len(os.listdir(self._path('done'))):012d}-{uuid.uuid4().hex}")
         return fresh.count()
 
     def verify(self) -> None:
         """Refuse a store whose finished documents do not match their size and hash."""
-        broken = self.results().where((F.octet_length("text") != F.col("bytes")) | (F.sha2("text", 256) != F.col("sha256")))
-        bad = broken.first()
+        bad = corrupt(self.results()).first()
         if bad:
             raise WorkbenchError(f"stored document {bad.document_key!r} is corrupt")
 

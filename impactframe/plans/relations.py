@@ -15,9 +15,12 @@ from impactframe.operators import facts
 from impactframe.operators.forms import resolve_by_form
 from impactframe.operators.fragments import fold_operations, operation_error
 from impactframe.operators.graph import within_budget
-from impactframe.operators.impact import find_evidence
+from impactframe.operators.constants import duplicate_constants, resolve_constants
+from impactframe.operators.impact import affected_entries, find_evidence, resolved_edges, unassigned
 from impactframe.operators.ordering import global_rank
-from impactframe.operators.workbench import key_errors
+from impactframe.operators.tracker import new_objects, read_objects
+from impactframe.operators.workbench import corrupt, key_errors, with_integrity
+from impactframe.operators.workload import assess, metrics
 from impactframe.session import table
 
 QUERIES: dict = {}
@@ -107,7 +110,7 @@ FROM (SELECT DISTINCT change_id, status, baseline_sha256, working_sha256 FROM fi
 def fil9_modified(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "file_change").select("change_id", "status", "baseline_sha256", "working_sha256").distinct()
     both = F.col("baseline_sha256").isNotNull() & F.col("working_sha256").isNotNull()
-    return f.where("status = 'modified'").select("change_id", "status", both.alias("both_sides"))
+    return cmp.by_status(f, "modified").select("change_id", "status", both.alias("both_sides"))
 
 
 @query("""SELECT DISTINCT change_id FROM content_snapshot GROUP BY change_id
@@ -126,20 +129,6 @@ s AS (SELECT root_id, path, sha256, snapshot_no FROM (
   WHERE k = 1 AND file_exists)"""
 
 
-def _states(spark: SparkSession, sf: str, no: int) -> DataFrame:
-    st = table(spark, sf, "file_state").where(F.col("snapshot_no") == no)
-    last = st.groupBy("root_id", "path").agg(F.max(F.struct("delivered_at", "sha256", "file_exists")).alias("s"))
-    return last.where("s.file_exists").select("root_id", "path", "s.sha256")
-
-
-@query(f"""WITH {_STATES} SELECT coalesce(a.root_id, b.root_id) AS root_id, coalesce(a.path, b.path) AS path,
-CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS status
-FROM (SELECT * FROM s WHERE snapshot_no = 1) a FULL JOIN (SELECT * FROM s WHERE snapshot_no = 2) b
-ON a.root_id = b.root_id AND a.path = b.path WHERE a.sha256 IS DISTINCT FROM b.sha256""")
-def joi1_compare_states(spark: SparkSession, sf: str) -> DataFrame:
-    return cmp.compare(_states(spark, sf, 1), _states(spark, sf, 2), ["root_id", "path"], "sha256").select("root_id", "path", "status")
-
-
 @query("""WITH f AS (SELECT * FROM file_state WHERE root_id IS NOT NULL AND snapshot_no IS NOT NULL AND path IS NOT NULL),
 s AS (SELECT root_id, path, sha256, snapshot_no FROM (
   SELECT *, row_number() OVER (PARTITION BY root_id, snapshot_no, path
@@ -282,7 +271,7 @@ def agg1_working_revision(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT lower(p_name) AS name_cf, count(*) AS n, min('p' || p_partkey) AS first_id FROM part GROUP BY 1")
 def agg2_symbol_index(spark: SparkSession, sf: str) -> DataFrame:
-    return _part_symbols(spark, sf).groupBy("name_cf").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return facts.symbol_index(_part_symbols(spark, sf)).select("name_cf", F.col("named").alias("n"), F.col("only").alias("first_id"))
 
 
 @query("""SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem
@@ -318,18 +307,19 @@ def set2_edge_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem")
 def set3_resolved_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return resolved_edges(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source_fn"), F.col("l_partkey").alias("target_id")))
 
 
 @query(f"WITH {_EDGES} SELECT src FROM e WHERE y = 0 UNION SELECT src FROM e WHERE y = 1")
 def set4_union(spark: SparkSession, sf: str) -> DataFrame:
-    return _edges(spark, sf, 0).select("src").union(_edges(spark, sf, 1).select("src")).distinct()
+    side = lambda y: _edges(spark, sf, y).withColumnRenamed("src", "entry_id")
+    return affected_entries(side(0), side(1)).withColumnRenamed("entry_id", "src")
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def set6_unassigned(spark: SparkSession, sf: str) -> DataFrame:
-    hit = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey").join(hit, "o_orderkey", "left_anti")
+    evidence = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("changed_function_id"))
+    return unassigned(table(spark, sf, "orders").select(F.col("o_orderkey").alias("function_id")), evidence).select(F.col("function_id").alias("o_orderkey"))
 
 
 @query("""WITH r AS (SELECT source, doc_id, row_number() OVER w AS k, sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS run
@@ -342,10 +332,8 @@ def win1_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_custkey, min(o_orderpriority) AS first_kind, max(o_orderpriority) AS last_kind FROM orders GROUP BY 1")
 def win4_first_last_entry(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").groupBy("o_custkey")
-    return o.agg(F.min(F.struct("o_orderpriority")).alias("a"), F.max(F.struct("o_orderpriority")).alias("b")).select(
-        "o_custkey", F.col("a.o_orderpriority").alias("first_kind"), F.col("b.o_orderpriority").alias("last_kind")
-    )
+    o = table(spark, sf, "orders").select(F.lit("").alias("scope"), F.col("o_custkey").alias("function_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("source"))
+    return facts.entry_kinds(o).select(F.col("function_id").alias("o_custkey"), F.col("first.kind").alias("first_kind"), F.col("last.kind").alias("last_kind"))
 
 
 # functions
@@ -410,8 +398,7 @@ def joi15_evidence(spark: SparkSession, sf: str) -> DataFrame:
 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL AND lang = 'en')""")
 def snk2_new_objects(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where("text is not null").select("lang", F.sha2("text", 256).alias("key"))
-    stored = d.where("lang = 'en'").select("key")
-    return d.where(~F.col("lang").eqNullSafe("en")).select("key").distinct().join(stored, "key", "left_anti")
+    return new_objects(d.where(~F.col("lang").eqNullSafe("en")).select("key"), d.where("lang = 'en'"))
 
 
 @query("""SELECT doc_id, CASE WHEN document_key IS NULL OR document_key = '' THEN 'fragment_id must be a non-empty marker-safe ID'
@@ -449,5 +436,126 @@ def srt2_component_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
 def fun18_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("text is not null")
-    return d.select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    d = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("document_key"), "text")
+    return with_integrity(d).select(F.col("document_key").cast("bigint").alias("doc_id"), "bytes", "sha256")
+
+
+@query("""WITH s AS (SELECT 'p' || p_partkey AS id, lower(p_name) AS n, lower(p_brand) AS m FROM part WHERE p_size < 20),
+c AS (SELECT p_partkey, lower(p_name) AS n, lower(p_brand) AS own, CASE WHEN p_size > 30 THEN 'brand#' || (p_size % 5 + 1) || (p_partkey % 5 + 1) END AS q FROM part),
+near AS (SELECT n, m, count(*) AS k, min(id) AS id FROM s GROUP BY ALL), far AS (SELECT n, count(*) AS k, min(id) AS id FROM s GROUP BY ALL)
+SELECT p_partkey AS call, CASE WHEN near.k = 1 THEN near.id WHEN q IS NULL AND near.k IS NULL AND far.k = 1 THEN far.id END AS target_id,
+  CASE WHEN q IS NULL THEN coalesce(far.k, 0) ELSE 0 END AS named
+FROM c LEFT JOIN near ON near.n = c.n AND near.m = coalesce(q, own) LEFT JOIN far ON far.n = c.n""")
+def joi5_qualified(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of larger parts name a brand, which need not be their own or hold the name."""
+    p = table(spark, sf, "part")
+    given = F.when(F.col("p_size") > 30, F.concat(F.lit("brand#"), (F.col("p_size") % 5 + 1).cast("string"), (F.col("p_partkey") % 5 + 1).cast("string")))
+    calls = p.select(F.lit("").alias("scope"), F.col("p_partkey").alias("call"), F.lower("p_name").alias("name_cf"), given.alias("qualifier_cf"), F.lower("p_brand").alias("module_cf"))
+    symbols = p.where("p_size < 20").select(F.lit("").alias("scope"), F.concat(F.lit("p"), "p_partkey").alias("id"), F.lower("p_name").alias("name_cf"), F.lower("p_brand").alias("module_cf"))
+    return facts.resolve_scoped(calls, symbols).select("call", "target_id", "named")
+
+
+def _constants(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(uses, declarations, sources): parts declare their names in one module for each brand, the dear ones publicly and the
+    large ones unusably; module lines of nations are two sources; orders use names of parts, some by a module's name."""
+    p = table(spark, sf, "part")
+    source = F.concat(F.lower("p_brand"), F.when(F.col("p_size") % 7 == 0, "/b.bas").otherwise(".bas"))
+    name = F.lower(F.split("p_name", " ")[0])
+    declared = p.select(
+        F.lit("").alias("scope"), source.alias("source_id"), F.col("p_partkey").alias("ord"), F.when(F.col("p_size") > 47, "blocker").otherwise("constant").alias("kind"),
+        F.concat(name, (F.col("p_partkey") % 40).cast("string")).alias("name_cf"), F.when(F.col("p_retailprice") > 1400, "public").otherwise("private").alias("visibility"),
+        F.col("p_size").alias("start_line"), F.when(F.col("p_size") % 7 == 0, "b").otherwise(F.lower("p_brand")).alias("module_cf"),
+    )
+    shadow = p.where("p_size = 5").select(
+        F.lit("").alias("scope"), source.alias("source_id"), F.col("p_partkey").alias("ord"), F.lit("shadow").alias("kind"), F.concat(name, (F.col("p_partkey") % 40).cast("string")).alias("name_cf"),
+        F.lit(None).cast("string").alias("visibility"), F.col("p_size").alias("start_line"), F.lit(None).cast("string").alias("module_cf"),
+    )
+    o = table(spark, sf, "orders").join(p.select(F.col("p_partkey").alias("o_custkey"), source.alias("source_id"), name.alias("first")), "o_custkey")
+    asked = F.concat("first", (F.col("o_orderkey") % 40).cast("string"))
+    module = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("brand#"), (F.col("o_orderkey") % 5 + 1).cast("string"), (F.col("o_custkey") % 5 + 1).cast("string"))).when(F.col("o_orderpriority") == "2-HIGH", "b")
+    use = o.select(F.lit("").alias("scope"), "source_id", F.col("o_orderkey").cast("string").alias("id"), F.lit("use").alias("kind"), asked.alias("name_cf"), module.alias("qualifier_cf"))
+    local = o.where("o_orderstatus = 'P'").select(F.lit("").alias("scope"), "source_id", F.col("o_orderkey").cast("string").alias("id"), F.lit("local").alias("kind"), asked.alias("name_cf"), F.lit(None).cast("string").alias("qualifier_cf"))
+    return use.unionByName(local), declared.unionByName(shadow), declared.select("scope", "source_id").distinct()
+
+
+_CONST = """
+p AS (SELECT *, lower(p_brand) || CASE WHEN p_size % 7 = 0 THEN '/b.bas' ELSE '.bas' END AS src, CASE WHEN p_size % 7 = 0 THEN 'b' ELSE lower(p_brand) END AS mod,
+  lower(split_part(p_name, ' ', 1)) AS f FROM part),
+d AS (SELECT src, mod, p_partkey AS ord, p_size, f || (p_partkey % 40) AS n, p_size > 47 AS bad, p_retailprice > 1400 AS pub FROM p),
+m AS (SELECT mod, count(DISTINCT src) AS k FROM d GROUP BY 1),
+u AS (SELECT o_orderkey AS id, src, f || (o_orderkey % 40) AS n, o_orderstatus = 'P' AS hidden,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'brand#' || (o_orderkey % 5 + 1) || (o_custkey % 5 + 1) WHEN o_orderpriority = '2-HIGH' THEN 'b' END AS q
+  FROM orders JOIN p ON p_partkey = o_custkey),
+live AS (SELECT u.* FROM u WHERE CASE WHEN q IS NULL THEN NOT hidden AND NOT EXISTS (SELECT 1 FROM d x WHERE x.p_size = 5 AND x.src = u.src AND x.n = u.n)
+  ELSE q IN (SELECT mod FROM m) END),
+fits AS (SELECT l.id, l.q, d.* FROM live l JOIN d ON d.n = l.n AND CASE WHEN l.q IS NULL
+    THEN d.src = l.src OR (d.pub AND NOT EXISTS (SELECT 1 FROM d o WHERE o.src = l.src AND o.n = l.n))
+    ELSE d.mod = l.q AND (d.src = l.src OR d.pub) END),
+g AS (SELECT id, any_value(q) AS q, count(*) FILTER (bad) AS blocked, count(*) FILTER (NOT bad) AS c, min(ord) FILTER (NOT bad) AS ord, min(mod) FILTER (NOT bad) AS mod FROM fits GROUP BY 1)"""
+
+
+@query(f"""WITH {_CONST} SELECT id::VARCHAR AS id, CASE WHEN blocked > 0 THEN 'unresolved'
+  WHEN c <> 1 OR (q IS NOT NULL AND (SELECT k FROM m WHERE m.mod = q) <> 1) OR (SELECT k FROM m WHERE m.mod = g.mod) <> 1 THEN 'ambiguous' ELSE 'found' END AS state,
+CASE WHEN blocked = 0 AND c = 1 AND (q IS NULL OR (SELECT k FROM m WHERE m.mod = q) = 1) AND (SELECT k FROM m WHERE m.mod = g.mod) = 1 THEN ord END AS target FROM g WHERE blocked > 0 OR c > 0""")
+def joi6_constants(spark: SparkSession, sf: str) -> DataFrame:
+    """Uses of constants by the rules of modules, over parts as declarations and orders as uses."""
+    found = resolve_constants(*_constants(spark, sf))
+    return found.select("id", "state", F.when(F.col("state") == "found", F.col("target.ord")).alias("target"))
+
+
+@query(f"""WITH {_CONST} SELECT src AS source_id, n AS name_cf, ord FROM (SELECT *, row_number() OVER (PARTITION BY src, n ORDER BY ord) AS k FROM d WHERE NOT bad) WHERE k > 1""")
+def agg6_duplicate_constants(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_constants(_constants(spark, sf)[1]).select("source_id", "name_cf", "ord")
+
+
+_KINDS = ("decisions", "loops", "nested_control_units", "joins", "aggregates", "exception_handlers", "fetch", "quarters", "physical_code_lines", "discounted_lines", "max_control_depth", "cursor_declarations")
+
+
+@query(f"""WITH e AS (SELECT l_orderkey::VARCHAR AS id, ({list(_KINDS)})[(l_partkey + l_linenumber) % {len(_KINDS)} + 1] AS kind, floor(l_quantity) AS a, l_suppkey AS name FROM lineitem),
+c AS (SELECT id, coalesce(sum(a) FILTER (kind = 'decisions'), 0) AS d, coalesce(sum(a) FILTER (kind = 'loops'), 0) AS l, coalesce(sum(a) FILTER (kind = 'nested_control_units'), 0) AS n,
+  coalesce(sum(a) FILTER (kind IN ('joins', 'aggregates')), 0) AS s, coalesce(sum(a) FILTER (kind IN ('cursor_declarations', 'exception_handlers')), 0) AS o,
+  count(DISTINCT name) FILTER (kind = 'fetch') AS f, coalesce(sum(a) FILTER (kind = 'quarters'), 0) / 4 AS e, coalesce(sum(a) FILTER (kind = 'physical_code_lines'), 0) AS p,
+  coalesce(sum(a) FILTER (kind = 'discounted_lines'), 0) AS x, coalesce(max(a) FILTER (kind = 'max_control_depth'), 0) AS depth FROM e GROUP BY 1),
+r AS (SELECT *, 2 * d + l + 3 * n AS control, 2 * s AS sql_, o + f AS other FROM c),
+t AS (SELECT *, round(e + greatest(0, greatest(0, p - x) - e) + least(30, control + sql_ + other) + least(10, p / 50), 2) AS score FROM r)
+SELECT id, e AS logical_units, greatest(0, p - x)::INT AS adjusted_code_lines, f::INT AS fetched_cursors, depth::INT AS max_control_depth, (control + sql_ + other)::INT AS structure, score,
+CASE WHEN NOT (p <= 50 AND e <= 50) AND score >= 100 THEN 'multi_pass' ELSE 'single_pass' END AS mode, (CASE WHEN p <= 50 AND e <= 50 THEN 8 ELSE 7 END)::INT AS reasons FROM t""")
+def agg8_workload(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as events of their orders: metrics by aggregation, then score, mode and evidence."""
+    kinds = F.array(*map(F.lit, _KINDS))
+    e = table(spark, sf, "lineitem").select(
+        F.lit("").alias("scope"), F.col("l_orderkey").cast("string").alias("id"), kinds[((F.col("l_partkey") + F.col("l_linenumber")) % len(_KINDS)).cast("int")].alias("kind"),
+        F.floor("l_quantity").cast("double").alias("amount"), F.col("l_suppkey").cast("string").alias("name"),
+    )
+    found = assess(metrics(e))
+    parts = F.filter("evidence", lambda x: x["reason"].isin("control_structure", "sql_structure", "cursor_and_exceptions"))
+    structure = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x["points"]).cast("int")
+    return found.select("id", "logical_units", "adjusted_code_lines", "fetched_cursors", "max_control_depth", structure.alias("structure"), "score", "mode", F.size("evidence").alias("reasons"))
+
+
+@query("""WITH k AS (SELECT DISTINCT path || CASE WHEN status = 'deleted' THEN '/old' ELSE '' END AS d FROM file_change
+  UNION SELECT DISTINCT upper(path) FROM file_change WHERE status = 'added'),
+p AS (SELECT d, array_to_string(string_split(d, '/')[1:n], '/') AS prefix, n = len(string_split(d, '/')) AS whole FROM k, unnest(range(1, len(string_split(d, '/')) + 1)) t(n)),
+g AS (SELECT lower(prefix) AS f, min(prefix) <> max(prefix) AS cased FROM p GROUP BY 1 HAVING min(prefix) <> max(prefix) OR (bool_or(whole) AND NOT bool_and(whole)))
+SELECT DISTINCT d AS document_key, CASE WHEN cased THEN 'differs in letter case' ELSE 'file and directory' END AS error FROM p JOIN g ON f = lower(prefix)""")
+def fun16_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths as keys: deleted files become folders, added ones appear again in capitals."""
+    f = table(spark, sf, "file_change").select("path", "status").distinct()
+    keys = f.select(F.concat("path", F.when(F.col("status") == "deleted", "/old").otherwise("")).alias("document_key")).union(f.where("status = 'added'").select(F.upper("path")))
+    return key_errors(keys)
+
+
+@query("""SELECT k.key, s.n AS length FROM (SELECT DISTINCT working_sha256 AS key FROM file_change WHERE working_sha256 IS NOT NULL) k
+LEFT JOIN (SELECT sha256 AS key, max(size_bytes) AS n FROM file_state WHERE sha256 IS NOT NULL GROUP BY 1) s USING (key)""")
+def src7_read_objects(spark: SparkSession, sf: str) -> DataFrame:
+    keys = table(spark, sf, "file_change").where("working_sha256 is not null").select(F.col("working_sha256").alias("key"))
+    stored = table(spark, sf, "file_state").where("sha256 is not null").groupBy(F.col("sha256").alias("key")).agg(F.max("size_bytes").alias("content"))
+    return read_objects(keys, stored).withColumnRenamed("content", "length")
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL AND octet_length(encode(text)) <> n_chars")
+def fun18_corrupt(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts whose bytes are not as many as their recorded characters."""
+    d = table(spark, sf, "documents").where("text is not null and n_chars is not null").select(F.col("doc_id").cast("string").alias("document_key"), "text", "n_chars")
+    stored = with_integrity(d).join(d.select("document_key", "n_chars"), "document_key").withColumn("bytes", F.col("n_chars"))
+    return corrupt(stored).select(F.col("document_key").cast("bigint").alias("doc_id"))

@@ -9,10 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A side is broadcast by hint only after its row count was checked against this bound.
-BROADCAST_ROWS = 100_000
-
-
 def local_session(app: str = "impactframe", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; clusters bring their own settings."""
     return (
@@ -57,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="impactframe-ckpt-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
@@ -78,5 +76,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:") or os.path.exists(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
