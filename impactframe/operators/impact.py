@@ -83,6 +83,12 @@ def impact_of(old: Facts, new: Facts, issues: DataFrame | None = None) -> Impact
     return Impact(changes, edges, evidence, unassigned(changes, evidence), issues, old, new)
 
 
+def scoped(facts: Facts) -> Facts:
+    """The same facts with their scope at the head of every id, so that several scopes can be compared at once."""
+    at = lambda df, *columns: df.withColumns({c: F.concat("scope", F.lit("|"), c) for c in columns}).withColumn("scope", F.lit(""))
+    return Facts(at(facts.functions, "id"), at(facts.calls, "source_fn", "target_id"), at(facts.entry_points, "function_id"), at(facts.diagnostics, "function_id"))
+
+
 def analyze_changes(working: DataFrame, changes: DataFrame, analyzers: dict = EXTENSIONS) -> Impact:
     """Impact of a scan: `changes` as for compare.overlay, `working` the full working sources."""
     before, after, issues = overlay(working, changes)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactframe.functions.text import file_diff
+from impactframe.functions.text import content_snapshot, file_diff
 from impactframe.operators import compare as cmp
-from impactframe.operators import fragments, graph, impact
-from impactframe.operators.facts import Facts, analyze
+from impactframe.operators import forms, fragments, graph, impact, publish
+from impactframe.operators.constants import attach_constants
+from impactframe.operators.facts import Facts, analyze, route
 from impactframe.operators.symbols import extract_symbols, symbol_changes
+from impactframe.operators.workload import plsql_workload
 from impactframe.session import cut, table
 
 QUERIES: dict = {}
@@ -31,6 +33,13 @@ def _facts(spark: SparkSession, sf: str) -> Facts:
     return analyze(s.select("source_id", "content", "language", F.coalesce("repo", F.lit("")).alias("scope"), F.col("ingested_at").alias("ord")))
 
 
+def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per file: the earliest delivery, as in `_facts`."""
+    s = table(spark, sf, "source_file").where("source_id is not null")
+    scope = F.coalesce("repo", F.lit("")).alias("scope")
+    return cut(s.groupBy(scope, "source_id").agg(F.min_by(F.struct("content", "language"), "ingested_at").alias("x")).select("scope", "source_id", "x.content", "x.language"))
+
+
 _LINES = r"""
 v AS (SELECT source_id, any_value(content) AS content FROM source_file WHERE CASE WHEN language IS NOT NULL THEN lower(language) = 'vba'
   ELSE regexp_matches(lower(source_id), '\.(bas|cls|frm)$') END GROUP BY 1),
@@ -170,17 +179,21 @@ def gra6_contexts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _impact(spark: SparkSession, sf: str) -> impact.Impact:
-    """Both captured sides of every change of code files; ids are made unique by the change."""
-    s = table(spark, sf, "content_snapshot").where("change_id is not null")
-    pick = lambda side, c: F.min(F.when(F.col("side") == side, F.col(c)))
-    both = s.groupBy("change_id").agg(
-        F.min("path").alias("path"), pick("baseline", "availability").alias("old_availability"), pick("working", "availability").alias("new_availability"),
-        pick("baseline", "text").alias("old_text"), pick("working", "text").alias("new_text"),
+    """First and last captured side of every changed file, all files of a root resolved together."""
+    s = table(spark, sf, "content_snapshot").where("change_id is not null and root_id is not null and path is not null")
+    a = F.coalesce("availability", F.lit("unreadable"))
+    side = lambda name, least: (F.min_by if least else F.max_by)(
+        F.when(F.col("side") == name, F.struct(a.alias("a"), "text")), F.when(F.col("side") == name, F.struct("change_id", "snapshot_id"))
+    )
+    both = s.groupBy("root_id", "path").agg(side("baseline", True).alias("o"), side("working", False).alias("n")).select(
+        F.concat(F.col("root_id").cast("string"), F.lit("/"), "path").alias("source_id"), F.coalesce("o.a", F.lit("absent")).alias("old_availability"),
+        F.coalesce("n.a", F.lit("absent")).alias("new_availability"), F.col("o.text").alias("old_text"), F.col("n.text").alias("new_text"),
     )
-    name = F.concat(F.regexp_replace("path", r"(\.[^./]+)$", ""), F.lit("_"), F.col("change_id"), F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    changes = both.withColumn("source_id", name).na.fill("unreadable", ["old_availability", "new_availability"])
-    working = changes.where("new_availability = 'text'").select("source_id", F.col("new_text").alias("content"), F.lit(None).cast("string").alias("language"))
-    return impact.analyze_changes(working, changes)
+    both = cut(both)
+    working = both.where("new_availability = 'text'").select("source_id", F.col("new_text").alias("content"), F.lit(None).cast("string").alias("language"))
+    before, after, issues = cmp.overlay(working, both)
+    root = lambda df: df.withColumn("scope", F.substring_index("source_id", "/", 1))
+    return impact.impact_of(impact.scoped(analyze(root(before))), impact.scoped(analyze(root(after))), issues)
 
 
 @query()
@@ -257,9 +270,90 @@ def frg1_reapply(spark: SparkSession, sf: str) -> DataFrame:
     return fragments.apply_operations(first, halves.where("seq > middle")).select("document_key", "text")
 
 
-@query("""SELECT lower(regexp_extract(document_key, '^([^/]*)', 1)) AS folder, doc_id, row_number() OVER (PARTITION BY lower(regexp_extract(document_key, '^([^/]*)', 1)) ORDER BY doc_id) AS ord
-FROM documents WHERE document_key IS NOT NULL""")
+@query("""WITH k AS (SELECT DISTINCT coalesce(new_fn.source_id, old_fn.source_id) AS s, function_id, old_fn.source_id AS o, new_fn.source_id AS n FROM function_change)
+SELECT 'docs/' || regexp_replace(s, '(?<=[^/.])\\.[^./]+$', '') || '.md' AS document_key, function_id,
+row_number() OVER (PARTITION BY 'docs/' || regexp_replace(s, '(?<=[^/.])\\.[^./]+$', '') || '.md' ORDER BY function_id) AS ord FROM k WHERE s IS NOT NULL""".replace("(?<=[^/.])", ""))
 def agg11_by_document(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("document_key is not null")
-    folder = F.lower(F.regexp_extract("document_key", "^([^/]*)", 1))
-    return d.select(folder.alias("folder"), "doc_id").withColumn("ord", F.row_number().over(Window.partitionBy("folder").orderBy("doc_id")))
+    f = table(spark, sf, "function_change")
+    changes = f.select("function_id", F.col("old_fn.source_id").alias("old_source_id"), F.col("new_fn.source_id").alias("new_source_id")).distinct()
+    changes = changes.where(F.coalesce("new_source_id", "old_source_id").isNotNull())
+    return publish.changes_by_document(changes).select("document_key", "function_id", "ord")
+
+
+@query()
+def pip9_constants(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions of every repository with the constants they use."""
+    s = _snapshot(spark, sf)
+    vba = route(s).where("analyzer = 'vba'")
+    f = analyze(s).functions.where("language = 'vba'")
+    enriched, _ = attach_constants(vba.select("scope", "source_id", "content"), f)
+    return enriched.select("scope", "id", F.transform("constants", lambda c: F.concat_ws(".", c["module"], c["name"])).alias("constants")).where("size(constants) > 0").withColumn("constants", F.array_join("constants", ", "))
+
+
+@query()
+def pip9_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    s = _snapshot(spark, sf)
+    f = analyze(s).functions.where("language = 'vba'")
+    return attach_constants(route(s).where("analyzer = 'vba'").select("scope", "source_id", "content"), f)[1]
+
+
+@query()
+def pip10_workload(spark: SparkSession, sf: str) -> DataFrame:
+    """Score and mode of every PL/SQL function of every repository."""
+    f = _facts(spark, sf).functions.where("language = 'plsql'")
+    return plsql_workload(f).select("scope", "id", "logical_units", "physical_code_lines", "decisions", "sql_statements", "score", "mode", "error")
+
+
+@query()
+def srt1_calls_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    return _facts(spark, sf).ordered().calls.select("scope", "source_fn", "line", "name", "ord")
+
+
+@query()
+def pip4_entry_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    return impact.entry_contexts(_impact(spark, sf))["diagnostics"].select("root", "code", "severity", "function_id", "line")
+
+
+@query()
+def pip11_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that come of the function changes: a fragment for each function, on documents that are empty before."""
+    changes = _impact(spark, sf).function_changes
+    named = changes.withColumn("new_name", F.substring_index("function_id", ":", -1))
+    ops = publish.function_fragments(publish.changes_by_document(named))
+    return publish.publish(spark.createDataFrame([], "document_key string, text string"), ops)
+
+
+@query(f"""WITH r AS (SELECT n_nationkey, n_name, s_suppkey, '| TextBox `t' || s_suppkey || '` | - | ControlSource=' || replace(s_name, '|', '\\|') ||
+  CASE WHEN s_acctbal < 0 THEN '; Locked=non-default' ELSE '' END || ' |' AS row_ FROM nation JOIN supplier ON s_nationkey = n_nationkey)
+SELECT n_name AS form, '# ' || n_name || chr(10) || chr(10) || '## Form Metadata' || chr(10) || chr(10) || '- **Caption:** ' || n_name || chr(10) || chr(10) || '## Section `Detail`' || chr(10) || chr(10) ||
+'| Control | Caption | Binding / Events / Rules |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(row_, chr(10) ORDER BY s_suppkey) || chr(10) AS markdown FROM r GROUP BY n_name""")
+def fun12_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Form exports written from nations and their suppliers, rendered."""
+    rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    control = F.concat(
+        F.lit("    Begin TextBox\n      Name =\"t"), F.col("s_suppkey").cast("string"), F.lit("\"\n      ControlSource =\""), "s_name", F.lit("\"\n"),
+        F.when(F.col("s_acctbal") < 0, "      Locked =NotDefault\n").otherwise(""), F.lit("    End\n"),
+    )
+    texts = rows.groupBy("n_name").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", control.alias("t")))).alias("cs")).select(
+        F.col("n_name").alias("form"),
+        F.concat(F.lit('Begin Form\n  Caption ="'), "n_name", F.lit('"\n  Begin Section\n    Name ="Detail"\n'), F.array_join(F.transform("cs", lambda c: c["t"]), ""), F.lit("  End\nEnd\nCodeBehindForm\nSub x()\nEnd Sub\n")).alias("text"),
+    )
+    return forms.render_forms(cut(texts)).select("form", "markdown")
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN 'unreadable' ELSE 'text' END AS availability, text FROM documents")
+def fun2_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written as marked UTF-16 or as UTF-8, by their language, and decoded again."""
+    d = table(spark, sf, "documents")
+    data = F.when(F.col("lang") == "en", F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
+    return d.select("doc_id", content_snapshot(data).alias("c")).select("doc_id", "c.availability", "c.text")
+
+
+@query(r"""SELECT DISTINCT source_id, CASE WHEN ends_with(source_id, '.frm') THEN 'b' || chr(10) ELSE ltrim(content, chr(65279)) END AS text FROM source_file WHERE content IS NOT NULL AND content <> ''""")
+def txt25_analysis_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Files as form exports (the name decides): only what follows the marker line of a form is analysed."""
+    s = table(spark, sf, "source_file").where("content is not null and content <> ''").select("source_id", "content").distinct()
+    is_form = F.col("source_id").endswith(".frm")
+    path = F.when(is_form, F.lit("Form_x.txt")).otherwise("x.bas")
+    text = F.when(is_form, F.concat(F.lit("a\r\n  CodeBehindForm \r\nb\n"))).otherwise(F.col("content"))
+    return s.select("source_id", publish.analysis_text(path, text).alias("text"))
