@@ -1,7 +1,8 @@
 """Tracked directories: scan against a baseline, commit and undo.
 
-States and captured contents are Parquet; a revision is an immutable folder; the pointer file that names the current
-revision is replaced atomically, so a failed commit leaves the baseline as it was.
+States are Parquet, one immutable folder a revision; contents are objects, stored once by their hash and appended where they
+are new. Each revision's record names the one before, and a pointer file that is replaced in one step names the current one,
+so a failed commit leaves the baseline as it was. The store may lie on any file system that Spark knows.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactframe.functions.text import content_snapshot, file_diff, matches_patterns, under
 from impactframe.operators.compare import by_status, compare, has_text_diff, working_revision
 from impactframe.sources.directory import read_directory
+from impactframe.sources.storage import Storage
 from impactframe.session import cut, exists
 
-STATE = "path string, file_exists boolean, size_bytes bigint, mtime double, sha256 string, content binary"
+STATE = "path string, file_exists boolean, size_bytes bigint, mtime double, sha256 string"
+OBJECT = "key string, content binary"
 
 
 class BaselineError(RuntimeError):
@@ -53,26 +57,30 @@ class Tracker:
 
     def __init__(self, spark: SparkSession, root: str, baseline: str | None = None, includes: list[str] | None = None, excludes: list[str] | None = None):
         self.spark, self.root = spark, os.path.abspath(root)
-        self.store = os.path.abspath(baseline or os.path.join(self.root, ".impactframe", "baseline"))
+        given = baseline or os.path.join(self.root, ".impactframe", "baseline")
+        self.storage = Storage(spark, given if "://" in given else os.path.abspath(given))
+        self.store = self.storage.root
         self.includes, self.excludes = includes or [], excludes or []
-        self.pointer = os.path.join(self.store, "current.json")
 
     # baseline
 
-    def manifest(self) -> dict:
-        """The current revision's record; without one the baseline is `initial` and empty. A broken one is an error."""
-        if not os.path.exists(self.pointer):
-            return {"revision": "initial", "parent": None}
+    def _record(self, revision: str) -> dict:
         try:
-            with open(self.pointer, encoding="utf-8") as f:
-                found = json.load(f)
+            found = json.loads(self.storage.read("revisions", f"{revision}.json"))
             found["revision"], found["parent"]  # noqa: B018
             return found
-        except (ValueError, KeyError, TypeError) as error:
-            raise BaselineError(f"unreadable baseline pointer {self.pointer}") from error
+        except (ValueError, KeyError, TypeError, Py4JError) as error:
+            raise BaselineError(f"unreadable record of revision {revision} in {self.store}") from error
+
+    def manifest(self) -> dict:
+        """The current revision's record; without one the baseline is `initial` and empty. A broken one is an error."""
+        if not self.storage.exists("current"):
+            return {"revision": "initial", "parent": None}
+        revision = self.storage.read("current").strip()
+        return {"revision": "initial", "parent": None} if revision == "initial" else self._record(revision)
 
     def _folder(self, revision: str) -> str:
-        return os.path.join(self.store, "revisions", revision)
+        return self.storage.at("revisions", revision)
 
     def baseline_states(self) -> DataFrame:
         revision = self.manifest()["revision"]
@@ -80,18 +88,34 @@ class Tracker:
             return self.spark.createDataFrame([], STATE)
         return self.spark.read.schema(STATE).parquet(self._folder(revision))
 
+    def objects(self) -> DataFrame:
+        """(key, content) of every stored content by its hash."""
+        return self.spark.read.schema(OBJECT).parquet(self.storage.at("objects")) if self.storage.exists("objects") else self.spark.createDataFrame([], OBJECT)
+
+    def baseline_contents(self, paths: DataFrame) -> DataFrame:
+        """(path, availability, text) of the wanted paths (path) in the baseline: absent, unreadable, or by its bytes."""
+        states = paths.select("path").join(self.baseline_states().where("file_exists"), "path", "left").withColumn("key", F.col("sha256"))
+        stored = read_objects(states.where("key is not null"), self.objects())
+        found = states.join(stored, "key", "left").withColumn("c", content_snapshot(F.col("content")))
+        absent = F.col("file_exists").isNull()
+        return found.select("path", F.when(absent, "absent").otherwise(F.col("c.availability")).alias("availability"), F.when(~absent, F.col("c.text")).alias("text"))
+
     def working_states(self) -> DataFrame:
-        return self._in_scope(read_directory(self.spark, self.root, prune=[self.store]))
+        """Files of the directory; patterns are handed to the source, so that files out of scope are not read."""
+        return self._in_scope(read_directory(self.spark, self.root, [self.store], self.includes, self.excludes))
 
     def _in_scope(self, states: DataFrame) -> DataFrame:
-        relative = os.path.relpath(self.store, self.root)
+        relative = ".." if "://" in self.store else os.path.relpath(self.store, self.root)
         rows = states.where(matches_patterns(F.col("path"), self.includes, self.excludes))
         return rows if relative.startswith("..") else rows.where(~under(F.col("path"), relative.replace(os.sep, "/")))
 
     def scan(self) -> Scan:
         """Added, modified and deleted files; contents are captured now, so later edits do not leak in."""
         old, new = self._in_scope(self.baseline_states()), cut(self.working_states())
-        found = compare(old.where("file_exists"), new.where("file_exists"), ["path"], "sha256", ["size_bytes", "mtime", "content"])
+        here = lambda df: df.where("file_exists").withColumn("content", F.col("content") if "content" in df.columns else F.lit(None).cast("binary"))
+        found = compare(here(old), here(new), ["path"], "sha256", ["size_bytes", "mtime", "content"]).drop("old_content")
+        stored = self.objects().dropDuplicates(["key"]).select(F.col("key").alias("old_sha256"), F.col("content").alias("old_content"))
+        found = found.join(stored, "old_sha256", "left")
         side = lambda p, gone: F.when(F.col("status") == gone, F.struct(F.lit("absent").alias("availability"), F.lit(None).cast("string").alias("text"))).otherwise(content_snapshot(F.col(f"{p}_content")))
         changes = found.withColumn("o", side("old", "added")).withColumn("n", side("new", "deleted")).select(
             "path", "status", "old_sha256", "new_sha256", "old_size_bytes", "new_size_bytes",
@@ -113,8 +137,12 @@ class Tracker:
         if expected_revision is not None and expected_revision != self._revision(states):
             raise RevisionConflict("the working tree has changed since the scan")
         revision = uuid.uuid4().hex
-        states.where("file_exists").select(*[c.split()[0] for c in STATE.split(", ")]).write.parquet(self._folder(revision))
-        self._point({"revision": revision, "parent": now, "message": message, "committed_at": datetime.now(timezone.utc).isoformat()})
+        here = states.where("file_exists")
+        store_objects(here.where("sha256 is not null").select(F.col("sha256").alias("key"), "content"), self.storage.at("objects"), self.spark)
+        here.select(*[c.split()[0] for c in STATE.split(", ")]).write.parquet(self._folder(revision))
+        record = {"revision": revision, "parent": now["revision"], "message": message, "committed_at": datetime.now(timezone.utc).isoformat()}
+        self.storage.write(json.dumps(record), "revisions", f"{revision}.json")
+        self.storage.write(revision, "current")
         return revision
 
     def undo(self) -> bool:
@@ -122,18 +150,9 @@ class Tracker:
         parent = self.manifest()["parent"]
         if parent is None:
             return False
-        self._point(parent)
+        self.storage.write(parent, "current")
         return True
 
-    def _point(self, record: dict) -> None:
-        os.makedirs(self.store, exist_ok=True)
-        part = f"{self.pointer}.{uuid.uuid4().hex}"
-        with open(part, "w", encoding="utf-8") as f:
-            json.dump(record, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(part, self.pointer)
-
 
 def new_objects(objects: DataFrame, stored: DataFrame) -> DataFrame:
     """One row per key of objects (key, ...) that is not stored yet."""

@@ -1,7 +1,7 @@
 """Checkpointed document work: tasks are saved in order, assembled into documents and published.
 
 State is an append-only log of folders in a store: each task, each finished document and the freeze mark is one Parquet
-folder or file that appears atomically by rename, so an interrupted step leaves nothing half done and a rerun skips what
+folder or file that appears by rename, so an interrupted step leaves nothing half done and a rerun skips what
 is recorded.
 """
 
@@ -10,18 +10,30 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import shutil
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from impactframe.operators.fragments import NAMESPACE, apply_operations
+from impactframe.sources.storage import Storage
 
 OPS = "document_key string, task_id string, task_no bigint, seq bigint, fragment_id string, kind string, markdown string"
 DONE = "document_key string, text string, bytes bigint, sha256 string"
 
 
+#: Names of committed folders: a number and a hash.
+_COMMITTED = re.compile(r"\d{12}-[0-9a-f]{32}")
+
+
+def _overlap(a: str, b: str) -> bool:
+    """Whether one path is or holds the other; paths of different file systems never do."""
+    a, b = ((p if "://" in p else os.path.abspath(p)).rstrip("/") + "/" for p in (a, b))
+    return a.startswith(b) or b.startswith(a)
+
+
 class WorkbenchError(RuntimeError):
     """The store refuses a step: duplicate, frozen, closed or corrupt."""
 
@@ -56,39 +68,45 @@ def corrupt(stored: DataFrame) -> DataFrame:
 
 
 class Workbench:
-    """A store below `root`; reopen it to go on after a crash."""
+    """A store below `root`, a path or URI that all executors reach; reopen it to go on after a crash or a failed step."""
 
     def __init__(self, spark: SparkSession, root: str, protected: list[str] | None = None, namespace: str = NAMESPACE):
-        self.spark, self.root, self.namespace = spark, os.path.abspath(root), namespace
-        for other in map(os.path.abspath, protected or []):
-            if os.path.commonpath([other, self.root]) in (other, self.root):
+        self.spark, self.namespace = spark, namespace
+        self.root = root if "://" in root else os.path.abspath(root)
+        for other in protected or []:
+            if _overlap(other, self.root):
                 raise WorkbenchError(f"{self.root} overlaps {other}")
+        self.storage = Storage(spark, self.root)
         for folder in ("tasks", "done"):
-            os.makedirs(os.path.join(self.root, folder), exist_ok=True)
+            self.storage.folder(folder)
         self.open = True
-        unknown = [n for n in os.listdir(self.root) if n not in ("tasks", "done", "frozen") and not n.startswith(".tmp")]
+        unknown = [n for n in self.storage.names() if n not in ("tasks", "done", "frozen") and not n.startswith(".tmp")]
         if unknown:
-            raise WorkbenchError(f"unknown files in the store: {sorted(unknown)}")
+            raise WorkbenchError(f"unknown files in the store: {unknown}")
         self.verify()
 
-    def _path(self, *parts: str) -> str:
-        return os.path.join(self.root, *parts)
-
     def _need_open(self) -> None:
         if not self.open:
-            raise WorkbenchError("the workbench is closed")
+            raise WorkbenchError("the workbench is closed, or a step failed: open it again")
 
     @property
     def frozen(self) -> bool:
-        return os.path.exists(self._path("frozen"))
+        return self.storage.exists("frozen")
+
+    def _names(self, folder: str) -> list[str]:
+        return [n for n in self.storage.names(folder) if _COMMITTED.fullmatch(n)]
 
     def _task_names(self) -> list[str]:
-        return sorted(os.listdir(self._path("tasks")))
+        return self._names("tasks")
 
     def _put(self, df: DataFrame, folder: str, name: str) -> None:
-        part = self._path(f".tmp-{uuid.uuid4().hex}")
-        df.write.parquet(part)
-        os.rename(part, self._path(folder, name))  # atomic; fails where the name is taken
+        part = f".tmp-{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(self.storage.at(part))
+            self.storage.rename(part, folder, name)  # atomic; fails where the name is taken
+        except Exception:
+            self.open = False  # what the store holds is known again once it is reopened
+            raise
 
     # tasks
 
@@ -114,7 +132,10 @@ class Workbench:
         names = self._task_names()
         if not names:
             return self.spark.createDataFrame([], OPS)
-        return self.spark.read.schema(OPS).parquet(*[self._path("tasks", n) for n in names])
+        return self.spark.read.schema(OPS).parquet(*[self.storage.at("tasks", n) for n in names])
+
+    def contains(self, document_key: str) -> bool:
+        return not self.results().where(F.col("document_key") == document_key).isEmpty()
 
     def contains_task(self, document_key: str, task_id: str) -> bool:
         return not self.tasks().where((F.col("document_key") == document_key) & (F.col("task_id") == task_id)).isEmpty()
@@ -123,10 +144,10 @@ class Workbench:
 
     def results(self) -> DataFrame:
         """(document_key, text, bytes, sha256) of the finished documents."""
-        names = sorted(os.listdir(self._path("done")))
+        names = self._names("done")
         if not names:
             return self.spark.createDataFrame([], DONE)
-        return self.spark.read.schema(DONE).parquet(*[self._path("done", n) for n in names])
+        return self.spark.read.schema(DONE).parquet(*[self.storage.at("done", n) for n in names])
 
     def save(self, documents: DataFrame) -> int:
         """Record (document_key, text) that are not finished yet and freeze the tasks; a finished one is never replaced."""
@@ -136,9 +157,9 @@ class Workbench:
         first = errors.first()
         if first:
             raise WorkbenchError(f"{first.document_key!r}: {first.error}")
-        with open(self._path("frozen"), "a", encoding="utf-8"):
-            pass
-        self._put(with_integrity(fresh), "done", f"{len(os.listdir(self._path('done'))):012d}-{uuid.uuid4().hex}")
+        if not self.frozen:
+            self.storage.write("", "frozen")
+        self._put(with_integrity(fresh), "done", f"{len(self._names('done')):012d}-{uuid.uuid4().hex}")
         return fresh.count()
 
     def verify(self) -> None:
@@ -158,14 +179,22 @@ class Workbench:
         return self.save(apply_operations(texts, ops, self.namespace).select("document_key", "text"))
 
     def publish(self, directory: str) -> list[str]:
-        """Assemble what is missing, verify, write each document by temporary file and rename, then remove the store."""
+        """Assemble what is missing, verify, write each document by temporary file and rename, then remove the store.
+
+        The directory is a path that all executors share. Originals are read and documents written where their rows are;
+        the driver sees names alone.
+        """
         self._need_open()
         target = os.path.abspath(directory)
-        if os.path.commonpath([target, self.root]) in (target, self.root):
+        if _overlap(target, self.root):
             raise WorkbenchError(f"{target} overlaps the store")
-        keys = [r.document_key for r in self.tasks().select("document_key").distinct().toLocalIterator()]
-        found = [(k, _read(os.path.join(target, k))) for k in keys]
-        self.assemble(self.spark.createDataFrame(found, "document_key string, text string"))
+
+        def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield frame.assign(text=[_read(os.path.join(target, k)) for k in frame.document_key])
+
+        keys = self.tasks().select("document_key").distinct()
+        self.assemble(keys.mapInPandas(read, "document_key string, text string"))
         self.verify()
 
         def write(rows) -> None:
@@ -180,9 +209,23 @@ class Workbench:
         self.results().foreachPartition(write)
         published = sorted(r.document_key for r in self.results().select("document_key").toLocalIterator())
         self.close()
-        shutil.rmtree(self.root)
+        self._remove()
         return published
 
+    def _remove(self) -> None:
+        """Delete what was committed and unfinished steps, nothing else; WorkbenchError where something else is left."""
+        for folder in ("tasks", "done"):
+            for name in self._names(folder):
+                self.storage.delete(folder, name)
+        for name in self.storage.names():
+            if name == "frozen" or name.startswith(".tmp-"):
+                self.storage.delete(name)
+        try:
+            for folder in (("tasks",), ("done",), ()):
+                self.storage.delete_empty(*folder)
+        except OSError as error:
+            raise WorkbenchError(str(error)) from error
+
     def close(self) -> None:
         self.open = False
 

@@ -9,7 +9,7 @@ from impactframe.functions.text import content_snapshot, file_diff
 from impactframe.operators import compare as cmp
 from impactframe.operators import forms, fragments, graph, impact, publish
 from impactframe.operators.constants import attach_constants
-from impactframe.operators.facts import Facts, analyze, route
+from impactframe.operators.facts import EXTENSIONS, Facts, analyze, route
 from impactframe.operators.symbols import extract_symbols, symbol_changes
 from impactframe.operators.workload import plsql_workload
 from impactframe.session import cut, table
@@ -28,9 +28,11 @@ def query(sql: str | None = None):
     return add
 
 
-def _facts(spark: SparkSession, sf: str) -> Facts:
+def _facts(spark: SparkSession, sf: str, *languages: str) -> Facts:
+    """Facts of every repository, of all languages or the named ones."""
     s = table(spark, sf, "source_file")
-    return analyze(s.select("source_id", "content", "language", F.coalesce("repo", F.lit("")).alias("scope"), F.col("ingested_at").alias("ord")))
+    analyzers = {n: e for n, e in EXTENSIONS.items() if not languages or n in languages}
+    return analyze(s.select("source_id", "content", "language", F.coalesce("repo", F.lit("")).alias("scope"), F.col("ingested_at").alias("ord")), analyzers)
 
 
 def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,12 +55,12 @@ opens AS (SELECT *, lead(no) OVER (PARTITION BY source_id ORDER BY no) AS next_n
 
 @query(rf"""WITH {_LINES} SELECT source_id, name, no::INT AS start_line, next_no::INT AS end_line FROM opens WHERE NOT ends AND next_no IS NOT NULL""")
 def txt1_vba_procedures(spark: SparkSession, sf: str) -> DataFrame:
-    return _facts(spark, sf).functions.where("language = 'vba'").select("source_id", "name", "start_line", "end_line")
+    return _facts(spark, sf, "vba").functions.select("source_id", "name", "start_line", "end_line")
 
 
 @query()
 def txt4_plsql_members(spark: SparkSession, sf: str) -> DataFrame:
-    f = _facts(spark, sf).functions.where("language = 'plsql'")
+    f = _facts(spark, sf, "plsql").functions
     return f.select("scope", "id", "source_id", "start_line", "end_line", "visibility", "member_kind")
 
 
@@ -71,7 +73,7 @@ def txt2_calls(spark: SparkSession, sf: str) -> DataFrame:
   FROM opens o JOIN source_file s USING (source_id) WHERE NOT ends AND next_no IS NOT NULL)
 SELECT scope, id AS function_id, 'form_event' AS kind FROM f WHERE ends_with(lower(name), '_click')""")
 def txt3_form_events(spark: SparkSession, sf: str) -> DataFrame:
-    e = _facts(spark, sf).entry_points.where("kind = 'form_event'")
+    e = _facts(spark, sf, "vba").entry_points.where("kind = 'form_event'")
     return e.select("scope", "function_id", "kind")
 
 
@@ -300,7 +302,7 @@ def pip9_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pip10_workload(spark: SparkSession, sf: str) -> DataFrame:
     """Score and mode of every PL/SQL function of every repository."""
-    f = _facts(spark, sf).functions.where("language = 'plsql'")
+    f = _facts(spark, sf, "plsql").functions
     return plsql_workload(f).select("scope", "id", "logical_units", "physical_code_lines", "decisions", "sql_statements", "score", "mode", "error")
 
 

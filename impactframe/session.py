@@ -73,9 +73,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_staged: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has staged, once no result that reads it is needed any more."""
+    while _staged:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in any file system that Spark knows."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

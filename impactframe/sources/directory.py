@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import os
 from collections.abc import Iterator
@@ -23,16 +24,22 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = os.path.abspath(options["path"])
         self.pruned = {os.path.abspath(p) for p in options.get("prune", "").split("\n") if p}
+        self.includes = [p for p in options.get("includes", "").split("\n") if p]
+        self.excludes = [p for p in options.get("excludes", "").split("\n") if p]
         self.size = int(options.get("filesPerPartition", "512"))
 
     def partitions(self) -> list[_Files]:
         found: list[str] = []
         for folder, names, files in os.walk(self.root):
             names[:] = sorted(n for n in names if os.path.join(folder, n) not in self.pruned)
-            found += [os.path.relpath(os.path.join(folder, f), self.root) for f in files]
+            found += [p for p in (os.path.relpath(os.path.join(folder, f), self.root) for f in files) if self._wanted(p.replace(os.sep, "/"))]
         found.sort()
         return [_Files(self.root, found[i : i + self.size]) for i in range(0, len(found), self.size)] or [_Files(self.root, [])]
 
+    def _wanted(self, path: str) -> bool:
+        hit = lambda p: fnmatch.fnmatchcase(path, p) or (p.startswith("**/") and fnmatch.fnmatchcase(path, p[3:]))
+        return (not self.includes or any(map(hit, self.includes))) and not any(map(hit, self.excludes))
+
     def read(self, partition: _Files) -> Iterator[tuple]:
         for path in partition.paths:
             name = path.replace(os.sep, "/")
@@ -43,15 +50,19 @@ class _Reader(DataSourceReader):
                 yield name, False, None, None, None, None
                 continue
             try:
+                digest, data = hashlib.sha256(), bytearray()
                 with open(full, "rb") as f:
-                    data = f.read()
-                yield name, True, stat.st_size, stat.st_mtime, hashlib.sha256(data).hexdigest(), data
+                    while block := f.read(1 << 16):
+                        digest.update(block)
+                        data += block
+                yield name, True, stat.st_size, stat.st_mtime, digest.hexdigest(), bytes(data)
             except OSError:
                 yield name, True, stat.st_size, stat.st_mtime, None, None
 
 
 class DirectorySource(DataSource):
-    """Format `impact_directory`; options path, prune (one directory a line), filesPerPartition."""
+    """Format `impact_directory`; options path, prune (one directory a line), includes and excludes (one shell pattern a
+    line, whose `*` crosses `/`), filesPerPartition."""
 
     @classmethod
     def name(cls) -> str:
@@ -64,8 +75,8 @@ class DirectorySource(DataSource):
         return _Reader(self.options)
 
 
-def read_directory(spark: SparkSession, root: str, prune: list[str] | None = None) -> DataFrame:
-    """(path, file_exists, size_bytes, mtime, sha256, content) of every file below root.
+def read_directory(spark: SparkSession, root: str, prune: list[str] | None = None, includes: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
+    """(path, file_exists, size_bytes, mtime, sha256, content) of every file below root that the patterns let through.
 
     Where a file vanishes the row stays with file_exists false and nulls; an unreadable one has null hash and content.
     """
@@ -73,4 +84,4 @@ def read_directory(spark: SparkSession, root: str, prune: list[str] | None = Non
 
     ship(spark)
     spark.dataSource.register(DirectorySource)
-    return spark.read.format("impact_directory").option("prune", "\n".join(prune or [])).load(os.path.abspath(root))
+    return spark.read.format("impact_directory").option("prune", "\n".join(prune or [])).option("includes", "\n".join(includes or [])).option("excludes", "\n".join(excludes or [])).load(os.path.abspath(root))

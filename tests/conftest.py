@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from impactframe.session import local_session, ship  # noqa: E402
+from impactframe.session import local_session, release, ship  # noqa: E402
 
 TESTDATA = os.environ.get("TESTDATA", "/root/testdata")
 
@@ -18,6 +18,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     ship(session)
     yield session
+    release(session)
 
 
 @pytest.fixture(scope="session")

@@ -3,11 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from impactframe.functions.text import classify, decode_export, decode_lenient, is_binary, unified
 from impactframe.operators.forms import form_elements, render_forms, resolve_by_form
 from impactframe.operators.fragments import apply_operations, document_errors, fold_operations, fragment_text, parse_documents
-from impactframe.operators.tracker import RevisionConflict, Tracker, store_objects
+from impactframe.operators.tracker import BaselineError, RevisionConflict, Tracker, store_objects
 from impactframe.operators.workbench import Workbench, WorkbenchError, key_errors
 
 OPS = "document_key string, seq bigint, fragment_id string, kind string, markdown string"
@@ -217,6 +218,41 @@ def test_tracker(spark, tmp_path):
     assert t.manifest()["revision"] == "initial"
 
 
+def test_tracker_stores_each_content_once(spark, tmp_path):
+    (tmp_path / "a.py").write_text("v1\n")
+    (tmp_path / "b.py").write_text("v1\n")
+    store = f"file://{tmp_path}/elsewhere/../store"
+    t = Tracker(spark, str(tmp_path), baseline=str(tmp_path / "store"), includes=["*.py"])
+    t.commit("one")
+    (tmp_path / "a.py").write_text("v2\n")
+    (tmp_path / "c.txt").write_text("out of scope")
+    t.commit("two")
+    assert t.objects().count() == 2 and t.manifest()["parent"] is not None
+    got = {r.path: (r.availability, r.text) for r in t.baseline_contents(spark.createDataFrame([("a.py",), ("gone.py",)], "path string")).collect()}
+    assert got == {"a.py": ("text", "v2\n"), "gone.py": ("absent", None)}
+    assert t.undo() and t.scan().changes.select("path", "status", "old_text", "new_text").collect()[0][:] == ("a.py", "modified", "v1\n", "v2\n")
+    t.storage.write("no such revision", "current")
+    with pytest.raises(BaselineError):
+        t.scan()
+    assert Tracker(spark, str(tmp_path), baseline=store.replace("/elsewhere/..", "")).storage.exists("current")
+
+
+def test_workbench_removes_only_what_it_wrote(spark, tmp_path):
+    store = tmp_path / "store"
+    result = spark.createDataFrame([(1, "f", "upsert", "one")], "seq bigint, fragment_id string, kind string, markdown string")
+    w = Workbench(spark, str(store))
+    w.save_task("x.md", "t", result)
+    assert not w.contains("x.md")
+    (store / "tasks" / "notes.txt").write_text("mine")
+    with pytest.raises(WorkbenchError, match="notes.txt"):
+        w.publish(str(tmp_path / "out"))
+    assert (tmp_path / "out" / "x.md").exists() and (store / "tasks" / "notes.txt").read_text() == "mine"
+    with pytest.raises(WorkbenchError):
+        w.save_task("y.md", "t", result)  # closed
+    with pytest.raises(Exception):
+        Workbench(spark, str(tmp_path / "other")).save(spark.createDataFrame([("k", "t")], "document_key string, text string").withColumn("text", F.raise_error(F.lit("broken"))))
+
+
 def test_object_store_is_write_once(spark, tmp_path):
     df = spark.createDataFrame([("k", b"1"), ("k", b"1"), ("l", b"2")], "key string, content binary")
     path = str(tmp_path / "objects")
