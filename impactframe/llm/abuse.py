@@ -33,6 +33,8 @@ ROUNDS = 5
 CROWDED, BATCH = 250, 1_000_000
 #: Documents scored together.
 TOGETHER = 3_000
+#: Cells of an index table that is kept as it is; a larger one is hashed.
+DENSE = 4_000_000
 #: Distance above the machine's boundary from which a passage counts as abusive; subtracted from every score.
 MARGIN = 0.35
 
@@ -137,7 +139,13 @@ class Postings:
         self._hash()
 
     def _hash(self) -> None:
-        self.bits = max(10, (4 * len(self.keys)).bit_length())  # small enough to stay in the processor's cache
+        self.wide = int(self.right.max(initial=-1)) + 1
+        self.dense = None
+        if (int(self.left.max(initial=-1)) + 1) * self.wide <= DENSE:  # a plain table where it is small
+            self.dense = np.full((int(self.left.max(initial=-1)) + 2, self.wide + 1), -1, np.int32)
+            self.dense[self.left, self.right] = np.arange(len(self.keys))
+            return
+        self.bits = max(10, (8 * len(self.keys)).bit_length())  # small enough to stay in the processor's cache
         slot = self._slot(self.left, self.right)
         self.place = np.full(1 << self.bits, -1, np.int32)
         self.place[slot] = np.arange(len(self.keys))
@@ -145,7 +153,7 @@ class Postings:
         self.shared[slot[self.place[slot] != np.arange(len(slot))]] = True
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"place": None, "shared": None}
+        return self.__dict__ | {"place": None, "shared": None, "dense": None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -161,6 +169,11 @@ class Postings:
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the pairs are there, their places in the index): by a hash table, by search where pairs share a slot."""
+        if self.dense is not None:
+            rows, columns = self.dense.shape
+            at = self.dense.ravel()[np.minimum(left, rows - 1) * columns + np.minimum(right, columns - 1)]
+            hit = np.flatnonzero(at >= 0)
+            return hit, at[hit]
         slot = self._slot(left, right)
         at = self.place[slot]
         hit = np.flatnonzero(at >= 0)
@@ -213,12 +226,13 @@ class WordKernel:
         self.forget()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "found": [], "counts": []}
+        return self.__dict__ | {"known": {}, "found": [], "counts": [], "joined": None}
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
         self.counts: list[int] = []  # of matches
+        self.joined: tuple | None = None
 
     def number(self, word: str) -> int:
         """Place of the word's matches in `found`."""
@@ -229,6 +243,14 @@ class WordKernel:
             self.counts.append(len(self.found[-1][0]))
         return no
 
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, vocabulary indexes, similarities) of the matches of every known word, one after the other."""
+        if self.joined is None or len(self.joined[0]) != len(self.found) + 1:
+            words = np.concatenate([np.zeros(0, np.int32), *(at for at, _ in self.found)])
+            sims = np.concatenate([np.zeros(0, np.float32), *(s for _, s in self.found)])
+            self.joined = (np.concatenate(([0], np.cumsum(self.counts, dtype=np.int64))), words, sims)
+        return self.joined
+
     def matches(self, word: str) -> tuple[np.ndarray, np.ndarray]:
         """(vocabulary indexes, similarity in (0, 1]) of the words that match; none is filtered out beforehand."""
         return self.found[self.number(word)]
@@ -343,12 +365,9 @@ class PassageKernel:
         """
         owners, at = _spread(np.cumsum(lengths) - lengths, np.cumsum(lengths))
         places = at - (np.cumsum(lengths) - lengths).astype(np.int32)[owners]
-        used, which = np.unique(ids, return_inverse=True)
-        found = [self.words.found[i] for i in used]
-        ends = np.cumsum([0, *(len(at) for at, _ in found)])
-        item, entry = _spread(ends[which], ends[which + 1])
-        word = np.concatenate([np.zeros(0, np.int32), *(at for at, _ in found)])[entry]
-        sim = np.concatenate([np.zeros(0, np.float32), *(s for _, s in found)])[entry]
+        ends, all_words, all_sims = self.words.flat()
+        item, entry = _spread(ends[ids], ends[ids + 1])
+        word, sim = all_words[entry], all_sims[entry]
         owner, place = owners[item], places[item]
         hit, one = self.ones.find(word, np.zeros_like(word))
         out = [(one, owner[hit], sim[hit])]
