@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from impactframe.operators.ordering import running
 from impactframe.session import cut
 
 
@@ -64,7 +65,7 @@ def upstream(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFrame:
     """(root, node, ord): what each root reaches, itself left out, numbered in breadth-first order."""
     found = closure(edges, roots, reverse=reverse).where("depth > 0")
-    return found.select("root", "node", F.row_number().over(Window.partitionBy("root").orderBy("depth", "path")).alias("ord"))
+    return running(found.select("root", "node", "depth", "path"), ["root"], F.struct("depth", "path")).select("root", "node", "ord")
 
 
 def within_budget(nodes: DataFrame, keys: list[str], order: str, size: str | None, max_rows: int | None, max_size: int | None) -> DataFrame:
@@ -72,13 +73,12 @@ def within_budget(nodes: DataFrame, keys: list[str], order: str, size: str | Non
 
     Adds `kept` and, per row, the first limit that dropped it (`reason`). Sizes must not be negative.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    row = F.row_number().over(w)
-    running = F.sum(F.col(size)).over(w.rowsBetween(Window.unboundedPreceding, 0)) if size else F.lit(0)
-    over_rows = row > max_rows if max_rows is not None else F.lit(False)
-    over_size = running > max_size if max_size is not None else F.lit(False)
+    columns = nodes.columns
+    numbered = running(nodes, keys, F.col(order), size)
+    over_rows = F.col("ord") > max_rows if max_rows is not None else F.lit(False)
+    over_size = F.col("total") > max_size if max_size is not None else F.lit(False)
     reason = F.when(over_rows, "max_functions").when(over_size, "max_source_chars")
-    return nodes.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
+    return numbered.withColumn("reason", reason).select(*columns, "reason", F.col("reason").isNull().alias("kept"))
 
 
 def dependency_context(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from impactframe.functions.text import document_key
 from impactframe.operators.forms import BREAK, CODE, is_form_source
 from impactframe.operators.fragments import NAMESPACE, apply_operations, fragment_text
+from impactframe.operators.ordering import running
 
 Generator = Callable[[str, str], str]
 
@@ -27,7 +28,7 @@ def analysis_text(path: Column, text: Column) -> Column:
 def changes_by_document(changes: DataFrame) -> DataFrame:
     """Function changes (function_id, old_source_id, new_source_id, ...) with the key of their document and `ord` in it."""
     keyed = changes.withColumn("document_key", document_key(F.coalesce("new_source_id", "old_source_id")))
-    return keyed.withColumn("ord", F.row_number().over(Window.partitionBy("document_key").orderBy("function_id")))
+    return running(keyed, ["document_key"], F.col("function_id")).drop("total")
 
 
 def function_fragments(changes: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from impactframe.operators.graph import closure, components, dependency_context, neighbours, reachable, within_budget
+from impactframe.operators.ordering import running
 
 
 def bfs(edges, root, limit=None):
@@ -79,3 +81,23 @@ def test_budgets_and_context(spark):
             dependency_context(f, e, calls, told, roots, **bad)
     kept = within_budget(f, [], "id", None, 2, None).where("kept").collect()
     assert [r.id for r in kept] == ["a", "b"]
+
+
+def test_running_numbers_and_sums_spread_over_parts(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.randint(0, 9), "clash") for i in range(900)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o int, s int, _r string").drop("_r").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.k, r.o): (r.ord, r.total) for r in running(df, ["k"], F.col("o"), "s").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for key in ("hot", "a", None):
+        total = 0
+        for n, (_, o, s, _) in enumerate(sorted(r for r in rows if r[0] == key) if key else sorted((r for r in rows if r[0] is None), key=lambda r: r[1]), 1):
+            total += s
+            want[key, o] = (n, total)
+    assert got == want
+    assert running(df.limit(0), ["k"], F.col("o")).count() == 0
