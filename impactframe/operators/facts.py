@@ -214,6 +214,9 @@ def analyze(sources: DataFrame, analyzers: dict[str, tuple[str, ...]] = EXTENSIO
         sources = sources.withColumn("scope", F.lit(""))
     order = "ord" if "ord" in sources.columns else "content"
     sources = sources.where(F.col("source_id").isNotNull()).select("scope", "source_id", "content", "language", F.col(order).alias("_o"))
+    # as many partitions as the cluster shuffles into, never merged: what follows parses every row
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sources = sources.repartition(parts, "scope", "source_id")
     kept, again = first_wins(sources, ["scope", "source_id"], ["_o"])
     routed = route(kept, analyzers)
     rows = stage(syntax_rows(routed), "facts")  # every later step reads its own kind and columns

@@ -77,6 +77,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where its files give fewer: for scans that feed costly work on each row.
+
+    Only a scan with filters and projections is changed; with enough splits it stays as it is, so large inputs are not shuffled.
+    """
+    plan = df._jdf.queryExecution()
+    if "Adaptive" in plan.executedPlan().toString()[:40]:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 _staged: list[str] = []
 
 
