@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from impactframe.session import spread
+
 #: Labelled documents of each class that training uses at most, and landmarks of each class.
 LABELLED = 700
 LANDMARKS = 220
@@ -683,7 +685,8 @@ def score_documents(documents: DataFrame, content_label: DataFrame, machine: Mac
                     worst.append(None if best[0] is None else ps[-best[1]])
             yield pd.DataFrame({"doc_id": frame.doc_id, "source": frame.source, "score": scores, "passage": worst})
 
-    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, score double, passage string")
+    rows = spread(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text"))
+    return rows.mapInPandas(run, "doc_id bigint, source string, score double, passage string")
 
 
 def abuse_rates(scored: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactframe.session import stage
+from impactframe.session import spread, stage
 
 #: Buckets of each n-gram table; three tables of float32 are 3 MB.
 BUCKETS = 1 << 18
@@ -337,7 +337,7 @@ def suspects(records: DataFrame) -> DataFrame:
 
 
 def _foreign(records: DataFrame) -> DataFrame:
-    return records.where(F.col("text").rlike(r"[^\x01-\x7F]"))
+    return spread(records.where(F.col("text").rlike(r"[^\x01-\x7F]")))
 
 
 START = np.array([0.9] + [0.1 / (len(CHAINS) - 1)] * (len(CHAINS) - 1))

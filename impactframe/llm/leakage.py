@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from impactframe.session import spread
+
 #: Letters and digits of any script; `_` is neither.
 WORD = re.compile(r"[^\W_]+")
 SIZE = 12
@@ -98,4 +100,4 @@ def _search(docs: DataFrame, patterns: list[tuple[int, str]], size: int) -> Data
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "n_windows"])
 
-    return docs.mapInPandas(run, "doc_id bigint, item_id bigint, first_word int, n_windows int")
+    return spread(docs).mapInPandas(run, "doc_id bigint, item_id bigint, first_word int, n_windows int")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from impactframe.session import cut
+from impactframe.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bins of the rank histogram of a source.
@@ -43,7 +43,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 encoded += [len(e.ids) for e in coder.encode_batch_fast(filled[i : i + 256], add_special_tokens=False)]
             yield pd.Series(encoded, dtype="int64")
 
-    return documents.select(
+    return spread(documents.select("doc_id", "source", "text")).select(
         "doc_id", "source", F.xxhash64("text", F.length("text")).alias("text_key"), size(F.col("text")).alias("tokens")
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from impactframe.llm import grammars, lexers
 from impactframe.llm.derivatives import Grammar
+from impactframe.session import spread
 
 #: Languages and the extensions that stand for them.
 EXTENSIONS = {
@@ -72,7 +73,7 @@ def check_sources(source_file: DataFrame) -> DataFrame:
             yield out
 
     schema = "source_id string, repo string, language string, verdict string, line int, token_no int"
-    return known.mapInPandas(run, schema).distinct()
+    return spread(known).mapInPandas(run, schema).distinct()
 
 
 def invalid_rates(checked: DataFrame) -> DataFrame:
