@@ -177,6 +177,44 @@ def gra6_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return found["paths"].select("root", "node", "depth", F.array_join("path", ">").alias("path"))
 
 
+_BUDGET = f"""{_TRADE}, r AS (SELECT DISTINCT src AS root FROM e WHERE src[1] = 'n'),
+d1 AS (SELECT root, dst AS node, [root, dst] AS path FROM r JOIN e ON src = root),
+d2 AS (SELECT root, dst AS node, min(list_append(path, dst)) AS path FROM d1 JOIN e ON src = node GROUP BY ALL),
+a AS (SELECT root, root AS node, [root] AS path, 0 AS depth FROM r UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 2 FROM d2),
+j AS (SELECT *, row_number() OVER w AS k, sum(length(node)) OVER (w ROWS UNBOUNDED PRECEDING) AS run FROM a WINDOW w AS (PARTITION BY root ORDER BY node)),
+kept AS (SELECT * FROM j WHERE k <= 400 AND run <= 2000)"""
+
+
+def _contexts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Contexts of all nations in the trade graph, two levels deep, cut by number and by the length of the names."""
+    edges = cut(_trade(spark, sf).distinct())
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    calls = edges.select(F.col("src").alias("source_fn"), F.col("dst").alias("target_id"))
+    told = nodes.where("id like 'c%'").select(F.col("id").alias("function_id"), F.lit("note").alias("code"))
+    roots = edges.where(F.col("src").startswith("n")).select(F.col("src").alias("root"))
+    return graph.dependency_context(nodes.withColumn("source", F.col("id")), edges, calls, told, roots, max_depth=2, max_functions=400, max_source_chars=2_000)
+
+
+@query(f"WITH {_BUDGET} SELECT root, node, depth, array_to_string(path, '>') AS path FROM kept")
+def gra6_budgeted(spark: SparkSession, sf: str) -> DataFrame:
+    return _contexts(spark, sf)["paths"].select("root", "node", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query(f"WITH {_BUDGET} SELECT DISTINCT root, CASE WHEN k > 400 THEN 'max_functions' ELSE 'max_source_chars' END AS reason FROM j WHERE k > 400 OR run > 2000")
+def gra11_truncation(spark: SparkSession, sf: str) -> DataFrame:
+    return _contexts(spark, sf)["truncation"]
+
+
+@query(f"WITH {_BUDGET} SELECT s.root, e.src AS source_fn, e.dst AS target_id FROM e JOIN kept s ON s.node = e.src JOIN kept t ON t.node = e.dst AND t.root = s.root")
+def joi13_context_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return _contexts(spark, sf)["calls"].select("root", "source_fn", "target_id")
+
+
+@query(f"WITH {_BUDGET} SELECT root, node AS function_id, 'note' AS code FROM kept WHERE node[1] = 'c'")
+def joi14_context_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    return _contexts(spark, sf)["diagnostics"].select("root", "function_id", "code")
+
+
 # impact
 
 
@@ -232,6 +270,22 @@ def fun3_diffs(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("change_id", F.when(text, file_diff("path", "o", "n")).otherwise("").alias("diff"))
 
 
+_ENDS = r"\r\n|[\n\r\v\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
+@query(rf"""WITH b AS (SELECT change_id, min(availability) FILTER (side = 'baseline') AS oa, min(availability) FILTER (side = 'working') AS na,
+  min(text) FILTER (side = 'baseline') AS o, min(text) FILTER (side = 'working') AS n FROM content_snapshot GROUP BY 1),
+c AS (SELECT change_id, coalesce(oa IN ('text', 'absent') AND na IN ('text', 'absent'), false) AS ok, coalesce(o, '') AS o, coalesce(n, '') AS n FROM b),
+l AS (SELECT *, CASE WHEN o = '' THEN 0 ELSE len(string_split_regex(regexp_replace(o, '({_ENDS})$', ''), '{_ENDS}')) END AS a,
+  CASE WHEN n = '' THEN 0 ELSE len(string_split_regex(regexp_replace(n, '({_ENDS})$', ''), '{_ENDS}')) END AS z FROM c)
+SELECT change_id, CASE WHEN ok THEN (z - a)::INT ELSE 0 END AS net FROM l""")
+def fun3_net_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that each file's diff adds less those that it removes: as many as its two texts differ by."""
+    lines = F.slice(F.split("diff", "\n"), 3, 1_000_000_000)  # after the two lines of the head
+    starts = lambda mark: F.size(F.filter(lines, lambda x: x.startswith(mark)))
+    return fun3_diffs(spark, sf).select("change_id", F.when(F.col("diff") == "", 0).otherwise(starts("+") - starts("-")).alias("net"))
+
+
 # documents
 
 
