@@ -6,7 +6,7 @@ holds `scope` (a snapshot side, a form, a repository), so names never resolve ac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,6 +25,35 @@ module string, module_cf string, start_line int, end_line int, source string, vi
 standalone boolean, member_kind string, caller_ord int, qualifier_cf string, line int, code string, message string"""
 
 
+@dataclass(frozen=True)
+class Plugin:
+    """An analyzer of another language.
+
+    `extract(source_id, content)` gives rows: {"kind": "function", "name", "start_line", "end_line", "source"[, "module",
+    "visibility", "entry": (kind, source), "calls": [(name, line)]]} or {"kind": "diagnostic", "code", "message", "line"}. Its
+    calls resolve to the only function of the name in the same language and scope.
+    """
+
+    name: str
+    extensions: tuple[str, ...]
+    extract: Callable[[str, str], Iterator[dict]]
+
+    def rows(self, source_id: str, content: str) -> Iterator[dict]:
+        no = 0
+        for found in self.extract(source_id, content):
+            if found["kind"] != "function":
+                yield found
+                continue
+            module = found.get("module") or stem_of(source_id)
+            key = f"{self.name}:{module}:{found['name']}"
+            calls, entry = found.pop("calls", ()), found.pop("entry", None)
+            own = {"module": module, "module_cf": module.casefold(), "id": key, "visibility": "public", "name_cf": found["name"].casefold(), "ord": no}
+            yield own | found | {"member_kind": "entry\x1f" + "\x1f".join(entry) if entry else None}
+            for k, (name, line) in enumerate(calls):
+                yield {"kind": "call", "ord": k, "caller_ord": no, "id": key, "name": name, "line": line, "name_cf": name.casefold(), "module_cf": module.casefold()}
+            no += 1
+
+
 @dataclass(frozen=True)
 class Facts:
     """The facts of one analysis; `functions` holds one row per (scope, id)."""
@@ -72,13 +101,14 @@ def route(sources: DataFrame, analyzers: dict[str, tuple[str, ...]] = EXTENSIONS
     )
 
 
-def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rows(frames: Iterator[pd.DataFrame], plugins: dict[str, Plugin]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in ROWS.replace("\n", " ").split(", ")]
     blank = dict.fromkeys(names)  # explicit nulls: a column that a batch leaves out would turn into floats
     for frame in frames:
         out: list[dict] = []
         for scope, source_id, language, content in zip(frame.scope, frame.source_id, frame.analyzer, frame.content):
-            for row in _file_rows(source_id, language, content or ""):
+            found = plugins[language].rows(source_id, content or "") if language in plugins else _file_rows(source_id, language, content or "")
+            for row in found:
                 out.append(blank | {"scope": scope, "source_id": source_id, "language": language, **row})
         yield pd.DataFrame(out, columns=names)
 
@@ -114,9 +144,11 @@ def _file_rows(source_id: str, language: str, content: str) -> Iterator[dict]:
             }
 
 
-def syntax_rows(sources: DataFrame) -> DataFrame:
+def syntax_rows(sources: DataFrame, plugins: Sequence[Plugin] = ()) -> DataFrame:
     """Functions, raw calls, declarations and diagnostics of routed sources, one row each."""
-    return sources.where(F.col("analyzer").isNotNull()).select("scope", "source_id", "analyzer", "content").mapInPandas(_rows, ROWS)
+    named = {p.name: p for p in plugins}
+    routed = sources.where(F.col("analyzer").isNotNull()).select("scope", "source_id", "analyzer", "content")
+    return routed.mapInPandas(lambda frames: _rows(frames, named), ROWS)
 
 
 def symbol_index(symbols: DataFrame) -> DataFrame:
@@ -204,12 +236,14 @@ def quoted(value: Column) -> Column:
     return F.concat(F.lit("'"), value, F.lit("'"))
 
 
-def analyze(sources: DataFrame, analyzers: dict[str, tuple[str, ...]] = EXTENSIONS) -> Facts:
+def analyze(sources: DataFrame, analyzers: dict[str, tuple[str, ...]] = EXTENSIONS, plugins: Sequence[Plugin] = ()) -> Facts:
     """Facts of (source_id, content, language[, scope][, ord]).
 
     Of several rows with one source_id the first by `ord` (else the smallest content) counts; the rest give diagnostics.
-    Null contents count as empty files, rows without source_id are left out, other columns are ignored.
+    Null contents count as empty files, rows without source_id are left out, other columns are ignored. plugins analyze
+    further languages.
     """
+    analyzers = analyzers | {p.name: p.extensions for p in plugins}
     if "scope" not in sources.columns:
         sources = sources.withColumn("scope", F.lit(""))
     order = "ord" if "ord" in sources.columns else "content"
@@ -219,7 +253,7 @@ def analyze(sources: DataFrame, analyzers: dict[str, tuple[str, ...]] = EXTENSIO
     sources = sources.repartition(parts, "scope", "source_id")
     kept, again = first_wins(sources, ["scope", "source_id"], ["_o"])
     routed = route(kept, analyzers)
-    rows = stage(syntax_rows(routed), "facts")  # every later step reads its own kind and columns
+    rows = stage(syntax_rows(routed, plugins), "facts")  # every later step reads its own kind and columns
     found = rows.where("kind = 'function'")
     declared = (
         rows.where("kind = 'declaration'").groupBy("scope", "module_cf", "name_cf")
@@ -227,7 +261,7 @@ def analyze(sources: DataFrame, analyzers: dict[str, tuple[str, ...]] = EXTENSIO
     )
     public = declared.select("scope", "module_cf", "name_cf", F.lit(True).alias("declared"))
     joined = found.join(public, ["scope", "module_cf", "name_cf"], "left")
-    seen = F.when(F.col("language") == "vba", F.col("visibility")).when(F.col("standalone"), "public")
+    seen = F.when(F.col("language") != "plsql", F.col("visibility")).when(F.col("standalone"), "public")
     seen = F.coalesce(seen, F.when(F.col("declared"), "public").otherwise("private"))
     all_functions = joined.withColumn("visibility", seen).select(
         "scope", "id", "name", "name_cf", "language", "module", "module_cf", "source_id", "source", "start_line", "end_line",
@@ -238,14 +272,17 @@ def analyze(sources: DataFrame, analyzers: dict[str, tuple[str, ...]] = EXTENSIO
         "scope", "source_id", "language", F.col("id").alias("source_fn"), "name", "name_cf", "module_cf", "qualifier_cf", "line"
     )
     symbols = all_functions.select("scope", "language", "id", "name_cf", "module_cf")
-    vba = resolve_unique(raw.where("language = 'vba'"), symbols.where("language = 'vba'"))
-    plsql = resolve_scoped(raw.where("language = 'plsql'"), symbols.where("language = 'plsql'"))
-    calls = vba.unionByName(plsql)
+    of = lambda df, name: df.where(F.col("language") == name)
+    calls = resolve_scoped(of(raw, "plsql"), of(symbols, "plsql"))
+    for name in ("vba", *(p.name for p in plugins)):
+        calls = calls.unionByName(resolve_unique(of(raw, name), of(symbols, name)))
     evidence = F.when(F.col("target_id").isNotNull(), F.concat("language", F.lit("_name_resolution")))
     calls = calls.withColumn("evidence", evidence)
     kept_calls, lost, dangling = validate_calls(calls, functions)
+    told = F.split("member_kind", "\x1f")
     entry = (
-        F.when((F.col("language") == "vba") & F.col("name_cf").endswith("_click"), F.struct(F.lit("form_event").alias("kind"), F.lit("analyzer").alias("source")))
+        F.when(told[0] == "entry", F.struct(F.get(told, F.lit(1)).alias("kind"), F.get(told, F.lit(2)).alias("source")))
+        .when((F.col("language") == "vba") & F.col("name_cf").endswith("_click"), F.struct(F.lit("form_event").alias("kind"), F.lit("analyzer").alias("source")))
         .when(F.col("body") & (F.col("visibility") == "public"), F.struct(F.lit("package_public_member").alias("kind"), F.lit("package_spec").alias("source")))
         .when(F.col("standalone"), F.struct(F.concat(F.lit("standalone_"), "member_kind").alias("kind"), F.lit("declaration").alias("source")))
     )

@@ -9,7 +9,7 @@ from impactframe.functions.text import content_snapshot, file_diff
 from impactframe.operators import compare as cmp
 from impactframe.operators import forms, fragments, graph, impact, publish
 from impactframe.operators.constants import attach_constants
-from impactframe.operators.facts import EXTENSIONS, Facts, analyze, route
+from impactframe.operators.facts import EXTENSIONS, Facts, analyze, route, supports
 from impactframe.operators.symbols import extract_symbols, symbol_changes
 from impactframe.operators.workload import plsql_workload
 from impactframe.session import cut, table
@@ -89,7 +89,8 @@ def pip1_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def txt22_python_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "source_file").where("lower(source_id) like '%.py'").select(F.col("source_id").alias("path"), F.col("content").alias("text")).distinct()
+    is_python = supports(F.col("language"), F.col("source_id"), "python", (".py",))
+    s = table(spark, sf, "source_file").where(is_python).select(F.col("source_id").alias("path"), F.col("content").alias("text")).distinct()
     return extract_symbols(s, classes=True, nested=True).drop("content")
 
 

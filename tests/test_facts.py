@@ -1,6 +1,10 @@
 """Facts from sources: extraction, routing, resolution, diagnostics."""
 
+import pytest
+
 from impactframe.functions.syntax import plsql_calls, plsql_file, python_symbols, vba_calls, vba_procedures
+from impactframe.operators import facts as fa
+from impactframe.operators import symbols
 from impactframe.operators.facts import analyze, calls_of, find_sources, functions_at
 
 FORM = 'Private Sub bSave_Click()\n    CheckPermission "Save"\n    SaveOrder\nEnd Sub\n'
@@ -105,3 +109,38 @@ def test_lookups(spark):
     at = spark.createDataFrame([("m.bas", 4), ("m.bas", 99)], "source_id string, line int")
     assert [r.id for r in functions_at(f.functions, at).collect()] == ["vba:m:SaveOrder"]
     assert calls_of(f.calls, "unresolved").count() == 0
+
+
+def test_a_plugin_adds_a_language(spark):
+    def extract(source_id, content):
+        for no, line in enumerate(content.splitlines(), 1):
+            name, _, calls = line.partition(":")
+            if not name:
+                yield {"kind": "diagnostic", "code": "parse_error", "message": "no name", "line": no}
+            else:
+                entry = {"entry": ("job", "plugin")} if name.startswith("job") else {}
+                yield {"kind": "function", "name": name, "start_line": no, "end_line": no, "source": line, "calls": [(c, no) for c in calls.split()]} | entry
+
+    rows = [("a.job", "jobA: work missing\n: x\nwork: SaveOrder", None), ("m.bas", "Sub SaveOrder()\nwork\nEnd Sub\n", None), ("x.JOB", "work2:work", "JOBS")]
+    f = analyze(spark.createDataFrame(rows, "source_id string, content string, language string"), plugins=[fa.Plugin("jobs", (".job",), extract)])
+    assert {r.id for r in f.functions.collect()} == {"jobs:a:jobA", "jobs:a:work", "vba:m:SaveOrder", "jobs:x:work2"}
+    assert {(r.source_fn, r.name, r.target_id) for r in f.calls.collect()} == {
+        ("jobs:a:jobA", "work", "jobs:a:work"), ("jobs:a:jobA", "missing", None), ("jobs:a:work", "SaveOrder", None), ("vba:m:SaveOrder", "work", None), ("jobs:x:work2", "work", "jobs:a:work"),
+    }
+    assert {tuple(r)[1:] for r in f.entry_points.collect()} == {("jobs:a:jobA", "job", "plugin")}
+    assert "parse_error" in {r.code for r in f.diagnostics.collect()}
+    ordered = f.ordered()
+    assert [r.id for r in ordered.functions.orderBy("ord").collect()] == sorted(r.id for r in f.functions.collect())
+    with pytest.raises(KeyError):
+        fa.need(f.functions, id="nowhere")
+    assert fa.calls_to(f.calls, "jobs:a:work").count() == 2 and fa.need(f.functions, id="jobs:a:work").count() == 1
+
+
+def test_symbols_of_a_registered_parser(spark, monkeypatch):
+    monkeypatch.setattr(symbols, "PARSERS", dict(symbols.PARSERS))
+    symbols.register("INI", lambda text: [
+        {"name": t, "symbol_type": "function", "declaration": t, "content": t, "body_hash": t, "start_line": 1, "end_line": 1, "nested": False} for t in text.split()
+    ])
+    rows = [("a.ini", "x y", "y z"), ("b.txt", "p", "q"), ("c.py", "def f(): pass\n", "def f(): 1\n")]
+    found = symbols.symbol_changes(spark.createDataFrame(rows, "path string, old_text string, new_text string"))
+    assert {(r.path, r.name, r.status) for r in found.collect()} == {("a.ini", "z", "added"), ("a.ini", "x", "deleted"), ("c.py", "f", "modified")}
