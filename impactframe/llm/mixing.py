@@ -11,7 +11,9 @@ cuts is put in order, so no source is gathered or sorted as a whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +21,11 @@ from pyspark.sql import functions as F
 
 from impactframe.session import cut, spread
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Vocabulary of a public byte-level BPE: a file of ranks, or a tokenizer's JSON file.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how that vocabulary's texts are cut into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BLANKS = re.compile(r"\s{2000,}")
 #: Bins of the rank histogram of a source.
 BINS = 65_536
 SALTS = 32
@@ -27,21 +33,40 @@ SALTS = 32
 HOT, FEW = 100_000, 100_000
 
 
+def counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
+    """Counts the tokens of texts; strings of special tokens are ordinary text."""
+    if not tokenizer.endswith(".tiktoken"):
+        from tokenizers import Tokenizer
+
+        coder = Tokenizer.from_file(tokenizer)
+        coder.encode_special_tokens = True
+        return lambda texts: [len(e.ids) for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+    import tiktoken
+
+    with open(tokenizer, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    bpe = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def count(text: str) -> int:
+        total = at = 0
+        for m in _BLANKS.finditer(text):  # a long run of blanks is one piece, but for its last one where text follows
+            end = m.end() - (m.end() < len(text))
+            total += len(bpe.encode_ordinary(text[at : m.start()])) + len(bpe._encode_single_piece(text[m.start() : end]))
+            at = end
+        return total + len(bpe.encode_ordinary(text[at:] if at else text))
+
+    return lambda texts: [count(t) for t in texts]
+
+
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, text_key, tokens): size of each document; a null text has 0 tokens."""
 
     @F.pandas_udf("bigint")
     def size(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(tokenizer)
-        coder.encode_special_tokens = True
+        count = counter(tokenizer)
         for batch in texts:
             filled = [t or "" for t in batch]
-            encoded = []
-            for i in range(0, len(filled), 256):
-                encoded += [len(e.ids) for e in coder.encode_batch_fast(filled[i : i + 256], add_special_tokens=False)]
-            yield pd.Series(encoded, dtype="int64")
+            yield pd.Series([n for i in range(0, len(filled), 256) for n in count(filled[i : i + 256])], dtype="int64")
 
     return spread(documents.select("doc_id", "source", "text")).select(
         "doc_id", "source", F.xxhash64("text", F.length("text")).alias("text_key"), size(F.col("text")).alias("tokens")

@@ -1,5 +1,7 @@
 """Mixing: shares, caps, determinism, edges."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,11 @@ def test_hot_texts_count_alike(spark, corpus, monkeypatch, hot, few):
     monkeypatch.setattr(mixing, "FEW", few)
     assert {tuple(r) for r in mixing.weighted_sizes(corpus).select("doc_id", "source", "same").collect()} == want
     assert (20_000, "dup", 50) in want and (30_000, "big", 1) in want
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.json"), reason="vocabularies are not here")
+def test_both_files_of_a_vocabulary_count_alike():
+    blanks = [" " * 5_000, "x" + "\n" * 3_000 + "y", "a \t" * 10 + " " * 2_500 + "zed", " " * 2_100 + "\n" + " 1", "　" * 2_050 + "字", "q" + " " * 2_000 + "." + "\t" * 2_001]
+    texts = ["", "it's 12 o'clock", "<|endoftext|> a", "año 税额 🚚\r\n", "a" * 50_000, *blanks, " ".join(blanks), " " * 1_000_000]
+    ranks, json = mixing.counter("/opt/tokenizers/byte_bpe_50k.tiktoken"), mixing.counter("/opt/tokenizers/byte_bpe_50k.json")
+    assert ranks(texts) == json(texts)
