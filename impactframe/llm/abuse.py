@@ -129,9 +129,10 @@ def _joined(words: list[str]) -> list[str]:
 
 
 class Postings:
-    """Index from pairs of small integers to (row, weight) entries."""
+    """Index from pairs of integers below `size` to (row, weight) entries."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, rows: np.ndarray, weights: np.ndarray):
+    def __init__(self, size: tuple[int, int], left: np.ndarray, right: np.ndarray, rows: np.ndarray, weights: np.ndarray):
+        self.size = size
         keys = self._key(left, right)
         order = np.argsort(keys, kind="stable")
         self.rows, self.weights = rows[order], weights[order]
@@ -141,17 +142,16 @@ class Postings:
         self._hash()
 
     def _hash(self) -> None:
-        self.wide = int(self.right.max(initial=-1)) + 1
         self.dense = None
-        if (int(self.left.max(initial=-1)) + 1) * self.wide <= DENSE:  # a plain table where it is small
-            self.dense = np.full((int(self.left.max(initial=-1)) + 2, self.wide + 1), -1, np.int32)
-            self.dense[self.left, self.right] = np.arange(len(self.keys))
+        if self.size[0] * self.size[1] <= DENSE:  # a plain table where it is small
+            self.dense = np.full(self.size[0] * self.size[1], -1, np.int32)
+            self.dense[self.left.astype(np.int64) * self.size[1] + self.right] = np.arange(len(self.keys))
             return
-        self.bits = max(10, (8 * len(self.keys)).bit_length())  # small enough to stay in the processor's cache
-        slot = self._slot(self.left, self.right)
-        self.place = np.full(1 << self.bits, -1, np.int32)
+        self.bits = np.uint32(32 - max(10, (8 * len(self.keys)).bit_length()))
+        slot = (self.spin(self.left, 0) + self.spin(self.right, 1)) >> self.bits
+        self.place = np.full(1 << (32 - int(self.bits)), -1, np.int32)
         self.place[slot] = np.arange(len(self.keys))
-        self.shared = np.zeros(1 << self.bits, bool)
+        self.shared = np.zeros(len(self.place), bool)
         self.shared[slot[self.place[slot] != np.arange(len(slot))]] = True
 
     def __getstate__(self) -> dict:
@@ -165,25 +165,30 @@ class Postings:
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (left.astype(np.int64) << 32) + right
 
-    def _slot(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        mixed = left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32) * np.uint32(0x85EBCA77)
-        return mixed >> np.uint32(32 - self.bits)
+    @staticmethod
+    def spin(values: np.ndarray, side: int) -> np.ndarray:
+        """What a value adds to the hash of a pair on either side."""
+        return values.astype(np.uint32) * np.uint32((0x9E3779B1, 0x85EBCA77)[side])
+
+    def find(self, left: np.ndarray, right: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the pairs (left[x], right[y]) are there, their places in the index).
 
-    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the pairs are there, their places in the index): by a hash table, by search where pairs share a slot."""
+        By a plain table or a hash table, by search where pairs share a slot of the latter. Without x and y, all pairs in turn.
+        """
+        pick = (lambda values, at: values if at is None else values[at])
         if self.dense is not None:
-            rows, columns = self.dense.shape
-            at = self.dense.ravel()[np.minimum(left, rows - 1) * columns + np.minimum(right, columns - 1)]
+            at = self.dense[pick(left * np.int32(self.size[1]), x) + pick(right, y)]
             hit = np.flatnonzero(at >= 0)
             return hit, at[hit]
-        slot = self._slot(left, right)
+        slot = (pick(self.spin(left, 0), x) + pick(self.spin(right, 1), y)) >> self.bits
         at = self.place[slot]
         hit = np.flatnonzero(at >= 0)
-        at, left, right = at[hit], left[hit], right[hit]
-        same = (self.left[at] == left) & (self.right[at] == right)
+        at = at[hit]
+        l, r = left[hit if x is None else x[hit]], right[hit if y is None else y[hit]]
+        same = (self.left[at] == l) & (self.right[at] == r)
         other = np.flatnonzero(~same & self.shared[slot[hit]])
         if len(other):
-            key = self._key(left[other], right[other])
+            key = self._key(l[other], r[other])
             at[other] = np.searchsorted(self.keys, key).clip(0, len(self.keys) - 1)
             same[other] = self.keys[at[other]] == key
         return hit[same], at[same]
@@ -355,9 +360,10 @@ class PassageKernel:
             parts[1].append((ids[a], ids[b], np.full(len(a), row), WORD_DECAY ** (b - a - 1.0)))
             parts[2].append((ids[a[x]], ids[b[x]], ids[c], np.full(len(x), row), WORD_DECAY ** (c - a[x] - 2.0)))
         columns = lambda part, n: [np.concatenate([np.zeros(0, np.int64), *(p[i] for p in part)]) for i in range(n)]
-        self.ones, self.twos = (Postings(*columns(p, 4)) for p in parts[:2])
+        n = len(self.words.vocabulary)
+        self.ones, self.twos = Postings((n, 1), *columns(parts[0], 4)), Postings((n, n), *columns(parts[1], 4))
         a, b, c, rows, weights = columns(parts[2], 5)
-        self.threes = Postings(self.twos.find(a, b)[1] if len(a) else a, c, rows, weights)
+        self.threes = Postings((len(self.twos.keys), n), self.twos.find(a.astype(np.int32), b.astype(np.int32))[1], c, rows, weights)
         self.index = (self.ones, self.twos, self.threes)
 
     def _hits(self, ids: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -376,14 +382,16 @@ class PassageKernel:
         after = np.cumsum(np.bincount(item, minlength=len(ids)))[item]  # partners at later places of the same passage
         last = np.cumsum(np.bincount(owner, minlength=len(lengths)))[owner]
         x, y = _spread(after, last)
-        hit, pair = self.twos.find(word[x], word[y])
+        hit, pair = self.twos.find(word, word, x, y)
         x, y = x[hit], y[hit]  # x never falls, so the pairs that go on from y are a range
         decay = (WORD_DECAY ** np.arange(self.span)).astype(np.float32)
         out.append((pair, owner[x], sim[x] * sim[y] * decay[place[y] - place[x] - 1]))
         begin = np.concatenate(([0], np.cumsum(np.bincount(x, minlength=len(word)))))
         former, latter = _spread(begin[y], begin[y + 1])
-        hit, three = self.threes.find(pair[former], word[y[latter]])
-        a, b, c = x[former[hit]], y[former[hit]], y[latter[hit]]
+        third = y[latter]
+        hit, three = self.threes.find(pair, word, former, third)
+        former, c = former[hit], third[hit]
+        a, b = x[former], y[former]
         out.append((three, owner[a], sim[a] * sim[b] * sim[c] * decay[place[c] - place[a] - 2]))
         return out
 
@@ -573,16 +581,20 @@ def windows(words: list[str]) -> list[tuple[str, ...]]:
 def _landmarks(groups: list[list[list[str]]], most: int) -> list[list[str]]:
     """Passages that differ from each other, `most` at most of each group: a new one shares under 60 % of its words."""
     chosen: list[list[str]] = []
-    sets: list[set[str]] = []
+    sets: list[tuple[int, int]] = []  # words as bits, and how many
+    bits: dict[str, int] = {}
     for group in groups:
         taken = 0
         for words in group:
-            own = set(words) - {"§"}
-            if taken >= most or len(own) < 2:
-                continue
-            if all(len(own & s) < 0.6 * min(len(own), len(s)) for s in sets):
+            if taken >= most:
+                break
+            own = 0
+            for w in set(words) - {"§"}:
+                own |= 1 << bits.setdefault(w, len(bits))
+            n = own.bit_count()
+            if n >= 2 and all((own & s).bit_count() < 0.6 * min(n, m) for s, m in sets):
                 chosen.append(words[:WINDOW])
-                sets.append(own)
+                sets.append((own, n))
                 taken += 1
     return chosen
 
