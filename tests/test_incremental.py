@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from impactframe.operators import incremental
 from impactframe.operators.incremental import chain_positions, covered_until, mark_of, open_rows, pending_changes
 
 SETS = "change_set_id bigint, root_id bigint, baseline_revision string, working_revision string, landed string"
@@ -137,3 +138,9 @@ def test_long_chain_in_logarithmic_rounds(spark):
     sets = [(k, 1, "initial" if k == 0 else f"r{k - 1}", f"r{k}") for k in range(300)]
     found = {r.revision: r.pos for r in chain_positions(spark.createDataFrame([(*s, "") for s in sets], SETS)).collect()}
     assert found == {f"r{k}": k + 1 for k in range(300)}
+
+
+def test_many_open_changes_are_exchanged_alike(spark, monkeypatch):
+    sets, changes, runs = history(random.Random(2))
+    monkeypatch.setattr(incremental, "FEW_IDS", 0)
+    assert run(spark, sets, changes, runs) == brute(sets, changes, runs)

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from impactframe.operators import snapshots
 from impactframe.operators.snapshots import hex_value, posix_path, snapshot_differences
 
 SCHEMA = "root_id bigint, snapshot_no int, path string, file_exists boolean, size_bytes bigint, sha256 string, delivered_at timestamp, idx int, salt string"
@@ -77,3 +78,21 @@ def test_expressions(spark):
     df = spark.createDataFrame([("/a/./b/", " 0X0F "), ("", ""), (None, None)], "p string, h string")
     rows = df.select(posix_path(F.col("p")), hex_value(F.col("h"))).collect()
     assert [tuple(r) for r in rows] == [("a/b", "f"), ("", ""), (None, None)]
+
+
+def test_a_long_snapshot_list_is_joined_salted(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(1 + k % 3, no, f"p{k}", rng.random() < 0.8, 1, rng.choice("abc"), at(no)) for k in range(40) for no in (2, 3, 7)]
+    whole = found(spark, rows)
+    monkeypatch.setattr(snapshots, "LISTED", 0)
+    assert whole and found(spark, rows) == whole
+
+
+def test_hashes_compare_as_numbers_and_keep_their_order(spark):
+    texts = ["ab", "0xAB", " 00ab", "abc", "abc0", "0", "000", "no hex", "NO HEX", "", None, "f" * 64, "0" + "f" * 64]
+    rows = spark.createDataFrame([(t,) for t in texts], "h string").select("h", hex_value(F.col("h")).alias("v"), snapshots.packed_hash(F.col("h")).alias("p")).collect()
+    for a in rows:
+        for b in rows:
+            assert (a.v == b.v) == (a.p == b.p), (a.h, b.h)
+            if a.v and b.v and all(set(x.v) <= set("0123456789abcdef") for x in (a, b)):
+                assert (a.v < b.v) == ((bytes(a.p.bytes), a.p.digits) < (bytes(b.p.bytes), b.p.digits))
