@@ -85,3 +85,12 @@ def test_records_are_judged_alike_in_any_batch():
         p, j = e.Batch([words]).judge(model, prior(1), np.array(counts))
         assert p[0] == pytest.approx(post[i]) and j == pytest.approx(joint[at : at + len(words)])
         at += len(words)
+
+
+def test_many_sources_join_their_priors_salted(spark, monkeypatch):
+    rows = records(spark).select("origin", "source", "record_key")
+    priors = spark.createDataFrame([("source_file", "repo1", [0.5]), ("source_file", None, [0.25])], "origin string, source string, prior array<double>")
+    want = sorted((r.record_key, r.prior) for r in e._with_prior(rows, priors).collect())
+    monkeypatch.setattr(e, "FEW_SOURCES", 0)
+    got = e._with_prior(rows, priors)
+    assert sorted((r.record_key, r.prior) for r in got.collect()) == want and set(got.columns) == {"origin", "source", "record_key", "prior"}
